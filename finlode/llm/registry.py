@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .token_files import op8_token_files
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL = {
