@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op5_license_scan
+from .near_dedup import op9_near_dedup
 from .token_files import op8_token_files
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
     "op8_token_files": op8_token_files,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL = {
