@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op5_license_scan
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op9_near_dedup
 from .token_files import op8_token_files
 
@@ -12,8 +13,10 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
