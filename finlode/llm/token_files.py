@@ -52,33 +52,33 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)
 
 
-def crc_joined(one: int, two: int, n: int) -> int:
-    """The CRC-32 of two byte strings end to end from those of each; n is the second's length.
+def _times(matrix: list[int], vector: int) -> int:
+    out = 0
+    for row in matrix:
+        if vector & 1:
+            out ^= row
+        vector >>= 1
+    return out
+
+
+def _zero_steps() -> list[list[int]]:
+    """What 1, 2, 4, ... appended zero bytes do to a CRC-32, as linear maps over its bits."""
+    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
+    steps = []
+    for _ in range(3 + 48):
+        steps.append(step)
+        step = [_times(step, row) for row in step]
+    return steps[3:]
 
-    Appending a zero byte acts on a CRC as a linear map over its bits; that map is raised to the n-th power.
-    """
 
-    def times(matrix: list[int], vector: int) -> int:
-        out = 0
-        for row in matrix:
-            if vector & 1:
-                out ^= row
-            vector >>= 1
-        return out
-
-    def square(matrix: list[int]) -> list[int]:
-        return [times(matrix, row) for row in matrix]
-
-    # one zero bit, then two, four, eight: a zero byte
-    step = [0xEDB88320] + [1 << i for i in range(31)]
-    for _ in range(3):
-        step = square(step)
-    while n:
-        if n & 1:
-            one = times(step, one)
-        n >>= 1
-        if n:
-            step = square(step)
+_STEPS = _zero_steps()
+
+
+def crc_joined(one: int, two: int, n: int) -> int:
+    """The CRC-32 of two byte strings end to end from those of each; n is the second's length."""
+    for k, step in enumerate(_STEPS):
+        if n >> k & 1:
+            one = _times(step, one)
     return one ^ two
 
 
