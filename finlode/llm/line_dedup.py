@@ -201,14 +201,12 @@ WITH t AS (
     SELECT line, length(line) AS size, row_number() OVER (ORDER BY min((doc_id, line_no))) AS place, min((doc_id, line_no)) AS spot
     FROM l WHERE line <> '' GROUP BY line
 ), v AS (
-    SELECT place, line, size, i, hash(line[:i] || line[i + 2:]) AS h
+    SELECT place, size, i, hash(left(line, i) || substr(line, i + 2)) AS h
     FROM (SELECT *, unnest(range(size)) AS i FROM d WHERE size >= 16)
-), p AS (
-    SELECT a.place AS later, b.line AS early, a.line AS late FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND a.size = b.size AND b.place < a.place
-    UNION
-    SELECT greatest(a.place, b.place), a.line, b.line FROM v a JOIN d b ON a.h = hash(b.line) AND b.size >= 16 AND a.size = b.size + 1
 ), n AS (
-    SELECT DISTINCT later FROM p WHERE levenshtein(early, late) <= 1
+    SELECT a.place AS later FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND a.size = b.size AND b.place < a.place
+    UNION
+    SELECT greatest(a.place, b.place) FROM v a JOIN d b ON a.h = hash(b.line) AND b.size >= 16 AND a.size = b.size + 1
 ), m AS (
     SELECT l.doc_id, l.line_no, l.line <> '' AND d.spot <> (l.doc_id, l.line_no) AS repeated,
            l.line <> '' AND d.spot = (l.doc_id, l.line_no) AND n.later IS NOT NULL AS near
