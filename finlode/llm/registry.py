@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -11,6 +12,7 @@ from .token_files import op8_token_files
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_decontaminate": op6_decontaminate,
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
