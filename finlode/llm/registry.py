@@ -7,11 +7,13 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op9_near_dedup
+from .personal_data import op3_personal_data
 from .quality import op2_quality
 from .token_files import op8_token_files
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_personal_data": op3_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
