@@ -17,6 +17,8 @@ from .components import components
 BANDS, ROWS = 40, 5
 #: Members that meet one copy of their leader's text in the verifying join.
 MEMBERS = 256
+#: Bytes of text in a block of nodes that are compared with another block.
+BLOCK_TEXT = 4 << 20
 
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 
@@ -147,10 +149,10 @@ def near_groups(
     if 100 * intersection >= percent * union; component_id is the smallest doc_id reachable, and the document that
     has it is kept.
 
-    Equal sets are one node from the start, so copies cost nothing further. Nodes with an equal band meet; each is
-    first compared with its bucket's smallest node, then with the others' leaders, and last, only where a bucket
-    still holds several components, across these. Pairs within a component are never formed. Every link is
-    confirmed on the full sets of whole texts.
+    Equal sets are one node from the start, so copies cost nothing further. Nodes with an equal band meet. Each is
+    first compared with one leader of its buckets; then, only where a bucket still holds several components, the nodes
+    outside of its leader's component are compared with all of its nodes, block by block. Pairs of nodes are never
+    rows, and no bucket is cut short. Every link is confirmed on the full sets of whole texts.
 
     A null or empty text, or one of white space, has an empty set, is linked with nothing and is kept. Null ids
     count as larger than all others; a row with a null id is kept if it reaches no other id. Rows that repeat an id
@@ -163,9 +165,13 @@ def near_groups(
     )
     nodes = saved(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
     hits = nodes.select("node", F.explode("keys").alias("key"))
-    shared = hits.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = saved(hits.join(shared, "key").select("key", "leader", "node"))
-    stars = saved(buckets.where("leader != node").groupBy("leader", "node").agg(F.count("*").alias("n")))
+    shared = hits.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = saved(hits.join(shared, "key"))
+    # a bucket's leader is the node that meets most others in all its buckets: of edited copies, that nearest to their source
+    met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = buckets.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
+    buckets = saved(buckets.select("key", "node").join(leaders, "key"))
+    stars = buckets.where("leader != node").groupBy("leader", "node").agg(F.count("*").alias("n"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     # the text of each node that may have links, by the first document of the set; one of a repeated id may be another text
     texts = saved(
@@ -174,22 +180,11 @@ def near_groups(
         .mapInArrow(_own_text(k, inside), "node binary, text string")
         .dropDuplicates(["node"])
     )
-    verify = _verified(k, inside, percent)
     # first each node against the leader it shares most bands with
     best = stars.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")).select("leader", "node")
-    links = saved(_links(best, texts, verify))
-    rest = stars.select("leader", "node").join(best, ["leader", "node"], "left_anti")
-    done = components(links)
-    links = saved(links.unionByName(_links(_across(rest, done), texts, verify)))
-    # then across what is left of each bucket
-    done = components(links)
-    placed = buckets.join(done, "node", "left").select("key", "leader", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    open_ = placed.join(mixed, "key")
-    one = open_.select("key", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("leader").alias("bucket"))
-    cross = one.join(open_, "key").where("other < node and component != other_component and other != bucket")
-    cross = cross.select(F.col("other").alias("leader"), "node").distinct().join(stars.select("leader", "node"), ["leader", "node"], "left_anti")
-    links = saved(links.unionByName(_links(cross, texts, verify)))
+    links = saved(_links(best, texts, _verified(k, inside, percent)))
+    # then, where a bucket still holds several components, its nodes outside of the leader's against all of its nodes
+    links = links.unionByName(_rest(buckets, components(links), texts, _compared(k, inside, percent)))
     done = components(links)
     members = nodes.select("node", "first_id").join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -212,12 +207,94 @@ def _own_text(k: int, inside: np.ndarray):
     return check
 
 
-def _across(pairs: DataFrame, done: DataFrame) -> DataFrame:
-    """The pairs (leader, node) whose ends are in different components so far."""
-    for end in ("leader", "node"):
-        pairs = pairs.join(done.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
-    apart = ~F.coalesce("leader_in", "leader").eqNullSafe(F.coalesce("node_in", "node"))
-    return pairs.where(apart).select("leader", "node")
+def _rest(buckets: DataFrame, done: DataFrame, texts: DataFrame, compare) -> DataFrame:
+    """Links (leader, node) across the components that buckets still hold.
+
+    Buckets whose leaders are in one component make a group. Its nodes outside that component are compared with all
+    its nodes. Both sides are cut into blocks of about BLOCK_TEXT bytes, and a task takes a pair of blocks at a time:
+    no pair of nodes is ever a row, and a node's text is copied once for each block of the other side.
+    """
+    placed = buckets.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    homes = done.select(F.col("node").alias("leader"), F.col("component").alias("home"))
+    placed = placed.join(homes, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
+    mixed = placed.where("component != home").select("key").distinct()
+    member = placed.join(mixed, "key").select("home", "node", "component").distinct().join(texts, "node")
+    member = saved(member.withColumn("outside", F.col("component") != F.col("home")).withColumn("size", F.length("text") + 64))
+    parts = member.groupBy("home").agg(
+        F.ceil(F.sum(F.when(F.col("outside"), F.col("size"))) / BLOCK_TEXT).cast("int").alias("rows"), F.ceil(F.sum("size") / BLOCK_TEXT).cast("int").alias("columns")
+    )
+    member = member.join(parts, "home")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = member.where("outside").select("home", own("rows").alias("row"), every("columns").alias("column"), F.lit(True).alias("one"), "node", "component", "text")
+    other = member.select("home", every("rows").alias("row"), own("columns").alias("column"), F.lit(False).alias("one"), "node", "component", "text")
+    block = ["home", "row", "column"]
+    both = one.unionByName(other)
+    return both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block).sortWithinPartitions(*block).mapInArrow(compare, "leader binary, node binary")
+
+
+def _compared(k: int, inside: np.ndarray, percent: int):
+    """Links of blocks' nodes; rows (home, row, column, one, node, component, text) come sorted by block.
+
+    Intersections of all sets of one side with all of the other are a product of two matrices, over the shingles that
+    at least two nodes have. Of a node's links into one component, one is enough.
+    """
+
+    def links(group: list[tuple]) -> tuple[list, list]:
+        nodes = {}
+        for _, node, component, text in group:
+            if node not in nodes:
+                raw = text.encode()
+                nodes[node] = (len(nodes), component, shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), k, inside)[0])
+        sets = [s for _, _, s in nodes.values()]
+        names, kinds = list(nodes), [c for _, c, _ in nodes.values()]
+        sizes = np.array([len(s) for s in sets])
+        ones = np.array(sorted({nodes[g[1]][0] for g in group if g[0]}))
+        others = np.array(sorted({nodes[g[1]][0] for g in group if not g[0]}))
+        if not len(ones) or not len(others):
+            return [], []
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        column = np.cumsum(counts > 1) - 1
+        keep = counts[inverse] > 1
+        owner, place = owner[keep], column[inverse[keep]]
+        both = np.zeros((len(ones), len(others)), np.float32)
+        shared = int((counts > 1).sum())
+        width = max(1, min(shared, (32 << 20) // (4 * len(sets))))
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for low in range(0, shared, width):
+            a, b = np.searchsorted(place, [low, low + width])
+            matrix = np.zeros((len(sets), width), np.float32)
+            matrix[owner[a:b], place[a:b] - low] = 1
+            both += matrix[ones] @ matrix[others].T
+        either = sizes[ones][:, None] + sizes[others][None, :] - both
+        hit = 100 * both.astype(np.float64) >= percent * either.astype(np.float64)
+        left, right, seen = [], [], set()
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            x, y = int(ones[i]), int(others[j])
+            if kinds[x] != kinds[y] and (x, kinds[y]) not in seen:
+                seen.add((x, kinds[y]))
+                left.append(names[y])
+                right.append(names[x])
+        return left, right
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for batch in batches:
+            left, right = [], []
+            for *block, one, node, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != key:
+                    found = links(group) if group else ([], [])
+                    left += found[0]
+                    right += found[1]
+                    key, group = block, []
+                group.append((one, node, component, text))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["leader", "node"])
+        left, right = links(group) if group else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["leader", "node"])
+
+    return compare
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
