@@ -297,6 +297,15 @@ def _compared(k: int, inside: np.ndarray, percent: int):
     return compare
 
 
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with all its columns, of each group of near duplicates the rows with the smallest doc_id.
+
+    Rows that repeat that id all stay, as do documents without words, which are linked with nothing.
+    """
+    stays = near_groups(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("id that stays")).distinct()
+    return docs.join(stays, docs[id_col].eqNullSafe(F.col("id that stays")), "left_semi")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``near_groups`` of all documents on 2-word shingles."""
     return near_groups(table(spark, sf_dir, "documents"), k=2, percent=80)

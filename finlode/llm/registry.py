@@ -6,12 +6,14 @@ from .decontaminate import op6_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .mixing import op1_mixing
 from .near_dedup import op9_near_dedup
 from .personal_data import op3_personal_data
 from .quality import op2_quality
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_personal_data": op3_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
