@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that nothing reads any more, and lets Spark delete the shuffle files of what made them."""
+    for df in tables:
+        dropped(df)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,6 +10,7 @@ from .mixing import op1_mixing
 from .near_dedup import op9_near_dedup
 from .personal_data import op3_personal_data
 from .quality import op2_quality
+from .suffix_dedup import op7_suffix_dedup
 from .token_files import op8_token_files
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
