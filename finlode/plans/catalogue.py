@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import analysis, ingestion, retrieval
 
+flagship = retrieval.hybrid_rrf_topk
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = {**retrieval.QUERIES, **ingestion.QUERIES, **analysis.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **ingestion.ORACLE_SQL, **analysis.ORACLE_SQL}
