@@ -202,3 +202,68 @@ def test_stream_breaker(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("breaker_test").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.sql("SELECT * FROM breaker_test").collect()] == [("a", 3, True)]
+
+
+@pytest.fixture(scope="module")
+def store(spark):
+    from finlode.operators.retrieve import Store
+
+    meta = "company_id string, report_type string, fiscal_year int, fiscal_quarter string"
+    docs = [("d1", "ACME", "annual", 2023, None, "completed"), ("d2", "ACME", "annual", 2022, None, "completed"), ("d3", "ACME", "annual", 2023, None, "failed")]
+    documents = spark.createDataFrame(docs, f"doc_id string, {meta}, ingestion_status string")
+    kinds = [("n1", "d1", 0, "balance_sheet", "assets 10"), ("n2", "d1", 1, "mda", "words"), ("n3", "d2", 0, "balance_sheet", "assets 9"), ("n4", "d3", 0, "balance_sheet", "none")]
+    nodes = spark.createDataFrame([(*k, "ACME", "annual", 2023, None) for k in kinds], f"id string, doc_id string, section int, section_type string, text string, {meta}")
+    texts = [("c1", "d1", 1, "mda", "growth in margin"), ("c2", "d1", 2, "risk_factors", "credit risk grows"), ("c3", "d2", 1, "mda", "other things")]
+    embed = providers.hash_embedder()
+    chunks = spark.createDataFrame([(*t, "ACME", "annual", 2023, None, embed([t[4]])[0]) for t in texts], f"id string, doc_id string, section int, section_type string, text string, {meta}, embedding array<float>")
+    tables_ = spark.createDataFrame([("t1", "d1", 0)], "table_id string, doc_id string, section int")
+    links = spark.createDataFrame([("t1", "Note 5", "see this"), ("t1", "Note 5", "see this")], "table_id string, ref_code string, resolved_text string")
+    return Store(documents, nodes, chunks, tables_, links)
+
+
+def test_tree_needs_company_year_and_types(store):
+    from finlode.operators import retrieve
+
+    wanted = filters.MetadataFilter(company_id="acme", fiscal_year=2023, section_types=("balance_sheet",))
+    rows = retrieve.retrieved(store, "total assets", wanted)
+    assert [(r["id"], r["score_source"]) for r in rows.collect()] == [("n1", "tree")]
+    kept, refs, used = retrieve.assembled(store, rows)
+    assert (kept.count(), [r["ref_code"] for r in refs.collect()], used) == (1, ["Note 5"], 6)
+    assert retrieve.retrieved(store, "total assets", filters.MetadataFilter(company_id="acme")).first()["score_source"] == "hybrid"
+
+
+def test_tools_render(store):
+    from finlode.operators import retrieve
+
+    acme = filters.MetadataFilter(company_id="acme", fiscal_year=2023)
+    assert retrieve.tool(store, "risk", "credit risk", acme) == "--- Section: risk_factors ---\ncredit risk grows"
+    assert retrieve.tool(store, "financial_statements", "assets", acme).endswith("assets 10")
+    assert retrieve.tool(store, "narrative", "x", filters.MetadataFilter(company_id="none")) == "no passages found"
+    assert {r[0] for r in retrieve.sections_found(store, acme).collect()} == {"balance_sheet", "mda", "risk_factors"}
+
+
+def test_governance(spark):
+    from finlode.operators import governance
+
+    now = dt.datetime(2024, 1, 31)
+    trades = spark.createDataFrame([("T", now, "Buy"), ("T", now - dt.timedelta(days=100), "Buy"), ("T", now, "Sell")], "ticker string, at timestamp, transaction_type string")
+    assert governance.insider_trades(trades, F.lit(now), 90, "buy").count() == 1 and governance.insider_trades(trades, F.lit(now)).count() == 2
+    held = spark.createDataFrame([("T", "FII", f"2023Q{q}", float(q * q)) for q in (1, 2, 3)], "ticker string, category string, quarter string, pct double")
+    assert [r["shift"] for r in governance.holdings(held, 2, "FII").orderBy("quarter").collect()] == [3.0, 5.0]
+    saved_ = spark.createDataFrame([("s", True, '{"a":1}'), ("u", True, "bad"), ("v", False, "{}")], "id string, has_dashboard boolean, shared_state_json string")
+    assert [governance.loaded(saved_, i).count() for i in "suv"] == [1, 0, 0]
+
+
+def test_agents_fail_as_rows(spark):
+    import time
+
+    from finlode.operators import governance
+
+    tasks = spark.createDataFrame([("quantitative", ["dcf_modeller"]), ("qualitative", []), ("sentiment", []), ("risk_governance", [])], "agent string, sub_agents array<string>")
+
+    def bad(_):
+        raise ValueError("no")
+
+    agents = {"quantitative": lambda subs: ",".join(subs), "qualitative": bad, "sentiment": lambda _: time.sleep(3)}
+    got = {r["agent"]: (r["status"], r["data"]) for r in governance.run_agents(tasks, agents, {"sentiment": 0.2}).collect()}
+    assert got == {"quantitative": ("success", "dcf_modeller"), "qualitative": ("invalid", None), "sentiment": ("timeout", None), "risk_governance": ("failed", None)}
