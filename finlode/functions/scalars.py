@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
@@ -160,38 +161,29 @@ def all_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
-@F.pandas_udf(StringType())
-def sentence_trim(text: pd.Series) -> pd.Series:
-    """Cuts after the last sentence end in a text's second half; a text without one stays."""
-
-    def cut(x):
-        if x is None:
-            return None
-        for i in range(len(x) - 1, max(len(x) // 2, 0), -1):
-            if x[i] in ".!?\n" and (i == len(x) - 1 or x[i + 1] in " \n\t"):
-                return x[: i + 1]
-        return x
-
-    return text.map(cut)
+def sentence_trim(text: Column) -> Column:
+    """Cuts after the last sentence end if that is in a text's second half; else the text stays."""
+    head = F.regexp_extract(text, r"(?s)^(.*[.!?\n])(?:[ \n\t].*)?$", 1)
+    return F.when(F.length(head) - 1 > F.floor(F.length(text) / 2), head).otherwise(text)
 
 
 def closest(names: tuple[str, ...], cutoff: float = 0.3):
-    """A pandas function from a name to the closest of few known ones: itself, its upper case, or the best match."""
-    import difflib
+    """A function of a column: a name or its upper case if it is among few known ones, else the most similar, else itself.
 
-    known = set(names)
-    lower = {n.lower(): n for n in sorted(names, reverse=True)}
+    Similarity is difflib's ratio of lower-case names, without an exchange suffix; ties go to the later in order.
+    """
+    lowered = {n.lower(): n for n in names}
 
     @F.pandas_udf(StringType())
-    def match(text: pd.Series) -> pd.Series:
-        def best(x):
-            if x is None or x in known:
-                return x
-            if x.upper() in known:
-                return x.upper()
-            found = difflib.get_close_matches(x.lower(), sorted(lower), n=1, cutoff=cutoff)
-            return lower[found[0]] if found else x
-
-        return text.map(best)
+    def nearest(slugs: pd.Series) -> pd.Series:
+        found = {}
+        for slug in slugs.dropna().unique():
+            score, low = max(((SequenceMatcher(None, low, slug).ratio(), low) for low in lowered), default=(0.0, ""))
+            found[slug] = lowered[low] if score >= cutoff and low else None
+        return slugs.map(found)
+
+    def match(col: Column) -> Column:
+        slug = F.trim(F.regexp_replace(F.lower(col), r"\.(ns|bo)", ""))
+        return F.when(col.isin(*names), col).when(F.upper(col).isin(*names), F.upper(col)).otherwise(F.coalesce(nearest(slug), col))
 
     return match

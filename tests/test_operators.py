@@ -47,6 +47,7 @@ def test_closest(spark):
     match = scalars.closest(("RELIANCE", "TCS", "Infosys"))
     got = [one(spark, match(F.col("c")), c=x) for x in ("TCS", "tcs", "infosis", "zzzz")]
     assert got == ["TCS", "TCS", "Infosys", "zzzz"]
+    assert one(spark, match(F.col("c")), c="relianc.NS") == "RELIANCE"
 
 
 def test_filters(spark):
