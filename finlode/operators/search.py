@@ -85,17 +85,22 @@ def reranked(rows: DataFrame, scorer=None, k: int = FINAL) -> DataFrame:
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def dense_batch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, max_queries: int = 1000) -> DataFrame:
-    """(query_id, id, score): the k nearest chunks of each of a bounded set of questions.
+def dense_batch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 1000) -> DataFrame:
+    """(query_id, id, score): the k nearest chunks of each question of a table (query_id, vector).
 
-    ``queries`` (query_id, vector) must hold at most ``max_queries`` rows; they go to every task, and each task keeps
-    its best k of a question before anything is shuffled.
+    Questions are taken in blocks of about ``block``, each against all chunks: a block goes to every task, and a task
+    keeps its best k of a question before anything is shuffled.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} questions; take them in parts")
-    pairs = chunks.where("embedding IS NOT NULL").crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
+    rows = chunks.where("embedding IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = rows.crossJoin(F.broadcast(part)).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
+        best = pairs.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def context(rows: DataFrame, budget: int) -> DataFrame:

@@ -268,3 +268,10 @@ def test_agents_fail_as_rows(spark):
     agents = {"quantitative": lambda subs: ",".join(subs), "qualitative": bad, "sentiment": lambda _: time.sleep(3)}
     got = {r["agent"]: (r["status"], r["data"]) for r in governance.run_agents(tasks, agents, {"sentiment": 0.2}).collect()}
     assert got == {"quantitative": ("success", "dcf_modeller"), "qualitative": ("invalid", None), "sentiment": ("timeout", None), "risk_governance": ("failed", None)}
+
+
+def test_questions_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "id int, embedding array<float>")
+    queries = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    whole, parts = (sorted(map(tuple, search.dense_batch(rows, queries, 3, block).collect())) for block in (1000, 7))
+    assert whole == parts and len(whole) == 90
