@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vocab import CANDIDATES, FINAL, RRF_K
 
@@ -85,22 +90,51 @@ def reranked(rows: DataFrame, scorer=None, k: int = FINAL) -> DataFrame:
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
+def _nearest(ids: pa.Array, vectors: np.ndarray, k: int):
+    """For Arrow batches (id, embedding): each batch's best k of every question, by one matrix product."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1)
+            if not batch.num_rows:
+                continue
+            matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(matrix, axis=1)
+            keep = np.flatnonzero(norm > 0)
+            if not len(keep):
+                continue
+            scores = (matrix[keep] / norm[keep, None]) @ unit.T
+            # of equal scores at the cut all stay; the final ranking breaks ties by id
+            cut = np.sort(scores, axis=0)[-min(k, len(keep))]
+            at, q = np.nonzero(scores >= cut)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(keep[at])), pa.array(scores[at, q])], names=["query_id", "id", "score"])
+
+    return best
+
+
 def dense_batch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 1000) -> DataFrame:
     """(query_id, id, score): the k nearest chunks of each question of a table (query_id, vector).
 
-    Questions are taken in blocks of about ``block``, each against all chunks: a block goes to every task, and a task
-    keeps its best k of a question before anything is shuffled.
+    Questions are taken in blocks of about ``block``, each against all chunks: a block's vectors go to every task, which
+    keeps the best k of a question from each Arrow batch, so little is shuffled and no pair of all becomes a row.
     """
     blocks = max(1, -(-queries.count() // block))
-    rows = chunks.where("embedding IS NOT NULL")
+    rows = chunks.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     out = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = rows.crossJoin(F.broadcast(part)).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
-        best = pairs.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-        out = best if out is None else out.unionByName(best)
-    return out
+        part = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) & F.col("vector").isNotNull()).collect()
+        if part:
+            ids = pa.array([r["query_id"] for r in part], to_arrow_type(queries.schema["query_id"].dataType))
+            near = _nearest(ids, np.array([r["vector"] for r in part], float), k)
+            found = rows.mapInArrow(near, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    rounded = out.withColumn("score", F.round("score", 12))
+    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def context(rows: DataFrame, budget: int) -> DataFrame:
