@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, ingestion, retrieval
+from . import analysis, ingestion, records, retrieval
 
 flagship = retrieval.hybrid_rrf_topk
 
-QUERIES = {**retrieval.QUERIES, **ingestion.QUERIES, **analysis.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **ingestion.ORACLE_SQL, **analysis.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **ingestion.QUERIES, **analysis.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **ingestion.ORACLE_SQL, **analysis.ORACLE_SQL, **records.ORACLE_SQL}
