@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -215,17 +214,34 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
     pieces = pieces.join(starts, ["part", "chunk"]).withColumn("start", F.col("base") + F.col("at"))
     columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    whole = F.col("opens") & F.col("closes")
+    order = ["part", "doc_order", "chunk"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = pieces.where(~whole).select(*columns, "part", "doc_order", "chunk", "opens").repartition(n, "part").sortWithinPartitions(*order)
+    return pieces.where(whole).select(columns).unionByName(split.mapInArrow(_joined, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"))
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        crc = 0
-        for size, part in zip(group["n_tokens"], group["ids_crc32"], strict=True):
-            crc = crc_joined(crc, int(part), 4 * int(size))
-        return group.head(1)[columns].assign(n_tokens=group["n_tokens"].sum(), ids_crc32=crc)
 
-    whole = F.col("opens") & F.col("closes")
-    split = pieces.where(~whole).groupBy("part", "doc_order").applyInPandas(joined, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
-    return pieces.where(whole).select(columns).unionByName(split)
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents from their pieces, which come in order: (doc_id, start, n_tokens, ids_crc32, ..., opens)."""
+    open_: list | None = None
+    for batch in batches:
+        done = []
+        rows = zip(*(batch.column(k).to_pylist() for k in ("doc_id", "start", "n_tokens", "ids_crc32", "opens")), strict=True)
+        for doc, start, size, crc, opens in rows:
+            if opens:
+                if open_:
+                    done.append(open_)
+                open_ = [doc, start, size, crc]
+            else:
+                open_ = [*open_[:2], open_[2] + size, crc_joined(open_[3], crc, 4 * size)]
+        yield _documents(done, batch.schema)
+    if open_:
+        yield _documents([open_], batch.schema)
+
+
+def _documents(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(k).type) for k, c in enumerate(columns)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
