@@ -53,7 +53,7 @@ def stale(results: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     return results.withColumn("age_hours", (F.unix_timestamp(as_of) - F.unix_timestamp("finished_at")) / 3600).withColumn("stale", F.col("age_hours") > hours)
 
 
-#: Seconds that an agent may take.
+# Seconds that an agent may take.
 BUDGETS = {"quantitative": 60.0, "qualitative": 45.0, "risk_governance": 45.0, "sentiment": 20.0}
 
 

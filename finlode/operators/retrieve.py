@@ -97,7 +97,7 @@ def rendered(rows: DataFrame, nothing: str) -> str:
     return "\n\n".join(parts) or nothing
 
 
-#: Tools by name: forced tier, fixed section types, and what they say when nothing is found.
+# Tools by name, with their forced tier and section types; and what they say when nothing is found.
 TOOLS = {
     "financial_statements": ("T1", ("balance_sheet", "profit_loss", "cash_flow"), "no statements found"),
     "cross_references": ("T2", (), "no references found"),
