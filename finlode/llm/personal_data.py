@@ -344,16 +344,6 @@ def _edges(n: int, field: ChainField, left: bool, right: bool) -> np.ndarray:
     return out
 
 
-_FIELDS: dict[tuple, ChainField] = {}
-
-
-def _field(examples: tuple[str, ...]) -> ChainField:
-    """A worker's field for a labelled table; fitting starts from zero, so every worker has the same."""
-    if examples not in _FIELDS:
-        _FIELDS[examples] = fit(examples)
-    return _FIELDS[examples]
-
-
 #: Bytes that make a token open.
 _OPEN = W.byte_class(lambda b: 48 <= b <= 57 or b == 64)
 
@@ -380,7 +370,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[in
     return out
 
 
-def _found(data: np.ndarray, offsets: np.ndarray, examples: tuple[str, ...]) -> tuple[list[list[tuple]], list[list[tuple]]]:
+def _found(data: np.ndarray, offsets: np.ndarray, field: ChainField) -> tuple[list[list[tuple]], list[list[tuple]]]:
     """Base spans and all spans of each text of a block, in order."""
     n = len(offsets) - 1
     base: list[list[tuple]] = [[] for _ in range(n)]
@@ -398,7 +388,7 @@ def _found(data: np.ndarray, offsets: np.ndarray, examples: tuple[str, ...]) ->
         texts.append(text)
         stretches.append(at)
         base[row] = sorted(base_spans(text))
-    for row, added in zip(rows, field_spans(texts, stretches, _field(examples)) if rows else (), strict=True):
+    for row, added in zip(rows, field_spans(texts, stretches, field) if rows else (), strict=True):
         free = [s for s in added if all(s[2] <= a or s[1] >= b for _, a, b in base[row])]
         more[row] = sorted(base[row] + free)
     return base, more
@@ -423,11 +413,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are ignored, whatever their names; an empty table gives an empty result. Texts are read whole, however long.
     """
     source = documents(docs, id_col, text_col)
+    field = fit(examples)  # a few hundred weights, once; every task gets the same
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch):
-                base, spans = _found(data, offsets, examples)
+                base, spans = _found(data, offsets, field)
                 counts = [pa.array([sum(s[0] == k for s in row) for row in base], pa.int64()) for k in range(len(KINDS))]
                 digests = [hashlib.sha256(_joined(row).encode()).hexdigest() for row in base]
                 added = [len(b) - len(a) for a, b in zip(base, spans, strict=True)]
