@@ -87,3 +87,13 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         end = min(max(end, row + 1), len(column))
         yield batch.slice(row, end - row), raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that intervals cover."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate([[True], starts[1:] > ends[:-1]])
+    return starts[new], ends[np.append(np.flatnonzero(new)[1:], len(ends)) - 1]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import words as W
-from .common import blocks, documents, table
+from .common import blocks, documents, merged, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -20,7 +20,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: From the start of a run of digits, which is where the leftmost match begins, and without going back: linear in any text.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -260,12 +261,20 @@ def fit(examples=LABELLED, steps: int = 200, rate: float = 0.1, decay: float = 2
     return ChainField(names, weights[0], weights[1] + step_mask, first_mask)
 
 
+#: Tokens of a batch of chains, padding included.
+BATCH_TOKENS = 1 << 16
+
+
 def viterbi(chains: list[np.ndarray], field: ChainField) -> list[np.ndarray]:
     """The best labels of many chains of emissions at once; chains of a batch are taken in step, longest first."""
     order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
     out: list[np.ndarray] = [np.empty(0, int)] * len(chains)
-    for low in range(0, len(order), 512):
-        batch = [chains[i] for i in order[low : low + 512]]
+    low = 0
+    while low < len(order):
+        # fewer chains at a time where they are long, so that the padded batch stays small
+        chosen = order[low : low + max(1, min(512, BATCH_TOKENS // max(1, len(chains[order[low]]))))]
+        low += len(chosen)
+        batch = [chains[i] for i in chosen]
         sizes = np.array([len(c) for c in batch])
         longest = sizes[0]
         e = np.zeros((len(batch), longest, len(LABELS)))
@@ -286,7 +295,7 @@ def viterbi(chains: list[np.ndarray], field: ChainField) -> list[np.ndarray]:
             path[sizes > t, t] = label[sizes > t]
             if t:
                 label = np.where(sizes > t, back[t, np.arange(len(batch)), label], label)
-        for k, i in enumerate(order[low : low + 512]):
+        for k, i in enumerate(chosen):
             out[i] = path[k, : sizes[k]]
     return out
 
@@ -389,11 +398,17 @@ def _found(data: np.ndarray, offsets: np.ndarray, field: ChainField) -> tuple[li
         stretches.append(at)
         base[row] = sorted(base_spans(text))
     for row, added in zip(rows, field_spans(texts, stretches, field) if rows else (), strict=True):
-        free = [s for s in added if all(s[2] <= a or s[1] >= b for _, a, b in base[row])]
-        more[row] = sorted(base[row] + free)
+        more[row] = sorted(base[row] + _apart(added, base[row]))
     return base, more
 
 
+def _apart(added: list[tuple], base: list[tuple]) -> list[tuple]:
+    """The added spans that overlap none of the base spans."""
+    starts, ends = merged(np.array([a for _, a, _ in base], np.int64), np.array([b for _, _, b in base], np.int64))
+    # of the disjoint runs that base spans cover, only the last that begins before a span's end can reach it
+    return [s for s in added if not (k := int(np.searchsorted(starts, s[2]))) or ends[k - 1] <= s[1]]
+
+
 def _joined(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, released, saved, table
+from .common import blocks, documents, merged, released, saved, table
 from .suffix_order import suffix_array
 from .words import mix
 
@@ -205,16 +205,6 @@ def repeated_starts(pieces: list[bytes], leads: list[int], spans: list[int], len
     return [np.sort(starts[by_row[cut[i] : cut[i + 1]]]) for i in range(len(pieces))]
 
 
-def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs that intervals cover."""
-    if not len(starts):
-        return starts, ends
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], np.maximum.accumulate(ends[order])
-    new = np.concatenate([[True], starts[1:] > ends[:-1]])
-    return starts[new], ends[np.append(np.flatnonzero(new)[1:], len(ends)) - 1]
-
-
 def _compared(length: int):
     """Spans (k1, k2, start, end) of repeated strings from rows sorted by anchor; whole groups share a suffix array."""
 
