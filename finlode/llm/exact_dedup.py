@@ -58,7 +58,7 @@ def _merging(best: str):
         held = None
         for batch in batches:
             if batch.num_rows:
-                entries = pa.Table.from_batches([batch])
+                entries = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
                 entries = _folded(entries if held is None else pa.concat_tables([held, entries]).combine_chunks(), best)
                 yield from entries.slice(0, entries.num_rows - 1).to_batches()
                 held = entries.slice(entries.num_rows - 1).combine_chunks()

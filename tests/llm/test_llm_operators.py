@@ -69,6 +69,14 @@ def test_exact_dedup(spark):
     assert sorted(map(tuple, got.collect())) == sorted((r[0], r[1], r[2], r[3], r[4], r[5]) for r in oracle(exact_dedup.OP4_SQL, rows))
 
 
+def test_exact_dedup_across_batches(spark):
+    """Runs and merges longer than one Arrow batch, with copies that meet at a batch's end."""
+    rows = spark.range(60_000, numPartitions=3).select(F.col("id").alias("doc_id"), (F.col("id") % 25_000).cast("string").alias("text"))
+    got = exact_dedup.exact_dedup(rows, fan_in=2)
+    bad = got.where("keep_id != doc_id % 25000 OR kept != (doc_id < 25000) OR group_size != IF(keep_id < 10000, 3, 2)")
+    assert got.count() == 60_000 and bad.count() == 0
+
+
 def test_exact_dedup_messy(messy, empty):
     got = exact_dedup.exact_dedup(messy).collect()
     assert len(got) == len(MESSY)
