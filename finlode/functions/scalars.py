@@ -90,7 +90,9 @@ def answer_json(col: Column) -> Column:
 
 
 def valid_confidence(col: Column) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), to_double(col))), F.lit(0.7))
+    """A confidence cut to 0 to 1; 0.7 where there is none."""
+    number = F.coalesce(to_double(col), F.lit(0.7))  # before the bounds, as these would take the place of a null
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))
 
 
 def valid_member(col: Column, allowed: tuple[str, ...], default: str) -> Column:
