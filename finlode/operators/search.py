@@ -42,10 +42,6 @@ def dense_top_k(chunks: DataFrame, vector: list[float], k: int = CANDIDATES, whe
     return rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(k)
 
 
-def _is(term: str):
-    return lambda t: t == term
-
-
 def keyword_top_k(chunks: DataFrame, terms: tuple[str, ...], k: int = CANDIDATES, every: bool = True, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score) of the k best chunks by BM25, ties by id; with ``every``, chunks that have all terms.
 
@@ -55,7 +51,7 @@ def keyword_top_k(chunks: DataFrame, terms: tuple[str, ...], k: int = CANDIDATES
     if not terms:
         return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     found = tokens(F.col(text_col))
-    counts = [F.size(F.filter("found", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
+    counts = [(F.size("found") - F.size(F.array_remove("found", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     rows = chunks.select(F.col(id_col).alias("id"), found.alias("found")).select("id", F.size("found").alias("n"), *counts)
     totals = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
