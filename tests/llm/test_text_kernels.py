@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from finlode.llm import personal_data
 from finlode.llm import words as W
 from finlode.llm.license_scan import PHRASES, SuffixAutomaton, split_words
 from finlode.llm.near_dedup import super_minhash
@@ -143,3 +144,37 @@ def test_field_learns_its_table_and_stretches_are_exact():
                 open_ = None
             open_ = ((label - 1) // 2, a, b) if label % 2 else (open_[0], open_[1], b) if label and open_ else None
         assert found(text) == sorted(spans)
+
+
+def test_base_spans_in_time_on_long_runs():
+    """Long runs of digits, dots, signs and local parts are scanned once, not from each of their places."""
+    assert base_spans("1" * 400_000) == [] and base_spans("a" * 400_000 + "@") == [] and base_spans("+" * 400_000) == []
+    assert base_spans("1." * 3 + "1" + "." * 100_000) == [(1, 0, 7)]
+
+
+def test_addresses_at_the_start_of_digits():
+    rng = random.Random(7)
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(rng.choices("12.. a", k=rng.randint(0, 30)))
+        expected = [m.span() for m in plain.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s[1:] for s in base_spans(text) if s[0] == 1] == expected
+
+
+def test_viterbi_in_small_batches(monkeypatch):
+    use = fit(LABELLED[:12], steps=20)
+    rng = np.random.default_rng(4)
+    chains = [rng.normal(size=(n, len(use.first))) for n in rng.integers(1, 40, 60)]
+    whole = viterbi(chains, use)
+    monkeypatch.setattr(personal_data, "BATCH_TOKENS", 50)
+    assert all((a == b).all() for a, b in zip(whole, viterbi(chains, use), strict=True))
+    monkeypatch.undo()
+    assert all((a == viterbi([c], use)[0]).all() for a, c in zip(whole, chains, strict=True))
+
+
+def test_added_spans_apart_from_base():
+    rng = random.Random(9)
+    spans = lambda: [(rng.randrange(4), a, a + rng.randint(1, 8)) for a in rng.choices(range(40), k=rng.randint(0, 5))]
+    for _ in range(3000):
+        base, added = spans(), spans()
+        assert personal_data._apart(added, base) == [s for s in added if all(s[2] <= a or s[1] >= b for _, a, b in base)]
