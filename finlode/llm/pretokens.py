@@ -98,7 +98,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: What the library looks for in a text before it cuts it; a text with any of these goes through it whole.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -117,12 +118,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end, and the texts' bounds."""
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(x) for x in texts], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        rare = np.flatnonzero(points >= FIRST_RARE)
-        if len(rare):
-            rows = np.unique(np.searchsorted(offsets, rare, "right") - 1)
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(points >= FIRST_RARE), "right") - 1)
+        if added := [x for x in self.added if x in joined]:
+            rows = np.union1d(rows, [i for i, x in enumerate(texts) if any(a in x for a in added)]).astype(np.int64)
+        if len(rows):
             whole = dict(zip(rows.tolist(), self.plain([texts[i] for i in rows]), strict=True))
             ids, bounds = self.encode(["" if i in whole else x for i, x in enumerate(texts)])
             parts = [np.array(whole[i], np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
@@ -139,8 +142,7 @@ class Encoder:
         at = np.searchsorted(self.known, hashes)
         new = np.flatnonzero((at == len(self.known)) | (np.append(self.known, np.uint64(0))[at] != hashes))
         if len(new):
-            text = "".join(texts)
-            pieces = [text[b : b + s] for b, s in zip(begin[first[new]].tolist(), size[first[new]].tolist(), strict=True)]
+            pieces = [joined[b : b + s] for b, s in zip(begin[first[new]].tolist(), size[first[new]].tolist(), strict=True)]
             found = self.pieces(pieces)
             old = len(self.bounds) - 1
             lengths = np.array([len(x) for x in found], np.int64)

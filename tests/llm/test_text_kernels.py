@@ -104,6 +104,17 @@ def test_encoder_gives_what_the_library_gives():
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == use.plain(texts)
 
 
+def test_encoder_finds_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "", "plain", "漢<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "|> <|endoftext |>"]
+    ids, bounds = Encoder(vocabulary()).encode(texts)
+    got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    fresh = Tokenizer.from_file(vocabulary())
+    assert got == [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+    assert got[0] == [64, 220, 50256, 275]
+
+
 def test_base_patterns():
     rng = random.Random(5)
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
