@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -88,15 +88,72 @@ def _deletions() -> Column:
     return F.when(F.col("size") == F.col("n"), F.when(size > 0, F.concat(F.array(whole), gone)).otherwise(F.array(whole))).otherwise(gone)
 
 
+def _part_keys(line: Column, size: Column, edits: int, min_long: int) -> Column:
+    """Keys that two lines of ``min_long`` characters or more share if they are at most ``edits`` edits apart.
+
+    The shorter line, of n characters, is cut into ``edits`` + 1 parts by n, one of which no edit touches. The edits before
+    and after it bound how far it can move, so the longer line, of n to n + ``edits`` characters, has it at one of a few
+    places. The first ``edits`` + 1 keys are a line's own parts, the others what it may have of other lines' parts.
+    """
+    keys = {True: [], False: []}
+    for more in range(edits + 1):
+        n = size - more
+        for i in range(edits + 1):
+            begin = F.floor(n * i / (edits + 1))
+            width = F.floor(n * (i + 1) / (edits + 1)) - begin
+            for move in range(max(-i, more - (edits - i)), min(i, more + (edits - i)) + 1):
+                key = F.xxhash64(n, F.lit(3), F.lit(i), F.substring(line, begin + move + 1, width))
+                keys[more == 0 and move == 0].append(F.when(n >= min_long, key))
+    return F.when(size >= min_long, F.array(*keys[True], *keys[False]))
+
+
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key two different lines have."""
     seen = rows.groupBy(key).agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low != high").select(key)
     return rows.join(seen, key)
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:
+def _sharing_parts(distinct: DataFrame, edits: int) -> DataFrame:
+    """(one, key, own): the part keys that two different lines have, one of them as its own part."""
+    keys = distinct.where("parts IS NOT NULL").select("one", F.posexplode("parts").alias("slot", "key")).where("key IS NOT NULL")
+    group = Window.partitionBy("key")
+    keys = keys.select("one", "key", (F.col("slot") <= edits).alias("own"))
+    seen = keys.select("*", F.min("one").over(group).alias("low"), F.max("one").over(group).alias("high"), F.max("own").over(group).alias("any"))
+    return seen.where("low != high AND any").select("one", "key", "own")
+
+
+def _held(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(one, two, near) of the pairs (one, two, near, other_one, other_two) that are at most ``edits`` edits apart."""
+    mine = texts.select("one", "two", "line")
+    other = texts.select(F.col("one").alias("other_one"), F.col("two").alias("other_two"), F.col("line").alias("other"))
+    apart = F.levenshtein("line", "other", edits)  # -1 beyond the bound
+    return pairs.distinct().join(mine, ["one", "two"]).join(other, ["other_one", "other_two"]).where(apart >= 0).select("one", "two", "near")
+
+
+def _farther_lines(parts: DataFrame, texts: DataFrame, near: DataFrame, edits: int) -> DataFrame:
+    """(one, two, near): for lines not in ``near``, a place of an earlier line at most ``edits`` edits away.
+
+    Each line is verified against the earliest owner of each of its parts; only those that this leaves open are compared
+    with all earlier lines that share a part, so a large group of near copies is not taken pair by pair.
+    """
+    rows = saved(parts.join(texts.select("one", "two", "place"), "one"))
+    at = F.struct("place", "one", "two")
+    first = rows.where("own").groupBy("key").agg(F.min(at).alias("first"))
+    open_ = rows.join(near.select("one", "two"), ["one", "two"], "left_anti")
+    led = open_.join(first, "key").where("first.place < place")
+    led = led.select("one", "two", F.col("first.place").alias("near"), F.col("first.one").alias("other_one"), F.col("first.two").alias("other_two"))
+    found = saved(_held(led, texts, edits).groupBy("one", "two").agg(F.min("near").alias("near")))
+    open_ = open_.join(found.select("one", "two"), ["one", "two"], "left_anti")
+    other = rows.select("key", F.col("own").alias("other_own"), F.col("place").alias("near"), F.col("one").alias("other_one"), F.col("two").alias("other_two"))
+    pairs = open_.join(other, "key").where("near < place AND (own OR other_own)").select("one", "two", "near", "other_one", "other_two")
+    return found.unionByName(_held(pairs, texts, edits))
+
+
+def near_lines(lines: DataFrame, distinct: DataFrame, min_near: int, edits: int = 1) -> DataFrame:
     """(one, two, near): for distinct lines with an earlier one at most one edit away, the earliest such place.
 
+    With ``edits`` above one, lines with part keys have as many edits, and those found by these have some such place.
+
     Emitting every line's deletion variants at once would make as many rows as the corpus has characters. An edit
     leaves half of a line equal, and of the other half all pieces but one, so lines are first joined by halves, those
     that share a half by pieces, and only for a shared piece are its deletion variants emitted. No pair is lost. Lines
@@ -108,7 +165,11 @@ def near_lines(lines: DataFrame, distinct: DataFrame, min_near: int) -> DataFram
     halves = long.select("one", _halves()).where(F.col("n") >= min_near)
     halves = saved(_shared(halves, "key").select("one", "n", "side").distinct())
     # the texts of lines that share a half, each from its first place
-    wanted = long.join(halves.select("one").distinct(), "one", "left_semi").select("one", "two", "place", "size", "place.tie", "place.line_no")
+    ones = halves.select("one")
+    if edits > 1:
+        parts = saved(_sharing_parts(distinct, edits))
+        ones = ones.unionByName(parts.select("one"))
+    wanted = distinct.join(ones.distinct(), "one", "left_semi").select("one", "two", "place", "size", "place.tie", "place.line_no")
     here = lines.withColumn("own", _place())
     texts = saved(
         here.join(wanted, ["one", "two", "tie", "line_no"]).where("own = place").select("one", "two", "place", "size", "line").dropDuplicates(["one", "two"])
@@ -126,19 +187,21 @@ def near_lines(lines: DataFrame, distinct: DataFrame, min_near: int) -> DataFram
     earliest = F.when(F.col("gone") < 0, F.col("cut")).otherwise(F.least("whole", "same"))
     pairs = rows.select("one", "two", "place", earliest.alias("first")).where(F.col("first.place") < F.col("place"))
     pairs = pairs.select("one", "two", F.col("first.place").alias("near"), F.col("first.one").alias("other_one"), F.col("first.two").alias("other_two")).distinct()
-    mine = texts.select("one", "two", "line")
-    other = texts.select(F.col("one").alias("other_one"), F.col("two").alias("other_two"), F.col("line").alias("other"))
-    held = pairs.join(mine, ["one", "two"]).join(other, ["other_one", "other_two"]).where(F.levenshtein("line", "other") <= 1)
-    return held.groupBy("one", "two").agg(F.min("near").alias("near"))
+    near = _held(pairs, texts, 1)
+    if edits > 1:
+        near = saved(near)
+        near = near.unionByName(_farther_lines(parts, texts, near, edits))
+    return near.groupBy("one", "two").agg(F.min("near").alias("near"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_near: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_near: int = 16, edits: int = 2, min_long: int = 200) -> DataFrame:
     """One row per document: doc_id, n_lines, n_repeated, n_near, n_kept, dropped (numbers of lines that go, from 0).
 
     Lines are what newlines separate. Places are ordered by doc_id, then line number. A line of ``min_chars``
     characters or more goes if the same line is at an earlier place (repeated), or else if a line at an earlier place
     is one insertion, deletion or substitution of a character away (near); for the latter, both lines have
-    ``min_near`` characters or more. The earlier line counts whether or not it goes itself.
+    ``min_near`` characters or more. Where both have ``min_long`` characters or more, up to ``edits`` of these are near.
+    The earlier line counts whether or not it goes itself.
 
     A null or empty text is one empty line, and shorter lines than ``min_chars``, with the default the empty ones, all
     stay. Null ids come after all others; of rows that share an id, the order is that of a hash of their texts, and
@@ -149,13 +212,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = F.length("line")
     counted = lines.withColumn("size", size).where(F.col("size") >= min_chars)
     keys = _half_keys(F.col("line"), F.col("size"))
+    if edits > 1:
+        keys["parts"] = _part_keys(F.col("line"), F.col("size"), edits, max(min_long, min_near))
     # a line's size and keys follow from its text, so any of equal lines has them
     distinct = saved(
         counted.select("one", "two", _place().alias("place"), "size", *(v.alias(k) for k, v in keys.items()))
         .groupBy("one", "two")
         .agg(F.min("place").alias("place"), *(F.max(k).alias(k) for k in ("size", *keys)))
     )
-    near = saved(near_lines(lines, distinct, min_near))
+    near = saved(near_lines(lines, distinct, min_near, edits))
     first = distinct.select("one", "two", "place").join(near.select("one", "two", F.lit(True).alias("is_near")), ["one", "two"], "left")
     found = lines.select("doc_id", "tie", "line_no", "one", "two", (size >= min_chars).alias("counts")).join(first, ["one", "two"], "left")
     repeated = F.col("counts") & (_place() != F.col("place"))
@@ -187,8 +252,8 @@ def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", t
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line_dedup`` of all documents; the dropped lines' numbers joined by commas."""
-    found = line_dedup(table(spark, sf_dir, "documents"))
+    """``line_dedup`` of all documents, with the one edit of its SQL; the dropped lines' numbers joined by commas."""
+    found = line_dedup(table(spark, sf_dir, "documents"), edits=1)
     return found.withColumn("dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","))
 
 

@@ -381,6 +381,36 @@ def test_line_dedup(spark):
     assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows}
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_of_long_lines(spark, edits):
+    rng = random.Random(7)
+    base = ["".join(rng.choices("abcdé ", k=rng.randint(198, 206))) for _ in range(12)]
+
+    def edited(x):
+        for _ in range(rng.randint(0, 4)):
+            i, k = rng.randrange(len(x) + 1), rng.randrange(3)
+            x = x[:i] + rng.choice("abz") * (k != 1) + x[i + (k > 0) :]
+        return x
+
+    lines = [edited(rng.choice(base)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in line_dedup.line_dedup(df, edits=edits).collect()}
+
+    def distance(a, b, most=5):
+        row = {j: j for j in range(most + 1)}
+        for i, x in enumerate(a, 1):
+            new = {}
+            for j in range(max(0, i - most), min(len(b), i + most) + 1):
+                new[j] = min(row.get(j, 99) + 1, new.get(j - 1, 99) + 1, row.get(j - 1, 99) + (x != b[j - 1]) if j else 99)
+            row = new
+        return row.get(len(b), 99)
+
+    for n, line in enumerate(lines):
+        bound = lambda y: edits if min(len(y), len(line)) >= 200 else 1  # noqa: E731, B023
+        assert got[n] == (line not in lines[:n] and any(distance(line, y) <= bound(y) for y in lines[:n]))
+    assert sum(got.values()) > sum(r["n_near"] for r in line_dedup.line_dedup(df, edits=1).collect())
+
+
 def test_line_dedup_messy(messy, empty):
     got = line_dedup.line_dedup(messy).collect()
     assert len(got) == len(set(MESSY)) and sum(r["n_near"] for r in got) == 0
