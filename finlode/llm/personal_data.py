@@ -121,6 +121,25 @@ LABELLED = (
     "| 12 | 40 | 8 | 300 |",
     "room 101 floor 2 of 5",
     "twitter @name and #tag1 of 2",
+    "ring [phone:(212) 555 - 0187] today",
+    "call [phone:375 - 555 - 4393] after noon",
+    "tel. [phone:(802) 555 / 9869] for orders",
+    "phone [phone:555 . 010 . 4393] or write",
+    "call [phone:(649) 555-1648 ext 12] now",
+    "her number is [phone:555-867-5309 ext. 204] today",
+    "card [card:4111 - 1111 - 1111 - 1111] expires soon",
+    "card number [card:5500 - 0000 - 0000 - 0004] was used",
+    "paid with [card:4012 / 8888 / 8888 / 1881] today",
+    "email me: [email:jane at example dot com] thanks",
+    "reach [email:sales at mail2 dot example dot org] now",
+    "contact [email:help (at) example.com] first",
+    "address [email:j.smith [at] example.org] is mine",
+    "from 1999 - 2005 about 30 - 40 people",
+    "pages 12 - 18 and 2 / 3 of it",
+    "score 3 - 2 in 90 minutes on 12 / 05 / 2020",
+    "the date 2019 - 05 - 12 at 10:30",
+    "words - and more / or less",
+    "look at the dot on page 12 - or not",
 )
 
 _TOKEN = re.compile(r"\S+")
@@ -160,10 +179,39 @@ def features(tokens: list[str], i: int) -> list[str]:
     return out
 
 
+#: Tokens that can stand between parts of personal data.
+BETWEEN = frozenset(("-", "\u2013", "\u2014", "/", ".", "\u00b7", "ext", "ext.", "x"))
+#: Spelled-out signs of an address; those in brackets need no dot after them.
+BRACKETED = frozenset(("(at)", "[at]"))
+AT, DOT = BRACKETED | {"at"}, frozenset(("dot", "(dot)", "[dot]"))
+
+
 def open_token(token: str) -> bool:
-    """Whether a token can be part of personal data at all; any other is outside by the model's definition."""
+    """Whether a token by itself can be part of personal data."""
     low = token.lower()
-    return any("0" <= c <= "9" for c in token) or "@" in token or "(at)" in low or "[at]" in low
+    return any("0" <= c <= "9" for c in token) or "@" in token or "(at)" in low or "[at]" in low or low in BETWEEN
+
+
+def _spelled(row: np.ndarray, at: np.ndarray, bracketed: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    """Which tokens are in an address in words: ``a (at) b``, or ``a at b dot c`` with any more dots; rows tell texts apart."""
+    n = len(row)
+    out = np.zeros(n, bool)
+    for i in np.flatnonzero(bracketed).tolist():
+        for k in (i - 1, i, i + 1):
+            out[k % n] |= 0 <= k < n and row[k] == row[i]
+    chained = set()
+    for j in np.flatnonzero(dot).tolist():
+        if j + 1 < n and j > 2 and row[j - 3] == row[j + 1] and (at[j - 2] or j - 2 in chained):
+            out[j - 3 : j + 2] = True
+            chained.add(j)
+    return out
+
+
+def open_tokens(tokens: list[str]) -> list[bool]:
+    """Which of a text's tokens can be part of personal data; any other is outside by the model's definition."""
+    low = [x.lower() for x in tokens]
+    at, bracketed, dot = (np.array([x in words for x in low], bool) for words in (AT, BRACKETED, DOT))
+    return [a or bool(b) for a, b in zip(map(open_token, tokens), _spelled(np.zeros(len(low)), at, bracketed, dot), strict=True)]
 
 
 @dataclass
@@ -224,7 +272,7 @@ def fit(examples=LABELLED, steps: int = 200, rate: float = 0.1, decay: float = 2
     ids = [[np.array([names[f] for f in row]) for row in rows] for rows in lists]
     step_mask, first_mask = _allowed()
     # only tokens that are open may be anything but outside
-    masks = [np.array([[0.0] + [0.0 if open_token(x) else -1e4] * (len(LABELS) - 1) for x in t]) for t, _ in parsed]
+    masks = [np.array([[0.0] + [0.0 if x else -1e4] * (len(LABELS) - 1) for x in open_tokens(t)]) for t, _ in parsed]
     n = len(LABELS)
     weights = [np.zeros((len(names), n)), np.zeros((n, n))]
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
@@ -357,6 +405,15 @@ def _edges(n: int, field: ChainField, left: bool, right: bool) -> np.ndarray:
 _OPEN = W.byte_class(lambda b: 48 <= b <= 57 or b == 64)
 
 
+def _hashes(words: frozenset[str]) -> np.ndarray:
+    """The words' hashes as ``find`` gives them."""
+    raw = [x.encode() for x in sorted(words)]
+    return W.find(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), W.SOLID).hash
+
+
+_BETWEEN, _AT, _BRACKETED, _DOT = (_hashes(x) for x in (BETWEEN, AT, BRACKETED, DOT))
+
+
 def _stretches(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     """By row, byte bounds within the text of its stretches of open tokens."""
     found = W.find(data, offsets, W.SOLID)
@@ -368,6 +425,8 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[in
     for i in np.flatnonzero(~flag & (bracket[found.end] > bracket[found.start])).tolist():
         low = data[found.start[i] : found.end[i]].tobytes().lower()
         flag[i] = b"(at)" in low or b"[at]" in low
+    flag |= np.isin(found.hash, _BETWEEN)
+    flag |= _spelled(found.row, *(np.isin(found.hash, x) for x in (_AT, _BRACKETED, _DOT)))
     joined = np.zeros(len(flag), bool)
     joined[1:] = flag[1:] & flag[:-1] & (found.row[1:] == found.row[:-1])
     head = np.flatnonzero(flag & ~joined)

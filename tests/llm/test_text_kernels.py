@@ -157,6 +157,23 @@ def test_field_learns_its_table_and_stretches_are_exact():
         assert found(text) == sorted(spans)
 
 
+def test_field_takes_separate_separators_and_spelled_addresses():
+    use = fit(LABELLED)
+    for text, want in (
+        ("call (917) 555 - 0123 today", [(3, "(917) 555 - 0123")]),
+        ("card 4242 - 4242 - 4242 - 4242 was used", [(2, "4242 - 4242 - 4242 - 4242")]),
+        ("email me: john at company dot net thanks", [(0, "john at company dot net")]),
+        ("reach info at news dot site dot org now", [(0, "info at news dot site dot org")]),
+        ("contact joe (at) site.net first", [(0, "joe (at) site.net")]),
+        ("call (917) 555-0123 ext 77 now", [(3, "(917) 555-0123 ext 77")]),
+        ("from 1985 - 1999 and 3 / 4 - or more", []),
+        ("seen at the dot - and at home", []),
+    ):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        parts = _stretches(raw, np.array([0, len(raw)])).get(0, [])
+        assert [(k, text[a:b]) for k, a, b in field_spans([text], [parts], use)[0]] == want
+
+
 def test_base_spans_in_time_on_long_runs():
     """Long runs of digits, dots, signs and local parts are scanned once, not from each of their places."""
     assert base_spans("1" * 400_000) == [] and base_spans("a" * 400_000 + "@") == [] and base_spans("+" * 400_000) == []
