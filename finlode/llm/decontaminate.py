@@ -14,7 +14,8 @@ from . import words as W
 from .common import blocks, documents, table
 
 BITS, CHUNKS = 64, 8
-#: Largest Hamming distance of fingerprints that is looked up. Windows at a similarity of 0.8 differ in about 10 bits.
+#: Largest Hamming distance of fingerprints that is looked up. Windows at a similarity of 0.8 differ in about 10 bits where
+#: shingles occur once each; windows that differ in more are found by the shingles that they share.
 RADIUS = 23
 #: Bytes of items in one pass over the documents; a larger benchmark is taken in several passes.
 ITEM_BYTES = 32 << 20
@@ -68,7 +69,7 @@ class Benchmark:
         # items by (words in a shingle, shingles); short items are one shingle of all their words
         self.groups: dict[tuple[int, int], list[int]] = {}
         self.bags: list[Counter] = []
-        anchors: dict[int, dict[int, set[int]]] = {}
+        anchors: dict[int, dict[int, list[int]]] = {}
         prints = []
         for row in np.flatnonzero(counts).tolist():
             a, b = found.first[row], found.first[row + 1]
@@ -79,13 +80,14 @@ class Benchmark:
             self.bags.append(Counter(hashes.tolist()))
             self.groups.setdefault((width, len(hashes)), []).append(item)
             for h in set(hashes.tolist()):
-                anchors.setdefault(width, {}).setdefault(h, set()).add(len(hashes))
+                anchors.setdefault(width, {}).setdefault(h, []).append(item)
             prints.append(fingerprints(_signs(hashes), np.array([0]), len(hashes))[0])
+        self.sizes = [sum(bag.values()) for bag in self.bags]
         self.index = {key: HammingIndex(np.array([prints[i] for i in members]), radius) for key, members in self.groups.items()}
         self.anchors = {}
         for width, seen in anchors.items():
             hashes = np.array(sorted(seen), np.uint64)
-            self.anchors[width] = (hashes, [sorted(seen[int(h)]) for h in hashes])
+            self.anchors[width] = (hashes, [seen[int(h)] for h in hashes])
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple]]:
         """By row: (item, similarity, first word of the best window, words in it) of each item found in the text.
@@ -95,7 +97,7 @@ class Benchmark:
         """
         found = W.find(data, offsets, W.ALNUM)
         out: dict[int, dict[int, tuple]] = {}
-        for width, (known, sizes) in self.anchors.items():
+        for width, (known, owners) in self.anchors.items():
             hashes, heads = W.shingles(found, width)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = np.flatnonzero(known[at] == hashes)
@@ -106,15 +108,28 @@ class Benchmark:
             for row in np.unique(rows[hit]).tolist():
                 a, b = int(first[row]), int(first[row + 1])
                 own = hit[(hit >= a) & (hit < b)]
-                self._search(width, hashes[a:b], own - a, [sizes[i] for i in at[own].tolist()], out.setdefault(row, {}))
+                self._search(width, hashes[a:b], own - a, [owners[i] for i in at[own].tolist()], out.setdefault(row, {}))
         return {row: [(i, *best) for i, best in sorted(items.items())] for row, items in out.items() if items}
 
-    def _search(self, width: int, hashes: np.ndarray, hit: np.ndarray, sizes: list[list[int]], best: dict[int, tuple]) -> None:
+    def _search(self, width: int, hashes: np.ndarray, hit: np.ndarray, owners: list[list[int]], best: dict[int, tuple]) -> None:
         n = len(hashes)
+        shared: dict[int, list[int]] = {}
+        for place, own in zip(hit.tolist(), owners, strict=True):
+            for item in own:
+                shared.setdefault(item, []).append(place)
         wanted: dict[int, list[int]] = {}
-        for place, own in zip(hit.tolist(), sizes, strict=True):
-            for m in own:
-                wanted.setdefault(m, []).append(place)
+        for item, places in shared.items():
+            m = self.sizes[item]
+            wanted.setdefault(m, []).extend(places)
+            size = min(m, n)
+            # both and either sum up to size + m, so a similar window has so many places with the item's shingles
+            need = -(-self.percent * (size + m) // (100 + self.percent))
+            if len(places) >= need:
+                count = np.zeros(n + 1, np.int64)
+                count[np.array(places) + 1] = 1
+                count = np.cumsum(count)
+                for start in np.flatnonzero(count[size:] - count[: n - size + 1] >= need).tolist():
+                    self._verify(width, hashes, start, size, item, best)
         for m, places in wanted.items():
             size = min(m, n)  # a shorter text is one window
             near = np.unique(np.clip((np.array(places)[:, None] - np.arange(size)).ravel(), 0, n - size))
@@ -126,16 +141,18 @@ class Benchmark:
                 members = self.groups[width, m]
                 for start, print_ in zip(run.tolist(), prints, strict=True):
                     for i in self.index[width, m].search(print_).tolist():
-                        item = members[i]
-                        bag = self.bags[item]
-                        window = Counter(hashes[start : start + size].tolist())
-                        both = sum((window & bag).values())
-                        either = sum((window | bag).values())
-                        if 100 * both >= self.percent * either:
-                            share = both / either
-                            key = self.ids[item]
-                            if key not in best or share > best[key][0]:
-                                best[key] = (share, start, size + width - 1)
+                        self._verify(width, hashes, start, size, members[i], best)
+
+    def _verify(self, width: int, hashes: np.ndarray, start: int, size: int, item: int, best: dict[int, tuple]) -> None:
+        bag = self.bags[item]
+        window = Counter(hashes[start : start + size].tolist())
+        both = sum((window & bag).values())
+        either = sum((window | bag).values())
+        if 100 * both >= self.percent * either:
+            share = both / either
+            key = self.ids[item]
+            if key not in best or (share, -start) > (best[key][0], -best[key][1]):
+                best[key] = (share, start, size + width - 1)
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
@@ -173,9 +190,9 @@ def benchmark_hits(
     """One row per document and item found in it: doc_id, item_id, similarity, first_word, n_words.
 
     Words are runs of letters, digits and characters that are not ASCII, A-Z lower-cased. A window has as many k-word
-    shingles as the item. Its SimHash, weighted by how often a shingle occurs, must be within ``radius`` bits of the
-    item's, which a multi-index over the fingerprints' bytes finds without loss; then the weighted Jaccard similarity
-    of the shingles, sum of smaller counts over sum of larger ones, must be ``percent`` or more. Of an item's windows
+    shingles as the item. Looked at are windows whose SimHash, weighted by how often a shingle occurs, is within ``radius``
+    bits of the item's, by a multi-index over the fingerprints' bytes, and all that share as many places as the similarity
+    takes, so none is missed; the weighted Jaccard similarity of the shingles, sum of smaller counts over sum of larger ones, must be ``percent`` or more. Of an item's windows
     in a document the best is returned, ties by the first. Documents are scanned once per ``item_bytes`` of benchmark,
     without a shuffle.
 

@@ -239,6 +239,16 @@ def test_decontaminate(spark):
     assert left == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontaminate_finds_windows_without_the_repeats(spark):
+    """Without an item's one repeated shingle a window's SimHash is far from the item's, though their similarity is not."""
+    same = [f"s{i}" for i in range(850)]
+    rows = [(1, " ".join([*same, *(f"d{i}" for i in range(100))])), (2, " ".join(same[:700]))]
+    items = [(7, " ".join([*same, *["r"] * 100]))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.benchmark_hits(df, bench).collect()}
+    assert got == brute_hits(rows, items) and set(got) == {(1, 7)}
+
+
 def test_decontaminate_messy(spark, messy, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in decontaminate.benchmark_hits(messy, bench).collect()) == [0, 1, 2, 2]
