@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
-from .words import mix, powers
+from .words import mix, weights
 
 #: Texts with a character from here on go through the library whole: their classes differ between Unicode versions.
 FIRST_RARE = 0x3000
 #: Pieces remembered by a worker; beyond that it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1 << 18
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 _TABLE: np.ndarray | None = None
@@ -98,8 +99,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
         #: What the library looks for in a text before it cuts it; a text with any of these goes through it whole.
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [x.content for x in added]
+        #: Whether a text can be cut at white space: no added token has any in it or takes any beside it.
+        self.cuttable = not any(x.lstrip or x.rstrip or x.content.split() != [x.content] for x in added)
         self.forget()
 
     def forget(self) -> None:
@@ -135,7 +139,7 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         size = np.diff(np.append(begin, len(points)))
         place = np.arange(len(points)) - np.repeat(begin, size)
-        terms = mix(points.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
+        terms = mix(points.astype(np.uint64) + np.uint64(1)) * weights(place)
         hashes, first, which = np.unique(mix(np.add.reduceat(terms, begin)), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > REMEMBERED:
             self.forget()
@@ -157,6 +161,26 @@ class Encoder:
         return self.ids[source], total[np.searchsorted(begin, offsets)]
 
 
+    def parts(self, text: str, limit: int) -> Iterator[str]:
+        """The text in parts of about ``limit`` characters, which encode by themselves to what the whole text encodes to.
+
+        A part ends at a solid character before white space: no piece holds both, and what follows is cut the same
+        way whatever is before it. Only where there is no such place within ``limit`` is a part longer.
+        """
+        low, size = 0, limit
+        while self.cuttable and len(text) - low > size:
+            points = np.frombuffer(text[low : low + size].encode("utf-32-le", "surrogatepass"), np.uint32)
+            kind = classes()[np.minimum(points, FIRST_RARE - 1)]
+            plain = points < FIRST_RARE
+            ends = np.flatnonzero((kind[:-1] != SPACE) & (kind[1:] == SPACE) & plain[:-1] & plain[1:])
+            if len(ends):
+                yield text[low : low + int(ends[-1]) + 1]
+                low, size = low + int(ends[-1]) + 1, limit
+            else:
+                size *= 2
+        yield text[low:]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -28,8 +28,8 @@ from .common import blocks, documents, shared_dir, table
 from .pretokens import encoder, vocabulary
 
 CHUNK_IDS = 1 << 16
-#: Bytes of text that the tokenizer takes at once.
-TEXT_BYTES = 4 << 20
+#: Bytes of text that the tokenizer takes at once, and characters of a part of a longer text.
+TEXT_BYTES = 1 << 18
 
 
 def to_planes(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -96,16 +96,21 @@ class _Chunks:
         self.chunk, self.order, self.ids, self.room = 0, 0, [], size
         self.docs: list[tuple] = []
 
-    def add(self, doc, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, doc, ids: np.ndarray, opens: bool = True, closes: bool = True) -> Iterator[pa.RecordBatch]:
+        """Takes a document's ids, or some of them in order: its first if it opens, its last if it closes."""
         at = 0
         while at < len(ids):
             take = min(self.room, len(ids) - at)
             self.ids.append(ids[at : at + take])
-            self.docs.append((doc, self.order, take, at == 0, at + take == len(ids)))
+            first, last, size = opens and at == 0, closes and at + take == len(ids), take
+            if self.docs and self.docs[-1][1] == self.order:
+                _, _, before, first, _ = self.docs.pop()
+                size += before
+            self.docs.append((doc, self.order, size, first, last))
             at, self.room = at + take, self.room - take
             if not self.room:
                 yield self.close()
-        self.order += 1
+        self.order += closes
 
     def close(self) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
@@ -131,8 +136,9 @@ def write_token_files(
     """Encodes all texts, appends ``end_id`` to each, and writes all ids in ascending doc_id order.
 
     Rows are dealt over parts by ranges of doc_id, ties by a hash of the text, so a part is a range of ids
-    and rows that share one id can still spread over parts. A part is encoded as a stream in bounded memory:
-    chunks are written as soon as they are full, and a long document goes through many chunks.
+    and rows that share one id can still spread over parts. A part is encoded as a stream: chunks are written as soon
+    as they are full, and a long document is encoded part by part, cut before white space, and goes through many
+    chunks. Beyond the row itself, memory is bounded but for a stretch without white space, which is taken whole.
 
     A null text is the empty text, which gives the end id alone. Null ids come first. Rows that repeat an id
     are documents of their own, in the order of their texts' hashes. Other columns are ignored, whatever
@@ -149,7 +155,15 @@ def write_token_files(
         out = _Chunks(TaskContext.get().partitionId(), chunk_ids, planes, level, schema)
         use = encoder(vocabulary_path)
         for batch in batches:
-            for rows, _, _ in blocks(batch, limit=TEXT_BYTES):
+            for rows, raw, _ in blocks(batch, limit=TEXT_BYTES):
+                if len(raw) > TEXT_BYTES:  # one long text
+                    doc, opens = rows.column(0)[0].as_py(), True
+                    for part in use.parts(rows.column(1)[0].as_py(), TEXT_BYTES):
+                        if part:
+                            yield from out.add(doc, use.encode([part])[0], opens, False)
+                            opens = False
+                    yield from out.add(doc, np.array([end_id], np.uint32), opens)
+                    continue
                 texts = rows.column(1).to_pylist()
                 ids, bounds = use.encode(texts)
                 for i, doc in enumerate(rows.column(0).to_pylist()):

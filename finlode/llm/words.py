@@ -27,16 +27,8 @@ LOWER[65:91] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_CODES_LOWER = _BYTE_CODES[LOWER]
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1024)
-        _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _MULTIPLIER)]))
-    return _powers[:n]
+#: Bytes that ``find`` hashes at a time; it bounds the memory that a long text or word takes.
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +39,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_WEIGHTS = mix(np.arange(1, (1 << 14) + 1, dtype=np.uint64) * _MULTIPLIER)
+
+
+def weights(place: np.ndarray) -> np.ndarray:
+    """A fixed random 64-bit number for each place in a word.
+
+    A hash sums codes times these. Numbers without a rule between them leave no two words with equal hashes by
+    construction, as powers of one number would.
+    """
+    if not len(place) or place.max() < len(_WEIGHTS):
+        return _WEIGHTS[place]
+    return mix((place.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER)
+
+
 @dataclass
 class Words:
     """Words of a block: byte places, the row each is of, and rows' first words (one more entry than rows)."""
@@ -73,20 +79,23 @@ def find(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool
     end = np.flatnonzero(last) + 1
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    if not len(start):
-        return Words(start, end, row, first, np.empty(0, np.uint64))
-    size = end - start
-    at = np.flatnonzero(flag)
-    place = at - np.repeat(start, size)
-    terms = (_BYTE_CODES_LOWER if lower else _BYTE_CODES)[data[at]] * powers(int(size.max()))[place]
-    head = np.concatenate([[0], np.cumsum(size)[:-1]])
-    return Words(start, end, row, first, mix(np.add.reduceat(terms, head)))
+    codes = _BYTE_CODES_LOWER if lower else _BYTE_CODES
+    sums = np.zeros(len(start), np.uint64)
+    for low in range(0, n if len(start) else 0, PIECE):
+        high = min(low + PIECE, n)
+        a, b = int(np.searchsorted(end, low, "right")), int(np.searchsorted(start, high))
+        if a < b:
+            size = np.minimum(end[a:b], high) - np.maximum(start[a:b], low)
+            at = np.flatnonzero(flag[low:high])
+            terms = codes[data[low:high][at]] * weights(at + low - np.repeat(start[a:b], size))
+            sums[a:b] += np.add.reduceat(terms, np.cumsum(size) - size)
+    return Words(start, end, row, first, mix(sums))
 
 
 def word_hash(word: str) -> int:
     """The hash ``find`` gives to a word, lower-cased."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    terms = _BYTE_CODES_LOWER[raw] * powers(len(raw))
+    terms = _BYTE_CODES_LOWER[raw] * weights(np.arange(len(raw)))
     return int(mix(np.add.reduce(terms, dtype=np.uint64)[None])[0])
 
 

@@ -102,6 +102,24 @@ def test_token_files(spark, docs, planes, chunk, parts):
         at += len(ids)
 
 
+def test_token_files_of_long_texts(spark, monkeypatch):
+    """Texts taken in parts give the same chunks as whole ones; ids as a fresh tokenizer gives them."""
+    from tokenizers import Tokenizer
+
+    from finlode.llm.pretokens import vocabulary
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["ab", "c'll", "déjà", "<|endoftext|>", "x1", ",", "\n"], k=n))) for i, n in enumerate([3, 40_000, 1, 90_000, 0])]
+    path = shared_dir(spark)
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, chunk_ids=7000)
+    fresh, at = Tokenizer.from_file(vocabulary()), 0
+    got = token_files.read_token_files(spark, path).orderBy("doc_id").collect()
+    for r, (doc, text) in zip(got, rows, strict=True):
+        ids = np.array([*fresh.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(r) == (doc, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_token_files_messy(spark, messy, empty):
     path = shared_dir(spark)
     token_files.write_token_files(messy, path, chunk_ids=100)

@@ -52,6 +52,20 @@ def test_words_and_shingles(inside, pattern):
                 assert seen.setdefault(x, h) == h
 
 
+def test_words_without_structure_and_long_words():
+    """Words that a polynomial modulo 2**64 confuses have different hashes; words over several pieces have the right one."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    assert W.word_hash(word) != W.word_hash(word.translate(str.maketrans("ab", "ba")))
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab", k=n)) for n in (W.PIECE - 3, 2 * W.PIECE + 7, 5)] + ["x y" * W.PIECE]
+    data, offsets = block(texts)
+    found = W.find(data, offsets, W.SOLID)
+    assert [int(h) for h in found.hash[:3]] == [W.word_hash(t) for t in texts[:3]]
+    assert found.first.tolist() == [0, 1, 2, 3, 3 + W.PIECE + 1] and len(set(found.hash[4:-1].tolist())) == 1 and int(found.hash[4]) == W.word_hash("yx")
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(500):
@@ -115,6 +129,23 @@ def test_encoder_finds_added_tokens_in_texts():
     assert got[0] == [64, 220, 50256, 275]
 
 
+def test_encoder_takes_long_texts_in_parts():
+    import resource
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abé'19!", k=rng.randint(1, 9))) for _ in range(3000)]
+    text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t ", "\u3000", " <|endoftext|> " if rng.random() < 0.01 else " "]) for _ in range(40_000))
+    use = Encoder(vocabulary())
+    parts = list(use.parts(text, 1 << 12))
+    assert "".join(parts) == text and len(parts) > 40
+    assert np.concatenate([use.encode([p])[0] for p in parts]).tolist() == use.plain([text])[0]
+    assert list(use.parts("z" * 9000, 1 << 12)) == ["z" * 9000]
+    long = text * 60  # more than 12 million characters
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert sum(len(use.encode([p])[0]) for p in use.parts(long, 1 << 18)) > len(long) // 5
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 250
+
+
 def test_base_patterns():
     rng = random.Random(5)
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
