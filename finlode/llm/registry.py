@@ -7,7 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op1_mixing
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .personal_data import op3_personal_data
 from .quality import op2_quality
 from .suffix_dedup import op7_suffix_dedup
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op9_near_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }

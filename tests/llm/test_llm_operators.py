@@ -205,6 +205,28 @@ def test_near_groups_of_edited_copies(spark):
     assert got == brute_groups(rows, 2, 80)
 
 
+def test_near_groups_of_words_that_a_polynomial_hash_confuses(spark):
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, one.upper()), (4, f"{one} x"), (5, f"{two} x")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_near_groups_in_small_blocks(spark, monkeypatch):
+    """Groups of many blocks, bounded by nodes and by bytes, give what brute force gives; so does the SQL."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXT", 3000)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    source = rng.choices(words, k=60)
+    rows = [(i, " ".join(w if rng.random() > 0.05 else rng.choice(words) for w in source)) for i in range(90)] + [(200, ""), (201, "x"), (202, "X"), (203, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == brute_groups(rows, 2, 80) == {r[0]: r[1:] for r in oracle(near_dedup.OP9_SQL, rows)}
+
+
 def test_near_groups_messy(messy, empty):
     got = near_dedup.near_groups(messy, k=2).collect()
     assert len(got) == len(MESSY)

@@ -83,6 +83,24 @@ def test_super_minhash_estimates_similarity():
         assert np.array_equal(x, super_minhash(np.concatenate([a, both]), 400))
 
 
+def test_similar_sets_of_a_full_block_in_bounded_memory():
+    import tracemalloc
+
+    from finlode.llm.near_dedup import BLOCK_NODES, similar
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(12) < 0.08, rng.integers(0, 2**63, 12, dtype=np.uint64), base)) for _ in range(2 * BLOCK_NODES)]
+    ones, others = np.arange(BLOCK_NODES), np.arange(BLOCK_NODES, 2 * BLOCK_NODES)
+    tracemalloc.start()
+    found = sum(len(x) for x, _ in similar(sets, ones, others, 80))
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and found > 0
+    tracemalloc.stop()
+    few = {(int(i), int(j)) for x, y in similar(sets[:60], np.arange(20), np.arange(10, 60), 80) for i, j in zip(x, y)}
+    held = lambda a, b: 100 * len({*a.tolist()} & {*b.tolist()}) >= 80 * len({*a.tolist()} | {*b.tolist()})
+    assert {(i, j) for i, j in few if i != j} == {(i, j) for i in range(20) for j in range(10, 60) if i != j and held(sets[i], sets[j])}
+
+
 def test_suffix_automaton_gives_matching_statistics():
     rng = random.Random(4)
     texts = [[rng.randint(0, 3) for _ in range(rng.randint(1, 12))] for _ in range(5)]
