@@ -17,7 +17,7 @@ from .words import mix, weights
 #: Texts with a character from here on go through the library whole: their classes differ between Unicode versions.
 FIRST_RARE = 0x3000
 #: Pieces remembered by a worker; beyond that it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 _TABLE: np.ndarray | None = None

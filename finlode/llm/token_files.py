@@ -29,7 +29,7 @@ from .pretokens import encoder, vocabulary
 
 CHUNK_IDS = 1 << 16
 #: Bytes of text that the tokenizer takes at once, and characters of a part of a longer text.
-TEXT_BYTES = 1 << 18
+TEXT_BYTES = 1 << 19
 
 
 def to_planes(ids: np.ndarray, planes: str) -> list[bytes]:
