@@ -348,9 +348,13 @@ def test_personal_data(docs, messy, empty):
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in personal_data.KINDS] == [sum(s[0] == i for s in base) for i in range(4)]
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+        assert r["n_added"] == 0 and r["n_secret"] == len(re.findall(r'(?i)token = "[0-9a-f]{40}"', text))  # all that is in these texts
+        assert r["n_found"] == len(base) + r["n_secret"]
     rows = personal_data.personal_data(messy).collect()
     assert len(rows) == len(MESSY) and [r["n_email"] for r in rows if r["doc_id"] == 8] == [1] and sum(r["spans"] != "" for r in rows) == 1
     assert personal_data.personal_data(empty).count() == 0
+    long = [(1, "0" * 5000 + ".1.1.1"), (2, "9" * 100_000), (3, None)]
+    assert [r["n_ip"] for r in personal_data.personal_data(docs.sparkSession.createDataFrame(long, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 0, 0]
 
 
 def test_personal_data_counts_characters(spark):
