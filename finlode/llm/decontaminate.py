@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import blocks, documents, table
 
-BITS, CHUNKS = 64, 8
+#: Bits of a fingerprint, and blocks of 16 bits that it is cut into.
+BITS, CHUNKS = 64, 4
 #: Largest Hamming distance of fingerprints that is looked up. Windows at a similarity of 0.8 differ in about 10 bits where
 #: shingles occur once each; windows that differ in more are found by the shingles that they share.
-RADIUS = 23
+RADIUS = 15
 #: Bytes of items in one pass over the documents; a larger benchmark is taken in several passes.
 ITEM_BYTES = 32 << 20
+#: Places that are fingerprinted at a time, if an item has not more, and windows that are looked up at a time.
+STRETCH, LOOKUPS = 4096, 256
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -28,32 +31,67 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(signs: np.ndarray, heads: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of windows of ``size`` shingles that begin at ``heads``: 8 bytes each, by sums over prefixes."""
+    """SimHash of windows of ``size`` shingles that begin at ``heads``, by sums over prefixes."""
     total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)])
-    return np.packbits(total[heads + size] - total[heads] > 0, axis=1, bitorder="little")
+    return np.packbits(total[heads + size] - total[heads] > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.bitwise_xor(a, b)).sum(axis=-1)
+def _block(prints: np.ndarray, chunk: int) -> np.ndarray:
+    return (prints >> np.uint64(16 * chunk)).astype(np.uint16)
 
 
 class HammingIndex:
-    """Fingerprints of items, by each of their 8 bytes.
+    """Fingerprints of items, sorted by each of their four blocks of 16 bits.
 
-    Fingerprints at most ``radius`` bits apart have some byte at most ``radius // 8`` bits apart, so looking every
-    byte up with its neighbours up to that distance finds all of them.
+    Fingerprints at most ``radius`` bits apart have some block at most ``radius // 4`` bits apart, so looking every
+    block up with all its neighbours up to that distance finds all of them.
     """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        values = np.arange(256, dtype=np.uint8)
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // CHUNKS
-        self.tables = [[np.flatnonzero(near[v][prints[:, c]]) for v in range(256)] for c in range(CHUNKS)]
-
-    def search(self, print_: np.ndarray) -> np.ndarray:
-        """All items within the radius of one fingerprint."""
-        found = np.unique(np.concatenate([self.tables[c][print_[c]] for c in range(CHUNKS)]))
-        return found[hamming(self.prints[found], print_) <= self.radius]
+        values = np.arange(1 << 16, dtype=np.uint16)
+        self.masks = values[np.bitwise_count(values) <= radius // CHUNKS]
+        self.orders = [np.argsort(_block(prints, c), kind="stable") for c in range(CHUNKS)]
+        self.values = [_block(prints, c)[order] for c, order in enumerate(self.orders)]
+
+    def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``prints``, item) of all items within the radius of each."""
+        windows, items = [], []
+        for c in range(CHUNKS):
+            wanted = _block(prints, c)[:, None] ^ self.masks
+            low, high = (np.searchsorted(self.values[c], wanted.ravel(), side) for side in ("left", "right"))
+            n = high - low
+            hit = np.flatnonzero(n)
+            at = np.repeat(low[hit] - np.cumsum(n[hit]) + n[hit], n[hit]) + np.arange(n[hit].sum())
+            windows.append(np.repeat(hit // len(self.masks), n[hit]))
+            items.append(self.orders[c][at])
+        window, item = np.concatenate(windows), np.concatenate(items)
+        near = np.bitwise_count(self.prints[item] ^ prints[window]) <= self.radius
+        pairs = np.unique(np.stack([window[near], item[near]]), axis=1)
+        return pairs[0], pairs[1]
+
+
+def shared_counts(places: np.ndarray, hashes: np.ndarray, most: np.ndarray, size: int, windows: int) -> tuple[int, np.ndarray]:
+    """For windows of ``size`` places the sum over an item's shingles of the smaller count: (first window, sums from there on).
+
+    ``places`` are ascending places of the item's shingles in a text, ``hashes`` which ones, ``most`` how often the item has
+    them. A place counts in the windows that hold it but not the place of the same shingle ``most`` times before. So each
+    adds one to a range of windows, and all sums come from one pass over the ranges' ends.
+    """
+    order = np.argsort(hashes, kind="stable")
+    at, own = places[order], hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    limit = most[order]
+    earlier = np.where(rank >= limit, at[np.maximum(np.arange(len(at)) - limit, 0)], -1)
+    low = np.maximum(np.maximum(earlier + 1, at - size + 1), 0)
+    high = np.minimum(at, windows - 1)
+    low, high = low[low <= high], high[low <= high]
+    if not len(low):
+        return 0, np.zeros(1, np.int64)
+    begin, end = int(low.min()), int(high.max())
+    change = np.bincount(low - begin, minlength=end - begin + 2) - np.bincount(high + 1 - begin, minlength=end - begin + 2)
+    return begin, np.cumsum(change[:-1])
 
 
 class Benchmark:
@@ -66,38 +104,43 @@ class Benchmark:
         found = W.find(np.frombuffer(b"".join(raw), np.uint8), offsets, W.ALNUM)
         counts = np.diff(found.first)
         self.ids = [i for (i, _), n in zip(items, counts, strict=True) if n]
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes, prints = [], []
         # items by (words in a shingle, shingles); short items are one shingle of all their words
-        self.groups: dict[tuple[int, int], list[int]] = {}
-        self.bags: list[Counter] = []
-        anchors: dict[int, dict[int, list[int]]] = {}
-        prints = []
+        groups: dict[tuple[int, int], list[int]] = {}
+        owned: dict[int, list[tuple[np.ndarray, int]]] = {}
         for row in np.flatnonzero(counts).tolist():
             a, b = found.first[row], found.first[row + 1]
             one = W.Words(found.start[a:b], found.end[a:b], np.zeros(b - a, int), np.array([0, b - a]), found.hash[a:b])
             width = min(k, int(b - a))
             hashes, _ = W.shingles(one, width)
             item = len(self.bags)
-            self.bags.append(Counter(hashes.tolist()))
-            self.groups.setdefault((width, len(hashes)), []).append(item)
-            for h in set(hashes.tolist()):
-                anchors.setdefault(width, {}).setdefault(h, []).append(item)
-            prints.append(fingerprints(_signs(hashes), np.array([0]), len(hashes))[0])
-        self.sizes = [sum(bag.values()) for bag in self.bags]
-        self.index = {key: HammingIndex(np.array([prints[i] for i in members]), radius) for key, members in self.groups.items()}
+            self.bags.append(np.unique(hashes, return_counts=True))
+            sizes.append(len(hashes))
+            groups.setdefault((width, len(hashes)), []).append(item)
+            owned.setdefault(width, []).append((self.bags[-1][0], item))
+            prints.append(_print(hashes))
+        self.sizes = np.array(sizes, np.int64)
+        all_prints = np.array(prints, np.uint64)
+        self.groups = {key: np.array(members) for key, members in groups.items()}
+        self.index = {key: HammingIndex(all_prints[members], radius) for key, members in self.groups.items()}
+        #: By width: all items' shingles in order, and the items that have each, laid end to end with their bounds.
         self.anchors = {}
-        for width, seen in anchors.items():
-            hashes = np.array(sorted(seen), np.uint64)
-            self.anchors[width] = (hashes, [seen[int(h)] for h in hashes])
+        for width, own in owned.items():
+            hashes, items_ = np.concatenate([h for h, _ in own]), np.repeat([i for _, i in own], [len(h) for h, _ in own])
+            order = np.argsort(hashes, kind="stable")
+            known, first = np.unique(hashes[order], return_index=True)
+            self.anchors[width] = known, items_[order], np.append(first, len(order))
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple]]:
         """By row: (item, similarity, first word of the best window, words in it) of each item found in the text.
 
-        A window that is similar enough shares a shingle with its item, so only windows around such shingles are
-        fingerprinted; no other window could be verified.
+        A window that is similar enough shares shingles with its item, so only windows with as many places of items'
+        shingles as the similarity takes are fingerprinted; no other window could be verified.
         """
         found = W.find(data, offsets, W.ALNUM)
         out: dict[int, dict[int, tuple]] = {}
-        for width, (known, owners) in self.anchors.items():
+        for width, (known, _, _) in self.anchors.items():
             hashes, heads = W.shingles(found, width)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = np.flatnonzero(known[at] == hashes)
@@ -105,54 +148,72 @@ class Benchmark:
                 continue
             rows = found.row[heads]
             first = np.searchsorted(rows, np.arange(len(offsets)))
-            for row in np.unique(rows[hit]).tolist():
+            cut = np.flatnonzero(np.concatenate([[True], rows[hit[1:]] != rows[hit[:-1]]]))
+            for own in np.split(hit, cut[1:]):
+                row = int(rows[own[0]])
                 a, b = int(first[row]), int(first[row + 1])
-                own = hit[(hit >= a) & (hit < b)]
-                self._search(width, hashes[a:b], own - a, [owners[i] for i in at[own].tolist()], out.setdefault(row, {}))
-        return {row: [(i, *best) for i, best in sorted(items.items())] for row, items in out.items() if items}
+                self._search(width, hashes[a:b], own - a, at[own], out.setdefault(row, {}))
+        return {row: [(self.ids[i], *best) for i, best in sorted(items.items())] for row, items in out.items() if items}
 
-    def _search(self, width: int, hashes: np.ndarray, hit: np.ndarray, owners: list[list[int]], best: dict[int, tuple]) -> None:
+    def _search(self, width: int, hashes: np.ndarray, hit: np.ndarray, which: np.ndarray, best: dict[int, tuple]) -> None:
+        """Items found in one text of shingles; its places ``hit`` have the items' shingles ``which``."""
+        _, owners, bounds = self.anchors[width]
         n = len(hashes)
-        shared: dict[int, list[int]] = {}
-        for place, own in zip(hit.tolist(), owners, strict=True):
-            for item in own:
-                shared.setdefault(item, []).append(place)
-        wanted: dict[int, list[int]] = {}
-        for item, places in shared.items():
-            m = self.sizes[item]
-            wanted.setdefault(m, []).extend(places)
-            size = min(m, n)
+        many = bounds[which + 1] - bounds[which]
+        total = np.cumsum(many)
+        item = owners[np.repeat(bounds[which] - total + many, many) + np.arange(total[-1])]
+        place = np.repeat(hit, many)
+        order = np.argsort(item, kind="stable")  # by item, places ascending
+        item, place = item[order], place[order]
+        size_of = self.sizes[item]
+        for m in np.unique(size_of).tolist():
+            own = size_of == m
+            size = min(m, n)  # a shorter text is one window
             # both and either sum up to size + m, so a similar window has so many places with the item's shingles
             need = -(-self.percent * (size + m) // (100 + self.percent))
-            if len(places) >= need:
-                count = np.zeros(n + 1, np.int64)
-                count[np.array(places) + 1] = 1
-                count = np.cumsum(count)
-                for start in np.flatnonzero(count[size:] - count[: n - size + 1] >= need).tolist():
-                    self._verify(width, hashes, start, size, item, best)
-        for m, places in wanted.items():
-            size = min(m, n)  # a shorter text is one window
-            near = np.unique(np.clip((np.array(places)[:, None] - np.arange(size)).ravel(), 0, n - size))
-            # signs only of the stretch that each run of windows needs
-            breaks = np.flatnonzero(np.diff(near) > size)
-            for run in np.split(near, breaks + 1):
-                low = run[0]
-                prints = fingerprints(_signs(hashes[low : run[-1] + size]), run - low, size)
-                members = self.groups[width, m]
-                for start, print_ in zip(run.tolist(), prints, strict=True):
-                    for i in self.index[width, m].search(print_).tolist():
-                        self._verify(width, hashes, start, size, members[i], best)
-
-    def _verify(self, width: int, hashes: np.ndarray, start: int, size: int, item: int, best: dict[int, tuple]) -> None:
-        bag = self.bags[item]
-        window = Counter(hashes[start : start + size].tolist())
-        both = sum((window & bag).values())
-        either = sum((window | bag).values())
-        if 100 * both >= self.percent * either:
-            share = both / either
-            key = self.ids[item]
-            if key not in best or (share, -start) > (best[key][0], -best[key][1]):
-                best[key] = (share, start, size + width - 1)
+            held = np.zeros(n + 1, np.int64)
+            held[place[own] + 1] = 1
+            held = np.cumsum(held)
+            starts = np.flatnonzero(held[size:] - held[: n - size + 1] >= need)
+            if not len(starts):
+                continue
+            items, first, counts = np.unique(item[own], return_index=True, return_counts=True)
+            near = self._near(width, m, hashes, starts, size)
+            # windows beyond the radius are found by their item's places, if these are enough
+            for i in np.flatnonzero(np.isin(items, near) | (counts >= need)).tolist():
+                places = place[own][first[i] : first[i] + counts[i]]
+                self._verify(int(items[i]), width, hashes, places, size, m, best)
+
+    def _near(self, width: int, m: int, hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Items of m shingles whose fingerprints are within the radius of those of windows."""
+        found = [np.empty(0, np.int64)]
+        index, members = self.index[width, m], self.groups[width, m]
+        low = 0
+        while low < len(starts):
+            # signs only of the stretch that these windows need
+            high = int(np.searchsorted(starts, starts[low] + max(STRETCH, size)))
+            some = starts[low:high]
+            prints = fingerprints(_signs(hashes[some[0] : some[-1] + size]), some - some[0], size)
+            found += [members[index.search(prints[i : i + LOOKUPS])[1]] for i in range(0, len(prints), LOOKUPS)]
+            low = high
+        return np.unique(np.concatenate(found))
+
+    def _verify(self, item: int, width: int, hashes: np.ndarray, places: np.ndarray, size: int, m: int, best: dict[int, tuple]) -> None:
+        """Takes the best window of an item, if it is similar enough."""
+        own, counts = self.bags[item]
+        begin, both = shared_counts(places, hashes[places], counts[np.searchsorted(own, hashes[places])], size, len(hashes) - size + 1)
+        top = int(both.argmax())
+        same, either = int(both[top]), size + m - int(both[top])
+        if 100 * same >= self.percent * either:
+            best[item] = (same / either, begin + top, size + width - 1)
+
+
+def _print(hashes: np.ndarray) -> int:
+    """The fingerprint of all these shingles."""
+    total = np.zeros(BITS, np.int64)
+    for low in range(0, len(hashes), STRETCH):
+        total += _signs(hashes[low : low + STRETCH]).sum(0)
+    return int(np.packbits(total > 0, bitorder="little").view("<u8")[0])
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
@@ -164,13 +225,19 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id").collect()]
 
 
+#: A worker's latest prepared benchmark, by the name that its call gave it.
+_LATEST: dict[str, Benchmark] = {}
+
+
 def _prepared(options: tuple) -> Callable[[], Benchmark]:
-    made: list[Benchmark] = []
+    """Makes the index once in a worker, whatever the number of its tasks."""
+    name = uuid.uuid4().hex
 
     def get() -> Benchmark:
-        if not made:
-            made.append(Benchmark(*options))
-        return made[0]
+        if name not in _LATEST:
+            _LATEST.clear()
+            _LATEST[name] = Benchmark(*options)
+        return _LATEST[name]
 
     return get
 
@@ -191,10 +258,11 @@ def benchmark_hits(
 
     Words are runs of letters, digits and characters that are not ASCII, A-Z lower-cased. A window has as many k-word
     shingles as the item. Looked at are windows whose SimHash, weighted by how often a shingle occurs, is within ``radius``
-    bits of the item's, by a multi-index over the fingerprints' bytes, and all that share as many places as the similarity
-    takes, so none is missed; the weighted Jaccard similarity of the shingles, sum of smaller counts over sum of larger ones, must be ``percent`` or more. Of an item's windows
-    in a document the best is returned, ties by the first. Documents are scanned once per ``item_bytes`` of benchmark,
-    without a shuffle.
+    bits of the item's, by a multi-index over the fingerprints' blocks, and all that share as many places as the similarity
+    takes, so none is missed. The weighted Jaccard similarity of the shingles, sum of smaller counts over sum of larger
+    ones, must be ``percent`` or more; it is computed for all windows of an item in time linear in the text. Of an item's
+    windows in a document the best is returned, ties by the first. Documents are scanned once per ``item_bytes`` of
+    benchmark, without a shuffle. Rows of the benchmark that repeat an id are items of their own.
 
     Items of fewer than k words have all their words as their only shingle; a text that is shorter than an item is one
     window. Null or empty texts, on either side, match nothing. Null ids and repeated rows or ids are kept as they

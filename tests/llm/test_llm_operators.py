@@ -289,6 +289,42 @@ def test_decontaminate_finds_windows_without_the_repeats(spark):
     assert got == brute_hits(rows, items) and set(got) == {(1, 7)}
 
 
+def test_decontaminate_long_items_in_time_and_memory():
+    """An item of 20,000 words in a text half as long again, with edits; windows with repeats against plain counts."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3000, 30_000)
+    item = words[6000:26_000].copy()
+    item[::60] = 5000
+    text, own = (" ".join(f"w{x}" for x in ws).encode() for ws in (words, item))
+    began = time.perf_counter()
+    tracemalloc.start()
+    use = decontaminate.Benchmark([(1, own.decode())], 5, 80, decontaminate.RADIUS)
+    [(found, share, first, size)] = use.hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert (found, size) == (1, 20_000) and 0.8 <= share < 0.9 and abs(first - 6000) < 60 and time.perf_counter() - began < 20
+
+
+def test_shared_counts_and_index():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        text, bag = rng.integers(0, 6, rng.integers(1, 40)), Counter(rng.integers(0, 6, 9).tolist())
+        size = int(rng.integers(1, len(text) + 1))
+        places = np.flatnonzero(np.isin(text, list(bag)))
+        if len(places):
+            begin, both = decontaminate.shared_counts(places, text[places], np.array([bag[x] for x in text[places].tolist()]), size, len(text) - size + 1)
+            want = [sum((Counter(text[i : i + size].tolist()) & bag).values()) for i in range(len(text) - size + 1)]
+            assert both.tolist() == want[begin : begin + len(both)] and not any(want[:begin]) and not any(want[begin + len(both) :])
+    prints, queries = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (3000, 40))
+    queries[:20] = prints[:20] ^ np.uint64(0x8421084210842108)
+    near = np.bitwise_count(prints[None, :] ^ queries[:, None]) <= 15
+    window, item = decontaminate.HammingIndex(prints, 15).search(queries)
+    assert set(zip(window.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
 def test_decontaminate_messy(spark, messy, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in decontaminate.benchmark_hits(messy, bench).collect()) == [0, 1, 2, 2]
