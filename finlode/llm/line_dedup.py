@@ -194,13 +194,13 @@ def near_lines(lines: DataFrame, distinct: DataFrame, min_near: int, edits: int
     return near.groupBy("one", "two").agg(F.min("near").alias("near"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_near: int = 16, edits: int = 2, min_long: int = 200) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_near: int = 1, edits: int = 2, min_long: int = 200) -> DataFrame:
     """One row per document: doc_id, n_lines, n_repeated, n_near, n_kept, dropped (numbers of lines that go, from 0).
 
     Lines are what newlines separate. Places are ordered by doc_id, then line number. A line of ``min_chars``
     characters or more goes if the same line is at an earlier place (repeated), or else if a line at an earlier place
-    is one insertion, deletion or substitution of a character away (near); for the latter, both lines have
-    ``min_near`` characters or more. Where both have ``min_long`` characters or more, up to ``edits`` of these are near.
+    is one insertion, deletion or substitution of a character away (near), whatever its length; a larger ``min_near``
+    leaves lines of fewer characters out of the latter. Where both have ``min_long`` characters or more, up to ``edits`` of these are near.
     The earlier line counts whether or not it goes itself.
 
     A null or empty text is one empty line, and shorter lines than ``min_chars``, with the default the empty ones, all
@@ -222,12 +222,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     near = saved(near_lines(lines, distinct, min_near, edits))
     first = distinct.select("one", "two", "place").join(near.select("one", "two", F.lit(True).alias("is_near")), ["one", "two"], "left")
-    found = lines.select("doc_id", "tie", "line_no", "one", "two", (size >= min_chars).alias("counts")).join(first, ["one", "two"], "left")
-    repeated = F.col("counts") & (_place() != F.col("place"))
-    is_near = F.col("counts") & (_place() == F.col("place")) & F.coalesce("is_near", F.lit(False))
-    marked = found.select("doc_id", "tie", "line_no", repeated.alias("repeated"), is_near.alias("near"))
+    # lines that do not count, such as the empty ones, are no keys of the join; each document's last line stands for them
+    found = lines.where(size >= min_chars).select("doc_id", "tie", "line_no", "one", "two").join(first, ["one", "two"])
+    is_near = (_place() == F.col("place")) & F.coalesce("is_near", F.lit(False))
+    marked = found.select("doc_id", "tie", "line_no", (_place() != F.col("place")).alias("repeated"), is_near.alias("near"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    last = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("tie"), (F.size(F.split(text, "\n")) - 1).alias("line_no"), F.lit(False).alias("repeated"), F.lit(False).alias("near"))
     return (
-        marked.groupBy("doc_id", "tie")
+        marked.unionByName(last)
+        .groupBy("doc_id", "tie")
         .agg(
             (F.max("line_no") + 1).cast("long").alias("n_lines"),
             F.collect_set(F.when(F.col("repeated"), F.col("line_no"))).alias("again"),
@@ -267,11 +270,11 @@ WITH t AS (
     FROM l WHERE line <> '' GROUP BY line
 ), v AS (
     SELECT place, size, i, hash(left(line, i) || substr(line, i + 2)) AS h
-    FROM (SELECT *, unnest(range(size)) AS i FROM d WHERE size >= 16)
+    FROM (SELECT *, unnest(range(size)) AS i FROM d)
 ), n AS (
     SELECT a.place AS later FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND a.size = b.size AND b.place < a.place
     UNION
-    SELECT greatest(a.place, b.place) FROM v a JOIN d b ON a.h = hash(b.line) AND b.size >= 16 AND a.size = b.size + 1
+    SELECT greatest(a.place, b.place) FROM v a JOIN d b ON a.h = hash(b.line) AND a.size = b.size + 1
 ), m AS (
     SELECT l.doc_id, l.line_no, l.line <> '' AND d.spot <> (l.doc_id, l.line_no) AS repeated,
            l.line <> '' AND d.spot = (l.doc_id, l.line_no) AND n.later IS NOT NULL AS near
