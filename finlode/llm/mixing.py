@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, documents, saved, table
+from .common import blocks, documents, released, saved, table
 
 #: Hashed words of the domain classifier; labelled documents it is fitted on at most.
 BUCKETS, MAX_LABELLED = 1 << 12, 4000
@@ -126,12 +127,13 @@ def stepped(rate: Column, moves: list[np.ndarray]) -> Column:
 
 @dataclass
 class Fit:
-    """The fitted rates: their start, the steps' moves, and the totals that they give and should give."""
+    """The fitted rates: their start, the steps' moves, the totals that they give and should give, and whether steps settled."""
 
     start: float
     moves: list[np.ndarray]
     totals: np.ndarray
     targets: np.ndarray
+    converged: bool
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         """The rates of documents with these posteriors."""
@@ -144,27 +146,52 @@ class Fit:
 def fit_rates(members: DataFrame, targets: np.ndarray, start: float, max_steps: int = 60, tolerance: float = 1e-6) -> Fit:
     """Projected-gradient least squares for rates r >= 0 so that sum of r * tokens * posterior is the target of each domain.
 
-    Rates are measured in tokens and residuals in the inverse of the matrix sum tokens * posterior * posterior', so
-    the gradient step of a document is posterior . (inverse . residual), of length one, the same for equal posteriors.
-    Each step is one distributed sum of as many numbers as there are domains; documents stay where they are, and a
-    document's rate is recomputed from its posterior and the steps so far.
+    Rates are measured in tokens and residuals in the inverse of the matrix sum tokens * posterior * posterior', so the
+    gradient step of a document is posterior . (inverse . residual), of length one, the same for equal posteriors. The
+    matrix is that of the documents whose rates are not at the bound, as only these can move; where such a step leads
+    away from the targets, that of all documents is taken, which cannot. Each step is one distributed sum of as many
+    numbers as there are domains and pairs of them; documents stay where they are, and a document's rate is recomputed
+    from its posterior and the steps so far. It ends when the totals meet the targets or no longer change, by
+    ``tolerance`` of all tokens; a fit that has not settled after ``max_steps`` says so, with a warning.
     """
     n = len(targets)
     p = [F.col("posterior")[d] for d in range(n)]
-    sums = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i in range(n) for j in range(n))).first()
-    inverse = np.linalg.pinv(np.array(list(sums), float).reshape(n, n))
+    limit = tolerance * max(targets.sum(), 1)
     moves: list[np.ndarray] = []
     # every few steps the rates so far are folded into a table, so that no expression grows without bound
     state, done = members.withColumn("rate", F.lit(start)), 0
-    while True:
-        rate = stepped(F.col("rate"), moves[done:])
-        totals = np.array(list(state.agg(*(F.coalesce(F.sum(rate * F.col("n_tokens") * x), F.lit(0.0)) for x in p)).first()), float)
+    kept: list[DataFrame] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        """Totals with the moves so far, and the matrix of the documents that are not at the bound."""
+        now = state.select("n_tokens", "posterior", stepped(F.col("rate"), moves[done:]).alias("rate"))
+        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
+        pairs = [F.sum(free * p[i] * p[j]) for i in range(n) for j in range(i, n)]
+        sums = list(now.agg(*(F.coalesce(x, F.lit(0.0)) for x in [*(F.sum(F.col("rate") * F.col("n_tokens") * x) for x in p), *pairs])).first())
+        matrix = np.zeros((n, n))
+        matrix[np.triu_indices(n)] = sums[n:]
+        return np.array(sums[:n], float), np.linalg.pinv(matrix + np.triu(matrix, 1).T, rcond=1e-9)
+
+    totals, inverse = summed()
+    everyone, settled = inverse, np.abs(totals - targets).max() <= limit
+    while not settled and len(moves) < max_steps:
         residual = totals - targets
-        if len(moves) >= max_steps or np.abs(residual).max() <= tolerance * max(targets.sum(), 1):
-            return Fit(start, moves, totals, targets)
+        for use in (inverse, everyone):
+            moves.append(-use @ residual)
+            new, free = summed()
+            if (new - targets) @ everyone @ (new - targets) <= residual @ everyone @ residual or use is everyone:
+                break
+            moves.pop()
+        settled = np.abs(new - targets).max() <= limit or np.abs(new - totals).max() <= limit
+        totals, inverse = new, free
         if len(moves) - done >= FOLD:
-            state, done = saved(state.withColumn("rate", rate)), len(moves)
-        moves.append(-inverse @ residual)
+            state, done = saved(state.withColumn("rate", stepped(F.col("rate"), moves[done:]))), len(moves)
+            kept.append(state)
+    if not settled:
+        warnings.warn(f"rates have not settled after {max_steps} steps; largest residual {np.abs(totals - targets).max():.4g} tokens", RuntimeWarning, stacklevel=2)
+    if kept:
+        released(*kept)
+    return Fit(start, moves, totals, targets, bool(settled))
 
 
 def learned_mix(
@@ -177,6 +204,7 @@ def learned_mix(
     domain_col: str,
     label_id_col: str,
     max_labelled: int,
+    total_share: float | None = None,
 ) -> tuple[DomainModel, Fit, DataFrame] | None:
     """The classifier, the fitted rates, and the table (doc_id, tie, n_tokens, posterior) that they were fitted on."""
     model = learned(docs, labels, id_col, text_col, domain_col, label_id_col, max_labelled)
@@ -191,6 +219,8 @@ def learned_mix(
     else:
         share = np.array([float(weights.get(d, 0.0)) for d in model.domains])
     share = share / share.sum() if share.sum() else np.full(n, 1 / n)
+    if total is None and total_share is not None:
+        total = total_share * float(mass.sum())
     if total is None:
         total = HEADROOM * float((mass[share > 0] / share[share > 0]).max())
     return model, fit_rates(members, total * share, total / max(mass.sum(), 1)), members
@@ -212,25 +242,27 @@ def mixed(
     label_id_col: str = "doc_id",
     max_labelled: int = MAX_LABELLED,
     seed: int = 7,
+    total_share: float | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens, domain, posterior, rate, copies.
+    """One row per document: doc_id, n_tokens, domain, posterior, rate, copies, domain_target, domain_reached.
 
     A classifier, fitted on the documents that the labelled table names, gives each document's probabilities of the
     domains. Rates are fitted so that the domains' expected tokens, rate * tokens * probability summed over all
     documents, are ``total`` times ``weights``; weights are scaled to sum 1, and domains not named have weight 0. By
-    default a weight is the domain's expected share to the power FLATTEN, and the total is HEADROOM times the least at
-    which no domain has fewer tokens than there are. ``copies`` is the rate rounded up or down with the odds of its fraction, by a hash
-    of id, text and seed, so reruns agree.
+    default a weight is the domain's expected share to the power FLATTEN, and the total is ``total_share`` times the corpus's
+    tokens if that is given, else HEADROOM times the least at which no domain has fewer tokens than there are. ``copies``
+    is the rate rounded up or down with the odds of its fraction, by a hash of id, text and seed, so reruns agree.
+    ``domain`` is a document's likeliest, with its target and the expected tokens that the rates reach.
 
     A null or empty text has no tokens, the classifier's posterior for no words, and the rate of that posterior. Rows
     that repeat id and text have the same rate and copies; null ids are ids like others. Without labelled documents
     every rate is 1. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    mix = learned_mix(docs, labels, weights, total, id_col, text_col, domain_col, label_id_col, max_labelled)
+    mix = learned_mix(docs, labels, weights, total, id_col, text_col, domain_col, label_id_col, max_labelled, total_share)
     if mix is None:
         words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
         none = F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior")
-        return documents(docs, id_col, text_col).select("doc_id", F.size(words).cast("long").alias("n_tokens"), *none, F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return documents(docs, id_col, text_col).select("doc_id", F.size(words).cast("long").alias("n_tokens"), *none, F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), *(F.lit(None).cast("double").alias(c) for c in ("domain_target", "domain_reached")))
     model, fitted, found = mix
     found = found.withColumn("rate", F.lit(fitted.start))
     for low in range(0, len(fitted.moves), FOLD):
@@ -240,7 +272,17 @@ def mixed(
     names = F.array(*(F.lit(d) for d in model.domains))
     rate = F.col("rate")
     up = (_draw(F.col("doc_id"), F.col("tie"), seed) < rate - F.floor(rate)).cast("int")
-    return found.select("doc_id", "n_tokens", F.element_at(names, best).alias("domain"), "posterior", "rate", (F.floor(rate) + up).cast("int").alias("copies"))
+    of_domain = lambda values, name: F.element_at(F.array(*(F.lit(float(x)) for x in values)), best).alias(name)
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.element_at(names, best).alias("domain"),
+        "posterior",
+        "rate",
+        (F.floor(rate) + up).cast("int").alias("copies"),
+        of_domain(fitted.targets, "domain_target"),
+        of_domain(fitted.totals, "domain_reached"),
+    )
 
 
 def resampled(
@@ -274,6 +316,10 @@ def resampled(
     return docs.select("*", _draw(docs[id_col], tie, seed).alias("draw of the mix")).mapInArrow(repeat, docs.schema)
 
 
+#: Target weights of the query: English, most of the corpus, is to be a small part of it, so many rates end at the bound 0.
+OP1_WEIGHTS = {"de": 0.4, "en": 0.03, "es": 0.17, "fr": 0.4}
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``mixed`` over all documents; the domains are languages."""
-    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """``mixed`` over all documents, to OP1_WEIGHTS of as many tokens as there are; the domains are languages."""
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), OP1_WEIGHTS, total_share=1.0)
