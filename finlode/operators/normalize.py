@@ -74,7 +74,8 @@ def data_rows(table: Column) -> Column:
     raw = F.coalesce(*(_get(table, f"$.{k}", "array<variant>") for k in ("rows", "body", "data_rows", "data")))
 
     def row(r: Column) -> Column:
-        cells = F.coalesce(r.try_cast("array<variant>"), _get(r, "$.cells", "array<variant>"), _get(r, "$.values", "array<variant>"))
+        values = F.map_values(r.try_cast("map<string,variant>"))  # of an object without cells, in the order of its names
+        cells = F.coalesce(r.try_cast("array<variant>"), _get(r, "$.cells", "array<variant>"), _get(r, "$.values", "array<variant>"), values)
         return F.transform(cells, cell_text)
 
     return F.coalesce(F.filter(F.transform(raw, row), lambda x: x.isNotNull()), F.array().cast("array<array<string>>"))
@@ -120,35 +121,129 @@ def footnotes(cells: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
-def json_blocks(pages: DataFrame) -> DataFrame:
-    """(page_number, pos, block_type, heading_level, content_text, headers, rows, table_text) from (page_number, json).
+NO_ROWS = "array<array<string>>"
+#: What a block is besides its keys, position and type; the same for blocks of JSON, HTML and Markdown.
+BLOCK_FIELDS = (
+    "pos", "block_type", "heading_level", "content_text", "headers", "rows", "table_text", "merged", "footnotes", "num_columns", "num_rows", "table_html", "bounding_box", "confidence",
+)
+
+
+def _present(v: Column, *names: str) -> Column:
+    """The first of some fields that is neither null nor an empty list or object."""
+    fields = [_get(v, f"$.{n}", "variant") for n in names]
+    return F.coalesce(*(F.when(~F.schema_of_variant(x).isin("VOID", "ARRAY<VOID>", "OBJECT<>"), x) for x in fields))
+
+
+def _widest(rows: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+
+
+def as_blocks(blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Blocks with BLOCK_FIELDS, from (keys, pos, block_type, heading_level, content_text, headers, rows) and what else is known of them."""
+    table = F.col("block_type") == "table"
+    filled = blocks
+    for name, value in (("merged", F.lit(None)), ("table_html", F.lit("")), ("bounding_box", F.lit(None).cast("string")), ("confidence", F.lit(1.0))):
+        if name not in blocks.columns:
+            filled = filled.withColumn(name, value.cast("array<struct<row_start:int,row_end:int,col_start:int,col_end:int,value:string>>") if name == "merged" else value)
+    cells = F.flatten(F.concat("headers", "rows"))
+    return filled.select(
+        *keys,
+        "pos",
+        "block_type",
+        "heading_level",
+        "content_text",
+        "headers",
+        "rows",
+        F.when(table, table_text(F.col("headers"), F.col("rows"))).alias("table_text"),
+        "merged",
+        F.when(table, footnotes(cells)).alias("footnotes"),
+        F.when(table, F.greatest(_widest(F.col("headers")), _widest(F.col("rows")))).alias("num_columns"),
+        F.when(table, F.size("rows")).alias("num_rows"),
+        F.when(table, F.col("table_html")).alias("table_html"),
+        "bounding_box",
+        "confidence",
+    )
+
+
+def json_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
+    """Blocks (keys, BLOCK_FIELDS) of page JSON, from (keys, json).
 
     Unreadable JSON gives no blocks. A page without a block list is one text block, if it has text; the tables of
-    ``tables`` or ``table_list`` are taken if no block is a table.
+    ``tables`` or ``table_list`` are taken if no block is a table. A table's cells are in an object with headers and
+    rows, in a list of rows, in a list of cells with their places, or in its text, as HTML or Markdown; what has none
+    of them is no table.
     """
-    parsed = pages.select("page_number", F.try_parse_json("json").alias("raw")).where("raw IS NOT NULL")
+    parsed = pages.select(*keys, F.try_parse_json("json").alias("raw")).where("raw IS NOT NULL")
     side = F.coalesce(_get(F.col("raw"), "$.tables", "array<variant>"), _get(F.col("raw"), "$.table_list", "array<variant>"))
-    listed = block_list(F.col("raw"))
-    rows = parsed.select("page_number", listed.alias("blocks"), side.alias("side"), "raw")
+    rows = parsed.select(*keys, block_list(F.col("raw")).alias("blocks"), side.alias("side"), "raw")
     whole = F.when(F.coalesce(F.size("blocks"), F.lit(0)) < 1, F.when(block_text(F.col("raw")).isNotNull(), F.array(F.col("raw")))).otherwise(F.col("blocks"))
-    has_table = F.exists(F.coalesce("blocks", F.array().cast("array<variant>")), lambda b: block_type(b) == "table")
     typed = lambda a, kind: F.transform(a, lambda b: F.struct(b.alias("b"), kind(b).alias("kind")))
-    own = F.coalesce(typed(whole, block_type), F.array().cast("array<struct<b:variant,kind:string>>"))
-    more = F.when(~has_table & F.col("side").isNotNull(), typed(F.col("side"), lambda _: F.lit("table"))).otherwise(F.array().cast("array<struct<b:variant,kind:string>>"))
-    flat = rows.select("page_number", F.posexplode(F.concat(own, more)).alias("pos", "x")).select("page_number", "pos", F.col("x.b").alias("b"), F.col("x.kind").alias("block_type"))
-    source = F.coalesce(_get(F.col("b"), "$.table_data", "variant"), F.when(F.schema_of_variant(_get(F.col("b"), "$.data", "variant")).startswith("OBJECT"), _get(F.col("b"), "$.data", "variant")), F.col("b"))
-    table = flat.withColumn("t", source)
-    made = table.select(
-        "page_number",
+    flat_page = F.coalesce(F.size("blocks"), F.lit(0)) < 1
+    own = F.coalesce(typed(whole, lambda b: F.when(flat_page, F.lit("text")).otherwise(block_type(b))), F.array().cast("array<struct<b:variant,kind:string>>"))
+    more = F.coalesce(typed(F.col("side"), lambda _: F.lit("side table")), F.array().cast("array<struct<b:variant,kind:string>>"))
+    flat = rows.select(*keys, F.posexplode(F.concat(own, more)).alias("pos", "x")).select(*keys, "pos", F.col("x.b").alias("b"), F.col("x.kind").alias("kind"))
+    is_table = F.col("kind").isin("table", "side table")
+    b, t = F.col("b"), F.col("t")
+    source = _present(b, "table_data", "data")
+    flat = flat.withColumn("t", F.when(F.schema_of_variant(source).rlike("^(OBJECT|ARRAY)"), source).otherwise(b))
+    listed = F.transform(F.filter(t.try_cast("array<variant>"), lambda r: F.schema_of_variant(r).startswith("ARRAY")), lambda r: F.transform(r.try_cast("array<variant>"), cell_text))
+    text = F.trim(F.when(F.schema_of_variant(_get(b, "$.text", "variant")) == "STRING", _get(b, "$.text")))
+    made = flat.select(
+        *keys,
         "pos",
-        "block_type",
-        F.when(F.col("block_type") == "heading", heading_level(F.col("b"))).alias("heading_level"),
-        F.when(F.col("block_type") != "table", block_text(F.col("b"))).alias("content_text"),
-        F.when(F.col("block_type") == "table", header_rows(F.col("t"))).alias("headers"),
-        F.when(F.col("block_type") == "table", data_rows(F.col("t"))).alias("rows"),
+        "kind",
+        "b",
+        F.when(F.col("kind") == "heading", heading_level(b)).alias("heading_level"),
+        F.when(~is_table, block_text(b)).alias("content_text"),
+        F.when(is_table, header_rows(t)).alias("headers"),
+        F.when(is_table, F.coalesce(listed, data_rows(t))).alias("rows"),
+        F.when(is_table, merged_cells(t)).alias("merged"),
+        F.when(is_table, text).alias("text"),
+    )
+    # tables given as cells with their places; the first line is the header
+    lone = made.where(is_table & (F.size("rows") == 0)).select(*keys, F.col("pos").alias("at"), F.posexplode(_get(b, "$.cells", "array<variant>")).alias("pos", "c"))
+    place = lambda *names: F.coalesce(*(_get(F.col("c"), f"$.{n}", "int") for n in names), F.lit(0))
+    cells = lone.where(F.schema_of_variant("c").startswith("OBJECT")).select(
+        *keys,
+        "at",
+        "pos",
+        place("row", "row_index", "r").alias("row"),
+        place("col", "col_index", "c").alias("col"),
+        F.coalesce(cell_text(F.coalesce(_get(F.col("c"), "$.value", "variant"), _get(F.col("c"), "$.text", "variant"))), F.lit("")).alias("value"),
+    )
+    lines = grid(cells, [*keys, "at"]).groupBy(*keys, F.col("at").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("lines"))
+    made = made.join(lines, [*keys, "pos"], "left")
+    # tables in the text of their block
+    html = F.try_element_at(html_tables("text"), F.lit(1))
+    marked = F.transform(F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~rule_line(x)), markdown_cells)
+    written = F.when(F.lower("text").startswith("<table"), F.filter(html, lambda r: r["is_header"])["cells"]).when(F.contains("text", F.lit("|")) & F.contains("text", F.lit("-")), F.slice(marked, 1, 1))
+    below = F.when(F.lower("text").startswith("<table"), F.filter(html, lambda r: ~r["is_header"])["cells"]).when(F.contains("text", F.lit("|")) & F.contains("text", F.lit("-")), F.slice(marked, 2, 100_000))
+    bare = (F.size("rows") == 0) & (F.size("headers") == 0) & F.col("lines").isNull()
+    none = F.array().cast(NO_ROWS)
+    made = made.withColumns(
+        {
+            "headers": F.when(F.col("lines").isNotNull(), F.slice("lines", 1, 1)).when(bare, F.coalesce(written, none)).otherwise(F.col("headers")),
+            "rows": F.when(F.col("lines").isNotNull(), F.slice("lines", 2, 1_000_000)).when(bare, F.coalesce(below, none)).otherwise(F.col("rows")),
+        }
     )
-    kept = made.where("(block_type = 'table' AND (size(headers) > 0 OR size(rows) > 0)) OR (block_type != 'table' AND content_text IS NOT NULL)")
-    return kept.withColumn("table_text", F.when(F.col("block_type") == "table", table_text(F.col("headers"), F.col("rows"))))
+    kept = made.where((is_table & ((F.size("headers") > 0) | (F.size("rows") > 0))) | (~is_table & F.col("content_text").isNotNull()))
+    tables = F.count_if(F.col("kind") == "table").over(Window.partitionBy(*keys))
+    kept = kept.withColumn("tables", tables).where("kind != 'side table' OR tables = 0")
+    box = F.coalesce(*(F.to_json(_present(b, n)) for n in ("bbox", "bounding_box", "coordinates")))
+    named = kept.select(
+        *keys,
+        "pos",
+        F.when(is_table, "table").otherwise(F.col("kind")).alias("block_type"),
+        "heading_level",
+        "content_text",
+        "headers",
+        "rows",
+        "merged",
+        F.coalesce(_filled(*(_get(b, f"$.{n}") for n in ("html", "table_html", "rendered_html"))), F.lit("")).alias("table_html"),
+        box.alias("bounding_box"),
+        F.coalesce(_get(b, "$.confidence", "double"), F.lit(1.0)).alias("confidence"),
+    )
+    return as_blocks(named, keys)
 
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,7 +262,7 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def html_tables(html: Column) -> Column:
+def html_tables(html) -> Column:
     """Tables of a page: arrays of rows (is_header, cells); a row with any header cell is a header."""
     tables = F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1)
 
@@ -184,31 +279,36 @@ def html_headings(html: Column) -> Column:
     return F.transform(tags, lambda t: F.struct(F.regexp_extract(t, r"(?i)^<h([1-6])", 1).cast("int").alias("level"), html_text(t).alias("text")))
 
 
+def rule_line(line: Column) -> Column:
+    """Whether a Markdown line only parts a table's header from its rows."""
+    return line.rlike(r"^\s*\|?[\s:|-]+\|?\s*$") & line.contains("-")
+
+
 def markdown_cells(line: Column) -> Column:
     """Cells of a Markdown table line, without the outer bars."""
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
 
 
-def markdown_blocks(pages: DataFrame) -> DataFrame:
-    """(page_number, block, block_type, heading_level, content_text, cells) from (page_number, markdown).
+def markdown_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
+    """(keys, block, block_type, heading_level, content_text, cells) from (keys, markdown).
 
     Runs of lines that begin with a bar are tables, whose rule lines are dropped; lines with 1 to 6 # are headings;
     runs of other lines between blank ones are text.
     """
-    lines = pages.select("page_number", F.posexplode(F.split("markdown", "\n")).alias("n", "line"))
+    lines = pages.select(*keys, F.posexplode(F.split("markdown", "\n")).alias("n", "line"))
     kind = (
         F.when(F.trim("line") == "", "blank").when(F.trim("line").startswith("|"), "table").when(F.col("line").rlike(r"^#{1,6}\s+\S"), "heading").otherwise("text")
     )
-    order = Window.partitionBy("page_number").orderBy("n")
+    order = Window.partitionBy(*keys).orderBy("n")
     marked = lines.withColumn("kind", kind).withColumn("new", (F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")) | (F.col("kind") == "heading")).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(order)).where("kind != 'blank'")
-    rule = F.col("line").rlike(r"^\s*\|?[\s:|-]+\|?\s*$") & F.col("line").contains("-")
+    rule = rule_line(F.col("line"))
     lines_of = F.transform(F.array_sort(F.collect_list(F.when(~((F.col("kind") == "table") & rule), F.struct("n", "line")))), lambda x: x["line"])
-    blocks = runs.groupBy("page_number", "run").agg(F.first("kind").alias("block_type"), lines_of.alias("lines"))
+    blocks = runs.groupBy(*keys, "run").agg(F.first("kind").alias("block_type"), lines_of.alias("lines"))
     text = F.array_join("lines", "\n")
     return blocks.select(
-        "page_number",
-        (F.row_number().over(Window.partitionBy("page_number").orderBy("run")) - 1).alias("block"),
+        *keys,
+        (F.row_number().over(Window.partitionBy(*keys).orderBy("run")) - 1).alias("block"),
         "block_type",
         F.when(F.col("block_type") == "heading", F.length(F.regexp_extract(text, r"^(#{1,6})", 1))).alias("heading_level"),
         F.when(F.col("block_type") == "heading", F.trim(F.regexp_replace(text, r"^#{1,6}\s+", ""))).when(F.col("block_type") == "text", F.trim(text)).alias("content_text"),
@@ -216,8 +316,35 @@ def markdown_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
-def normalized(pages: DataFrame) -> DataFrame:
-    """(page_number, source): what each page's blocks come from; JSON first, then HTML, then Markdown, else empty."""
-    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    source = F.when(has("json") & (F.trim("json") != "{}"), "json").when(has("html"), "html").when(has("markdown"), "markdown").otherwise("empty")
-    return pages.select("page_number", source.alias("source"))
+def html_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
+    """Blocks of HTML pages (keys, html): their tables, then all other text as one block."""
+    tables = pages.select(*keys, F.posexplode(html_tables(F.col("html"))).alias("pos", "t")).where(F.size("t") > 0)
+    of = lambda header: F.filter("t", lambda r: r["is_header"] == header)["cells"]
+    none = F.array().cast(NO_ROWS)
+    table = tables.select(*keys, "pos", F.lit("table").alias("block_type"), F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("string").alias("content_text"), of(True).alias("headers"), of(False).alias("rows"))
+    rest = html_text(F.regexp_replace("html", r"(?is)<table[^>]*>.*?</table>", ""))
+    text = pages.select(*keys, F.lit(1_000_000).alias("pos"), F.lit("text").alias("block_type"), F.lit(None).cast("int").alias("heading_level"), rest.alias("content_text"), none.alias("headers"), none.alias("rows"))
+    return as_blocks(table.unionByName(text.where("content_text != ''")), keys)
+
+
+def page_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
+    """Blocks (keys, BLOCK_FIELDS, source) of pages (keys, json, html, markdown): of JSON; of a page whose JSON has none of HTML, else of Markdown."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    own = json_blocks(pages.select(*keys, "json"), keys)
+    left = pages.join(own.select(*keys).distinct(), list(keys), "left_anti")
+    marked = html_blocks(left.where(~blank("html")).select(*keys, "html"), keys)
+    left = left.join(marked.select(*keys).distinct(), list(keys), "left_anti")
+    plain = markdown_blocks(left.where(~blank("markdown")).select(*keys, "markdown"), keys)
+    none = F.array().cast(NO_ROWS)
+    cells = F.coalesce("cells", none)
+    plain = plain.select(*keys, F.col("block").alias("pos"), "block_type", "heading_level", "content_text", F.slice(cells, 1, 1).alias("headers"), F.slice(cells, 2, 1_000_000).alias("rows"))
+    parts = [df.withColumn("source", F.lit(name)) for name, df in (("json", own), ("html", marked), ("markdown", as_blocks(plain, keys)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def normalized(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
+    """(keys, source, n_blocks, bad_json): one row for each page, also for those without blocks, whose source is empty."""
+    found = page_blocks(pages, keys).groupBy(*keys).agg(F.first("source").alias("source"), F.count("*").alias("n_blocks"))
+    bad = (F.coalesce(F.trim("json"), F.lit("")) != "") & F.try_parse_json("json").isNull()
+    rows = pages.select(*keys, bad.alias("bad_json")).join(found, list(keys), "left")
+    return rows.select(*keys, F.coalesce("source", F.lit("empty")).alias("source"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "bad_json")

@@ -97,12 +97,16 @@ def patched(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def patch_manifest(components: DataFrame, changes: DataFrame) -> DataFrame:
-    """Components of the sections that changes touch, with whether the component itself is touched."""
-    paths = F.broadcast(changes.select(F.col("path").alias("changed_path")).distinct())
-    touched = components.join(paths, (F.col("changed_path") == F.col("data_path")) | F.col("changed_path").startswith(F.concat("data_path", F.lit("."))) , "left")
-    marked = touched.groupBy(*components.columns).agg(F.bool_or(F.col("changed_path").isNotNull()).alias("highlight"))
-    sections = marked.where("highlight").select("section").distinct()
-    return marked.join(sections, "section", "left_semi")
+    """Components of the sections that changes touch, with whether the component itself is touched.
+
+    A change touches a component whose path is its own or a prefix of it up to a dot, so components are joined by equality
+    with the prefixes of the changed paths.
+    """
+    names = F.split("path", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "."))
+    touched = changes.select(F.explode(prefixes).alias("data_path")).distinct().withColumn("highlight", F.lit(True))
+    marked = components.join(touched, "data_path", "left").select(*components.columns, F.coalesce("highlight", F.lit(False)).alias("highlight"))
+    return marked.join(marked.where("highlight").select("section").distinct(), "section", "left_semi")
 
 
 def ingestion_counts(pages: DataFrame, sections: DataFrame, tables: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:

@@ -107,23 +107,32 @@ def humanised_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderstatus", F.regexp_extract(humanised(F.col("total")), r"([BMK]?)$", 1).alias("unit"))
 
 
-PLAN = (("quantitative", True, ["dcf_modeller", "nope"]), ("qualitative", False, ["moat_scorer"]), ("mystery", True, ["x"]), ("sentiment", True, []))
 RATIO_VALUES = ((0, "NIM_pct", "3.6"), (1, "Gross_NPA_pct", "2.0"), (2, "Unknown", "1"), (3, "PE_Ratio", "n/a"), (4, "Current_Ratio", "0.5"))
 PILLARS = ((0, "Asset Quality", "Green"), (1, "Asset Quality", "red"), (2, "Growth", "yellow"), (3, "Other", None))
 RISKS = ((0, "Credit/Market Risk", "High"), (1, "Liquidity", " Low "), (2, "Policy", "Critical"))
 
 
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of a plan for each customer: agents and helpers, some of them unknown."""
+    k = F.col("c_custkey") % 4
+    subs = F.when(k == 0, F.array(F.lit("dcf_modeller"), F.lit("nope"))).when(k == 1, F.array(F.lit("moat_scorer"))).when(k == 2, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    agents = F.array(*(F.lit(x) for x in ("quantitative", "qualitative", "mystery", "sentiment")))
+    return table(spark, sf_dir, "customer").select(F.element_at(agents, (k + 1).cast("int")).alias("agent"), (k != 1).alias("should_run"), subs.alias("sub_agents"))
+
+
 def plan_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.plan_warnings(spark.createDataFrame(list(PLAN), "agent string, should_run boolean, sub_agents array<string>"))
+    return report.plan_warnings(_plan(spark, sf_dir))
 
 
 def plan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = report.plan_tasks(spark.createDataFrame(list(PLAN), "agent string, should_run boolean, sub_agents array<string>"))
-    return tasks.select("agent", F.array_join("sub_agents", ",").alias("sub_agents"))
+    return report.plan_tasks(_plan(spark, sf_dir)).select("agent", F.array_join("sub_agents", ",").alias("sub_agents"))
 
 
 def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.caveats(spark.createDataFrame([("quantitative", "success"), ("sentiment", "partial")], "agent string, status string"))
+    """Agents' results by kinds of events: full where their number is even; two agents have none."""
+    agent = F.when(F.col("event_type") == "view", "quantitative").when(F.col("event_type") == "error", "sentiment")
+    rows = table(spark, sf_dir, "events").select(agent.alias("agent")).where("agent IS NOT NULL").groupBy("agent").agg(F.count("*").alias("n"))
+    return report.caveats(rows.select("agent", F.when(F.col("n") % 2 == 0, "success").otherwise("partial").alias("status")))
 
 
 def _manifest(spark: SparkSession) -> DataFrame:
@@ -150,8 +159,12 @@ def state_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = spark.createDataFrame([("synthesis.key_risk_dashboard.Liquidity",), ("quantitative_result.data.raw_ratios.NIM_pct.value",)], "path string")
-    return report.patch_manifest(_manifest(spark), changes).select("section", "id", "highlight")
+    """Parts as components, by brand as sections; some change as a whole, of others something below them."""
+    path = F.concat(F.lit("parts."), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf_dir, "part")
+    components = parts.select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("id"), path.alias("data_path"))
+    changes = parts.where("p_partkey % 70 = 0").select(path.alias("path")).unionByName(parts.where("p_partkey % 50 = 0").select(F.concat(path, F.lit(".extra.deep")).alias("path")))
+    return report.patch_manifest(components, changes).select("section", "id", "highlight")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +226,13 @@ ORACLE_SQL = {
         SELECT level, CASE level WHEN 'Low' THEN 'green' WHEN 'Medium' THEN 'yellow' WHEN 'Elevated' THEN 'yellow' WHEN 'High' THEN 'red' END AS status, count(*) AS n
         FROM (SELECT ['Low', 'Medium', 'Elevated', 'High', 'Critical'][p_size % 5 + 1] AS level FROM part) GROUP BY 1, 2""",
     "humanised_totals": "SELECT o_orderstatus, CASE WHEN sum(o_totalprice) >= 1e9 THEN 'B' WHEN sum(o_totalprice) >= 1e6 THEN 'M' WHEN sum(o_totalprice) >= 1e3 THEN 'K' ELSE '' END AS unit FROM orders GROUP BY 1",
-    "plan_validate": "SELECT * FROM (VALUES ('mystery', NULL, 'unknown agent'), ('quantitative', 'nope', 'unknown sub-agent')) t(agent, sub_agent, warning)",
-    "plan_tasks": "SELECT * FROM (VALUES ('quantitative', 'dcf_modeller'), ('sentiment', '')) t(agent, sub_agents)",
-    "caveats": "SELECT * FROM (VALUES ('quantitative', 'success'), ('qualitative', 'failed'), ('risk_governance', 'failed'), ('sentiment', 'partial')) t(agent, status)",
+    "plan_validate": r"""
+        SELECT 'mystery' AS agent, NULL::VARCHAR AS sub_agent, 'unknown agent' AS warning FROM customer WHERE c_custkey % 4 = 2
+        UNION ALL SELECT 'quantitative', 'nope', 'unknown sub-agent' FROM customer WHERE c_custkey % 4 = 0""",
+    "plan_tasks": r"""SELECT CASE c_custkey % 4 WHEN 0 THEN 'quantitative' ELSE 'sentiment' END AS agent, CASE c_custkey % 4 WHEN 0 THEN 'dcf_modeller' ELSE '' END AS sub_agents FROM customer WHERE c_custkey % 4 IN (0, 3)""",
+    "caveats": r"""
+        WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'quantitative' ELSE 'sentiment' END AS agent, CASE WHEN count(*) % 2 = 0 THEN 'success' ELSE 'partial' END AS status FROM events WHERE event_type IN ('view', 'error') GROUP BY 1)
+        SELECT a.agent, coalesce(r.status, 'failed') AS status FROM (VALUES ('quantitative'), ('qualitative'), ('risk_governance'), ('sentiment')) a(agent) LEFT JOIN r ON r.agent = a.agent""",
     "manifest": """
         SELECT section_order::INTEGER AS section_order, section, id, component_type, size, data_path, label, status, ord::INTEGER AS ord FROM (VALUES
         (1, 'executive_summary', 'text_executive_summary', 'text_block', 'full', 'synthesis.executive_summary', 'Executive Summary', NULL, 0),
@@ -235,9 +252,9 @@ ORACLE_SQL = {
     "state_patch": """
         SELECT 'parts.' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS value, p_partkey % 5 = 0 AS changed FROM part
         UNION ALL SELECT 'parts.' || p_partkey || '.extra', 'added', true FROM part WHERE p_partkey % 5 = 0""",
-    "patch_manifest": """
-        SELECT * FROM (VALUES ('key_ratios', 'metric_nim', true), ('key_ratios', 'metric_gross_npa', false), ('key_ratios', 'metric_pe', false), ('key_ratios', 'metric_current', false),
-        ('risk_dashboard', 'risk_creditmarket_risk', false), ('risk_dashboard', 'risk_liquidity', true), ('risk_dashboard', 'risk_policy', false)) t(section, id, highlight)""",
+    "patch_manifest": r"""
+        WITH c AS (SELECT p_brand AS section, p_partkey AS id, p_partkey % 70 = 0 OR p_partkey % 50 = 0 AS highlight FROM part)
+        SELECT * FROM c WHERE section IN (SELECT section FROM c WHERE highlight)""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
     "event_sessions": """
         WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_cell, first_filled, headline, parse_date, row_label, ticker_slug, to_double, to_int
@@ -10,24 +12,15 @@ from ..operators import feeds, normalize, references, sections
 from ..sources import readers
 from .retrieval import table
 
-#: Inline inputs, for shapes that the tables do not have.
-CELLS = (
-    ("t1", 0, "Note 5"), ("t1", 1, "(1)"), ("t1", 2, "Refer Schedule V"), ("t1", 3, "***"), ("t1", 4, "See Note 12"), ("t1", 5, "Amount Note 5"),
-    ("t2", 0, "50 *"), ("t2", 1, "#3"), ("t2", 2, "note 5 and Note 5"), ("t2", 3, "as per note 7"), ("t2", 4, "(b) plain"),
-)
-SECTIONS = (
-    ("d1", 0, "note_to_accounts", ["Notes", "Note 12"], ["Twelve"], "text of note 12"),
-    ("d1", 1, "note_to_accounts", ["Notes"], ["About Note 5"], "more"),
-    ("d1", 2, "schedule", ["Schedules"], [], "see schedule v here"),
-    ("d1", 3, "note_to_accounts", ["Notes"], [], "this is note 7 of many"),
-)
-MARKDOWN = ((1, "# Title\n\nSome text\nmore text\n\n| A | B |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n## Part\nend"), (2, "plain"), (3, ""))
-GRID = (("g", 0, 0, "h1", 0), ("g", 0, 2, "h3", 1), ("g", 1, 1, "x", 2), ("g", 2, 0, "y", 3), ("g", 2, 0, "z", 4), ("k", 0, 0, "only", 5))
-HTML = ((1, "<h1>T</h1><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td><b>2</b></td></tr></table><p>tail</p>"), (2, "<p>no table</p>"))
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the source of texts in shapes that no table has: (k, key, status, priority)."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
 
 
-def _values(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+def _text(pattern: str) -> Column:
+    """A text with {column} filled in from columns."""
+    parts = [F.col(x[1:-1]).cast("string") if re.fullmatch(r"\{\w+\}", x) else F.lit(x) for x in re.split(r"(\{\w+\})", pattern) if x]
+    return F.concat(*parts)
 
 
 def dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,34 +47,51 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, HTML, "page_number int, html string").select("page_number", F.explode(normalize.html_tables(F.col("html"))).alias("t"))
-    lines = rows.select("page_number", F.posexplode("t").alias("row", "r"))
+    """Rows of the tables of pages, two in three of which have one."""
+    with_table = _text("<h1>T</h1><table><tr><th>Key</th><th>{status}</th></tr><tr><td>{key}</td><td><b>{priority}</b></td></tr></table><p>tail</p>")
+    pages = _orders(spark, sf_dir).select(F.col("k").alias("page_number"), F.when(F.col("k") % 3 != 0, with_table).otherwise("<p>no table</p>").alias("html"))
+    lines = pages.select("page_number", F.explode(normalize.html_tables(F.col("html"))).alias("t")).select("page_number", F.posexplode("t").alias("row", "r"))
     return lines.select("page_number", F.col("row").cast("long").alias("row"), F.col("r.is_header").alias("is_header"), F.array_join("r.cells", "|").alias("cells"))
 
 
 def md_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = normalize.markdown_blocks(_values(spark, MARKDOWN, "page_number int, markdown string"))
+    page = _text("# {status} part\n\nkey {key}\nmore\n\n| A | B |\n|---|---|\n| {key} | {priority} |\n## End\nend")
+    blocks = normalize.markdown_blocks(_orders(spark, sf_dir).select(F.col("k").alias("page_number"), page.alias("markdown")))
     cells = F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), ";")
     return blocks.select("page_number", F.col("block").cast("long").alias("block"), "block_type", F.coalesce("content_text", cells).alias("content"))
 
 
 def cells_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = normalize.grid(_values(spark, GRID, "id string, row int, col int, value string, pos int"), ["id"])
-    return lines.select("id", F.col("row").cast("long").alias("row"), F.array_join("line", "|").alias("line"))
+    """An order's lines as cells: a line's number is the row, its part's number modulo 4 the column; of one place the greatest value counts."""
+    line, value = F.col("l_linenumber").cast("int"), F.concat("l_returnflag", "l_linestatus")
+    cells = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), (line - 1).alias("row"), (F.col("l_partkey") % 4).cast("int").alias("col"), value.alias("value"), value.alias("pos")
+    )
+    return normalize.grid(cells, ["id"]).select("id", F.col("row").cast("long").alias("row"), F.array_join("line", "|").alias("line"))
+
+
+#: Page JSON in the shapes that occur, by the order's key modulo 8.
+JSON_SHAPES = (
+    '{"blocks":[{"type":"heading","level":"h{level}","text":" {priority} "},{"type":"text","text":"{key}"},"bare"]}',
+    '{"content":{"elements":[{"layout_tag":"Table","table_data":{"headers":[["A","B"]],"rows":[[{"text":"{key}"},2],{"cells":["{priority}",null]}]}}]}}',
+    '{"blocks":[{"type":"table","cells":[{"row":0,"col":0,"value":"A"},{"row":0,"col":1,"text":"B"},{"row_index":2,"col_index":1,"value":{key}},{"r":1,"c":0,"value":"{priority}"}]}]}',
+    '{"page":{"blocks":[{"block_type":"table","table_data":[["{key}","{priority}"],["x"]]}]}}',
+    '{"blocks":[{"type":"table","text":"| A | B |\\n|---|---|\\n| {key} | {priority} |"}]}',
+    '{"elements":[{"type":"table","text":"<table><tr><th>A</th></tr><tr><td>{key}</td></tr></table>"},{"type":"table","text":"nothing"}]}',
+    '{"text":"{priority}"}',
+    '{"blocks":[],"tables":[{"headers":["x"],"rows":[["{key}"]]}]}',
+)
 
 
 def json_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content blocks of page JSON in several shapes."""
-    pages = (
-        (1, '{"blocks":[{"type":"heading","level":"h9","text":" H "},{"type":"text","text":"T"},"bare"]}'),
-        (2, '{"content":{"elements":[{"element_type":"paragraph","value":"P"},{"layout_tag":"Table","table_data":{"headers":[["A","B"]],"rows":[[{"text":"1"},2],{"cells":["3",null]}]}}]}}'),
-        (3, '{"text":"flat"}'),
-        (4, '{"blocks":[],"tables":[{"headers":["x"],"rows":[["1"]]}]}'),
-        (5, "not json"),
-        (6, "{}"),
-    )
-    blocks = normalize.json_blocks(_values(spark, pages, "page_number int, json string"))
-    return blocks.select("page_number", "pos", "block_type", "heading_level", F.coalesce("content_text", "table_text").alias("content"))
+    """Content blocks of page JSON in several shapes; some pages cannot be read."""
+    rows = _orders(spark, sf_dir).withColumn("level", F.col("k") % 9)
+    page = F.lit("not json")
+    for i, shape in enumerate(JSON_SHAPES):
+        page = F.when(F.col("k") % 8 == i, _text(shape)).otherwise(page)
+    pages = rows.select(F.col("k").alias("page_number"), F.when(F.col("k") % 11 != 0, page).otherwise("not json").alias("json"))
+    blocks = normalize.json_blocks(pages)
+    return blocks.select("page_number", F.col("pos").cast("long").alias("pos"), "block_type", F.col("heading_level").cast("long").alias("heading_level"), F.coalesce("content_text", "table_text").alias("content"))
 
 
 def json_prop_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,14 +118,33 @@ def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("section").cast("long").alias("section"), "n_blocks", F.size("headings").cast("long").alias("n_headings"), F.md5("content_markdown").alias("markdown_md5"))
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_id, cell_pos, cell): cells of a table for each order."""
+    rows = _orders(spark, sf_dir).select("key", (F.col("k") % 7).alias("a"), (F.col("k") % 5).alias("b"), (F.col("k") % 3 + 1).alias("m"))
+    cells = F.array(_text("Note {a}"), _text("({m})"), F.lit("Refer Schedule V"), _text("See Note {b}"), F.lit("as per note 3 #2"))
+    return rows.select(F.col("key").alias("table_id"), F.posexplode(cells).alias("cell_pos", "cell"))
+
+
 def ref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = references.extracted(_values(spark, CELLS, "table_id string, cell_pos int, cell string"))
-    return found.select("table_id", "ref_code", F.col("cell_pos").cast("long").alias("cell_pos"))
+    return references.extracted(_cells(spark, sf_dir)).select("table_id", "ref_code", F.col("cell_pos").cast("long").alias("cell_pos"))
 
 
 def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = references.extracted(_values(spark, CELLS, "table_id string, cell_pos int, cell string")).select(F.lit("d1").alias("doc_id"), "ref_code")
-    target = _values(spark, SECTIONS, "doc_id string, section int, section_type string, section_path array<string>, headings array<string>, content_markdown string")
+    """References of each order's table, resolved in four sections of the same document."""
+    found = references.extracted(_cells(spark, sf_dir)).select(F.col("table_id").alias("doc_id"), "ref_code")
+    rows = _orders(spark, sf_dir).select("key", (F.col("k") % 7).alias("a"), (F.col("k") % 5).alias("b"))
+    none = F.array().cast("array<string>")
+
+    def section(n: int, kind: str, path: Column, headings: Column, text: str) -> Column:
+        return F.struct(F.lit(n).alias("section"), F.lit(kind).alias("section_type"), path.alias("section_path"), headings.alias("headings"), F.lit(text).alias("content_markdown"))
+
+    parts = F.array(
+        section(0, "note_to_accounts", F.array(F.lit("Notes"), _text("Note {a}")), none, "text of a note"),
+        section(1, "note_to_accounts", F.array(F.lit("Notes")), F.array(_text("About Note {b}")), "more"),
+        section(2, "schedule", F.array(F.lit("Schedules")), none, "see schedule v here"),
+        section(3, "note_to_accounts", F.array(F.lit("Notes")), none, "this is note 3 of many"),
+    )
+    target = rows.select(F.col("key").alias("doc_id"), F.inline(parts))
     return references.resolved(found, target).select("doc_id", "ref_code", F.col("section").cast("long").alias("section"), F.col("strategy").cast("long").alias("strategy"), "resolved_text")
 
 
@@ -145,22 +174,36 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ("42.5", "42", " 7 ", "", "-", "invalid", "26,385", "18%", "1e3", "-5", None)
-    rows = _values(spark, enumerate(values), "pos int, cell string")
+    """Cells with numbers in several forms, one for each customer."""
+    shapes = ("{key}.5", "{key}", " {key} ", "", "-", "no {key}", "26,{low}", "{key}%", "-{key}")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("key"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0").alias("low"))
+    cell = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        cell = F.when(F.col("c_custkey") % 10 == i, _text(shape) if shape else F.lit("")).otherwise(cell)
+    rows = rows.withColumn("cell", cell)
     cell = clean_cell(F.col("cell"))
-    return rows.select("pos", to_double(F.trim("cell")).alias("as_double"), to_int(F.col("cell")).alias("as_int"), cell["num"].alias("num"), cell["txt"].alias("txt"))
+    return rows.select("c_custkey", to_double(F.trim("cell")).alias("as_double"), to_int(F.col("cell")).alias("as_int"), cell["num"].alias("num"), cell["txt"].alias("txt"))
 
 
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, ((1, "reliance.NS", "Profit up - Daily - Mint", "05-Jan-2024 10:30:00", "Sales  +"), (2, "tcs", "No source", "2024-02-03", "Net Profit"), (3, None, None, "soon", None)), "pos int, ticker string, title string, day string, label string")
+    """Tickers, headlines, days and labels made of customers; every seventh has none."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0").alias("d"))
+    given = lambda c: F.when(F.col("k") % 7 != 0, c)
+    rows = rows.select(
+        "k",
+        given(F.when(F.col("k") % 2 == 0, _text("c{k}.NS")).otherwise(_text("c{k}"))).alias("ticker"),
+        given(F.when(F.col("k") % 3 == 0, _text("No source {k}")).otherwise(_text("Profit {k} up - {segment} - Mint"))).alias("title"),
+        given(F.when(F.col("k") % 5 == 0, F.lit("soon")).otherwise(_text("{d}-Jan-2024 10:30:00"))).alias("day"),
+        given(_text("Sales {segment}  +")).alias("label"),
+    )
     head, source = headline(F.col("title"))
-    return rows.select("pos", ticker_slug(F.col("ticker")).alias("slug"), head.alias("headline"), source.alias("source"), F.date_format(parse_date(F.col("day")), "yyyy-MM-dd").alias("day"), row_label(F.col("label")).alias("label"), first_filled(F.lit(""), F.col("ticker"), F.lit("none")).alias("filled"))
+    return rows.select("k", ticker_slug(F.col("ticker")).alias("slug"), head.alias("headline"), source.alias("source"), F.date_format(parse_date(F.col("day")), "yyyy-MM-dd").alias("day"), row_label(F.col("label")).alias("label"), first_filled(F.lit(""), F.col("ticker"), F.lit("none")).alias("filled"))
 
 
 def xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of an RSS document."""
-    xml = "<rss><channel><item><title>A b - C</title><link>http://x</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><title>D</title></item></channel></rss>"
-    items = readers.feed_items(_values(spark, (("f", "https://h.example/rss", xml),), "feed string, url string, xml string"))
+    """Items of an RSS document for each order."""
+    xml = _text("<rss><channel><item><title>A {key} - {status}</title><link>http://x</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><title>{priority}</title></item></channel></rss>")
+    items = readers.feed_items(_orders(spark, sf_dir).select(F.col("key").alias("feed"), F.lit("https://h.example/rss").alias("url"), xml.alias("xml")))
     return items.select("feed", F.col("pos").cast("long").alias("pos"), "headline", "source", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
@@ -185,9 +228,29 @@ ORACLE_SQL = {
     "page_headings": r"""
         SELECT page_id, len(h)::BIGINT AS n_headings, trim(regexp_replace(regexp_replace(h[1], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS first_heading, n_paragraphs
         FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h, len(regexp_extract_all(html, '(?i)<p[ >]'))::BIGINT AS n_paragraphs FROM pages)""",
-    "html_rows": "SELECT * FROM (VALUES (1::INTEGER, 0::BIGINT, true, 'A|B'), (1, 1, false, '1|2')) t(page_number, \"row\", is_header, cells)",
-    "md_table_parse": "SELECT * FROM (VALUES (1::INTEGER, 0::BIGINT, 'heading', 'Title'), (1, 1, 'text', 'Some text' || chr(10) || 'more text'), (1, 2, 'table', 'A|B;1|2;3|4'), (1, 3, 'heading', 'Part'), (1, 4, 'text', 'end'), (2, 0, 'text', 'plain')) t(page_number, block, block_type, content)",
-    "cells_to_grid": "SELECT * FROM (VALUES ('g', 0::BIGINT, 'h1||h3'), ('g', 1, '|x|'), ('g', 2, 'z||'), ('k', 0, 'only')) t(id, \"row\", line)",
+    "html_rows": r"""
+        SELECT k AS page_number, 0::BIGINT AS "row", true AS is_header, 'Key|' || status AS cells FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders) WHERE k % 3 <> 0
+        UNION ALL SELECT k, 1, false, key || '|' || priority FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders) WHERE k % 3 <> 0""",
+    "md_table_parse": r"""
+        SELECT k AS page_number, unnest(range(5)) AS block, unnest(['heading', 'text', 'table', 'heading', 'text']) AS block_type,
+               unnest([status || ' part', 'key ' || key || chr(10) || 'more', 'A|B;' || key || '|' || priority, 'End', 'end']) AS content FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders)""",
+    "cells_to_grid": r"""
+        WITH c AS (SELECT l_orderkey AS id, l_linenumber - 1 AS r, l_partkey % 4 AS c, max(l_returnflag || l_linestatus) AS v FROM lineitem GROUP BY 1, 2, 3),
+        g AS (SELECT id, w, unnest(range(h + 1)) AS r FROM (SELECT id, max(r) AS h, max(c) AS w FROM c GROUP BY id)),
+        x AS (SELECT id, r, unnest(range(w + 1)) AS c FROM g)
+        SELECT x.id, x.r::BIGINT AS "row", string_agg(coalesce(v, ''), '|' ORDER BY x.c) AS line FROM x LEFT JOIN c ON c.id = x.id AND c.r = x.r AND c.c = x.c GROUP BY 1, 2""",
+    "json_normalize": r"""
+        WITH o AS (SELECT *, chr(10) || repeat('-', 40) || chr(10) AS bar, greatest(1, least(6, k % 9))::BIGINT AS level FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders) WHERE k % 11 <> 0)
+        SELECT k AS page_number, 0::BIGINT AS pos, 'heading' AS block_type, level AS heading_level, trim(priority) AS content FROM o WHERE k % 8 = 0
+        UNION ALL SELECT k, 1, 'text', NULL, key FROM o WHERE k % 8 = 0
+        UNION ALL SELECT k, 2, 'text', NULL, 'bare' FROM o WHERE k % 8 = 0
+        UNION ALL SELECT k, 0, 'table', NULL, 'A | B' || bar || key || ' | 2' || chr(10) || priority || ' | ' FROM o WHERE k % 8 = 1
+        UNION ALL SELECT k, 0, 'table', NULL, 'A | B' || bar || priority || ' | ' || chr(10) || ' | ' || key FROM o WHERE k % 8 = 2
+        UNION ALL SELECT k, 0, 'table', NULL, key || ' | ' || priority || chr(10) || 'x' FROM o WHERE k % 8 = 3
+        UNION ALL SELECT k, 0, 'table', NULL, 'A | B' || bar || key || ' | ' || priority FROM o WHERE k % 8 = 4
+        UNION ALL SELECT k, 0, 'table', NULL, 'A' || bar || key FROM o WHERE k % 8 = 5
+        UNION ALL SELECT k, 0, 'text', NULL, trim(priority) FROM o WHERE k % 8 = 6
+        UNION ALL SELECT k, 0, 'table', NULL, 'x' || bar || key FROM o WHERE k % 8 = 7""",
     "json_prop_extract": "SELECT (props::JSON->>'k')::BIGINT AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "section_groups": """
         WITH b AS (SELECT conv_id AS doc_id, turn, turn % 3 = 0 OR turn % 5 = 1 AS h FROM conversations),
@@ -199,19 +262,33 @@ ORACLE_SQL = {
         g AS (SELECT *, pos // 10 AS grp, count(*) OVER (PARTITION BY doc_id, pos // 10) AS size FROM l),
         s AS (SELECT doc_id, pos, pos % 10 = 0 AS h, CASE WHEN pos % 10 = 0 THEN '## ' || line ELSE line END AS line, CASE WHEN size < 3 AND grp > 0 THEN grp - 1 ELSE grp END AS section FROM g)
         SELECT doc_id, section::BIGINT AS section, count(*) AS n_blocks, count(*) FILTER (h) AS n_headings, md5(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY pos) FILTER (line <> ''), '')) AS markdown_md5 FROM s GROUP BY doc_id, section""",
-    "ref_extract": "SELECT * FROM (VALUES ('t1', 'Note 5', 0::BIGINT), ('t1', '(1)', 1), ('t1', 'Schedule V', 2), ('t1', '***', 3), ('t1', 'Note 12', 4), ('t2', '*', 0), ('t2', '#3', 1), ('t2', 'Note 5', 2), ('t2', 'Note 7', 3), ('t2', '(b)', 4)) t(table_id, ref_code, cell_pos)",
-    "ref_resolve": "SELECT * FROM (VALUES ('d1', 'Note 5', 1::BIGINT, 2::BIGINT, 'more'), ('d1', 'Note 12', 0, 1, 'text of note 12'), ('d1', 'Schedule V', 2, 4, 'see schedule v here'), ('d1', 'Note 7', 3, 3, 'this is note 7 of many')) t(doc_id, ref_code, section, strategy, resolved_text)",
+    "ref_extract": r"""
+        SELECT key AS table_id, ref_code, min(cell_pos) AS cell_pos FROM (
+            SELECT key, unnest(['Note ' || k % 7, '(' || k % 3 + 1 || ')', 'Schedule V', 'Note ' || k % 5, 'Note 3', '#2']) AS ref_code, unnest([0, 1, 2, 3, 4, 4])::BIGINT AS cell_pos FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders)) GROUP BY 1, 2""",
+    "ref_resolve": r"""
+        WITH r AS (SELECT DISTINCT key, k % 7 AS a, k % 5 AS b, unnest([k % 7, k % 5, 3]) AS n FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders))
+        SELECT key AS doc_id, 'Note ' || n AS ref_code, CASE WHEN n = a THEN 0 WHEN n = b THEN 1 ELSE 3 END::BIGINT AS section, CASE WHEN n = a THEN 1 WHEN n = b THEN 2 ELSE 3 END::BIGINT AS strategy,
+               CASE WHEN n = a THEN 'text of a note' WHEN n = b THEN 'more' ELSE 'this is note 3 of many' END AS resolved_text FROM r
+        UNION ALL SELECT key, 'Schedule V', 2, 4, 'see schedule v here' FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders)""",
     "tree_recursive": """
         WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent_id, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation),
         w AS (SELECT id, 0::BIGINT AS depth, title AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, w.depth + 1, w.path || ' > ' || n.title FROM n JOIN w ON n.parent_id = w.id)
         SELECT id, depth, path FROM w""",
     "nodes_by_type": "SELECT r_regionkey AS doc_id, n_nationkey AS node_id, 1.0::DOUBLE AS score, 'tree' AS score_source FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey IN (1, 3) AND n_nationkey % 2 = 0",
     "cascade_delete": "SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 0) GROUP BY 1",
-    "safe_casts": """
-        SELECT * FROM (VALUES (0::INTEGER, 42.5::DOUBLE, NULL::BIGINT, 42.5::DOUBLE, NULL), (1, 42, 42, 42, NULL), (2, 7, 7, 7, NULL), (3, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, 'invalid'),
-            (6, NULL, NULL, 26385, NULL), (7, NULL, NULL, NULL, '18%'), (8, 1000, NULL, 1000, NULL), (9, -5, -5, -5, NULL), (10, NULL, NULL, NULL, NULL)) t(pos, as_double, as_int, num, txt)""",
-    "text_helpers": "SELECT * FROM (VALUES (1::INTEGER, 'RELIANCE', 'Profit up - Daily', 'Mint', '2024-01-05', 'Sales', 'reliance.NS'), (2, 'TCS', 'No source', NULL, '2024-02-03', 'Net Profit', 'tcs'), (3, NULL, NULL, NULL, NULL, NULL, 'none')) t(pos, slug, headline, source, day, label, filled)",
-    "xml_items": "SELECT * FROM (VALUES ('f', 0::BIGINT, 'A b', 'C', '2024-01-02 10:00:00'), ('f', 1, 'D', 'h.example', NULL)) t(feed, pos, headline, source, published)",
+    "safe_casts": r"""
+        SELECT c_custkey, CASE c_custkey % 10 WHEN 0 THEN c_custkey + 0.5 WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey WHEN 8 THEN -c_custkey END::DOUBLE AS as_double,
+               CASE c_custkey % 10 WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey WHEN 8 THEN -c_custkey END::BIGINT AS as_int,
+               CASE c_custkey % 10 WHEN 0 THEN c_custkey + 0.5 WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey WHEN 6 THEN 26000 + c_custkey % 1000 WHEN 8 THEN -c_custkey END::DOUBLE AS num,
+               CASE c_custkey % 10 WHEN 5 THEN 'no ' || c_custkey WHEN 7 THEN c_custkey || '%' END AS txt FROM customer""",
+    "text_helpers": r"""
+        SELECT k, CASE WHEN g THEN 'C' || k END AS slug, CASE WHEN g THEN CASE WHEN k % 3 = 0 THEN 'No source ' || k ELSE 'Profit ' || k || ' up - ' || segment END END AS headline,
+               CASE WHEN g AND k % 3 <> 0 THEN 'Mint' END AS source, CASE WHEN g AND k % 5 <> 0 THEN '2024-01-' || lpad((k % 28 + 1)::VARCHAR, 2, '0') END AS day,
+               CASE WHEN g THEN 'Sales ' || segment END AS label, CASE WHEN NOT g THEN 'none' WHEN k % 2 = 0 THEN 'c' || k || '.NS' ELSE 'c' || k END AS filled
+        FROM (SELECT c_custkey AS k, c_mktsegment AS segment, c_custkey % 7 <> 0 AS g FROM customer)""",
+    "xml_items": r"""
+        SELECT key AS feed, 0::BIGINT AS pos, 'A ' || key AS headline, status AS source, '2024-01-02 10:00:00' AS published FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders)
+        UNION ALL SELECT key, 1, priority, 'h.example', NULL FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders)""",
     "prefer_first_source": """
         SELECT page_id % 50 AS slot, min(page_id) AS page_id FROM pages
         WHERE page_id % 7 <> 0 AND NOT regexp_matches(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '404|not found|just a moment|access denied|attention required') GROUP BY 1""",
