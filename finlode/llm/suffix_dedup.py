@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from .words import mix
 
 #: Length of a repeated string, of an anchor's k-gram, and of a symbol of the suffix arrays, in bytes.
 LENGTH, GRAM, SYMBOL = 200, 48, 16
-#: Distinct segments of one anchor that one task compares; the windows of a larger group are compared by key instead.
-MAX_GROUP = 20_000
+#: Distinct segments that one task compares; a larger group is split by the bytes around its anchor first.
+MAX_GROUP = 1000
+#: Starts that share a part of a split group, split by split; at 1 all strings of a part are equal.
+BANDS = (32, 8, 1)
 #: Symbols of one suffix array; whole groups are put together up to that.
 BATCH_SYMBOLS = 200_000
 #: Bytes of a text that one pass of the anchor scan takes.
@@ -81,7 +84,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
     first, last = start[cut], start[np.append(cut[1:], len(start)) - 1]
     place, row = place[cut], row[cut]
-    segment = mix(hashes.of(first, last + length) + (place - first).astype(np.uint64) * np.uint64(_BASE) + mix((last - first).astype(np.uint64)))
+    raw = memoryview(np.ascontiguousarray(data))
+    named = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+    segment = mix(named + (place - first).astype(np.uint64) * np.uint64(_BASE) + mix((last - first).astype(np.uint64)))
     return row, first, last, place, grams[place], segment
 
 
@@ -235,19 +240,26 @@ def _compared(length: int):
     return compare
 
 
-def _windows(length: int):
-    """Each string of a segment by itself: (k1, k2, start, one, two), named by a 128-bit digest."""
+SEGMENT = "anchor long, k1 long, k2 long, start long, lead int, span int, bytes binary"
+
+
+def _split(length: int, width: int):
+    """Segments cut into parts of at most ``width`` starts, whose new anchors are the bytes that all strings of a part hold.
+
+    Strings whose anchor is d bytes in are put together by d // width. All of them hold the same bytes around the
+    anchor, so equal strings still have equal anchors, and strings that differ there no longer meet.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {k: batch.column(k).to_pylist() for k in ("k1", "k2", "start", "span", "bytes")}
-            for k1, k2, start, span, raw in zip(*columns.values(), strict=True):
-                names = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(span + 1)]
-                n = span + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array(names, pa.binary())],
-                    names=["k1", "k2", "start", "name"],
-                )
+            out: list[tuple] = []
+            for anchor, k1, k2, start, lead, span, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for band in range((lead - span) // width, lead // width + 1):
+                    low, high = max(band * width, lead - span), min(band * width + width - 1, lead)
+                    core = raw[lead - band * width : lead + length - (band * width + width - 1)]
+                    key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=anchor.to_bytes(8, "little", signed=True), salt=bytes([band])).digest(), "little", signed=True)
+                    out.append((key, k1, k2, start + lead - high, high, high - low, raw[lead - high : lead - low + length]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), batch.schema, strict=True)] if out else [c.slice(0, 0) for c in batch.columns], names=batch.schema.names)
 
     return split
 
@@ -281,25 +293,29 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM, ma
     whole = rows.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"])
     spans = saved(whole.select(*KEY, "start", (F.col("start") + F.col("span") + length).alias("end")))
     # a segment that occurs once may share strings with the others of its anchor
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1").select("anchor", "size")
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 AND least = 1").select("anchor")
     needed = kinds.join(open_, "anchor").select("anchor", "place.*")
-    sizes = open_.where(F.col("size") > max_group)
     places = saved(needed.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "start", "lead", "span")).alias("places")))
     released(rows)
-    bytes_ = source.select(*KEY, "text").join(places, list(KEY)).mapInArrow(_cut_out(length), "anchor long, k1 long, k2 long, start long, lead int, span int, bytes binary").dropDuplicates([*KEY, "start"])
-    large = saved(sizes.select("anchor"))
-    bytes_ = saved(bytes_)
-    released(kinds)
+    now = saved(source.select(*KEY, "text").join(places, list(KEY)).mapInArrow(_cut_out(length), SEGMENT).dropDuplicates([*KEY, "start"]))
+    released(kinds, places)
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = bytes_.join(large, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor")
-    more = small.mapInArrow(_compared(length), "k1 long, k2 long, start long, end long")
-    # groups that no one task should hold: every string is looked up by its digest
-    windows = bytes_.join(large, "anchor").mapInArrow(_windows(length), "k1 long, k2 long, start long, name binary")
-    again = windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    rest = windows.join(again, "name").select(*KEY, "start", (F.col("start") + length).alias("end"))
-    more = saved(more.unionByName(rest))
-    released(bytes_, large, places)
-    return spans.unionByName(more)
+    for width in BANDS:
+        sizes = saved(now.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > max_group).select("anchor"))
+        small = now.join(sizes, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor")
+        found = saved(small.mapInArrow(_compared(length), "k1 long, k2 long, start long, end long"))
+        spans = spans.unionByName(found)
+        if sizes.isEmpty():
+            released(now, sizes)
+            return spans
+        # groups that no one task should hold
+        parts = saved(now.join(sizes, "anchor").select(now.columns).mapInArrow(_split(length, width), SEGMENT))
+        released(now, sizes)
+        alone = parts.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1").select("anchor")
+        now = saved(parts.join(alone, "anchor").select(parts.columns))
+        released(parts)
+    # what is left are groups of equal strings, two at least in each
+    return spans.unionByName(now.select(*KEY, "start", (F.col("start") + length).alias("end")))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, max_group: int = MAX_GROUP, with_bytes: bool = True) -> DataFrame:
@@ -311,7 +327,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A scan gives every such string an anchor, the k-gram of ``gram`` bytes with the least hash in it, and cuts texts
     into segments of the strings that share an anchor. Equal strings have equal anchors, so it is enough to compare
     segments of equal anchors. Equal segments are counted. Only where an anchor's segments differ and one of them
-    occurs once are bytes fetched, one copy of each distinct segment, and compared by a suffix array.
+    occurs once are bytes fetched, one copy of each distinct segment, and compared by a suffix array. A group of more than
+    ``max_group`` is split by the bytes that its strings have around the anchor, more of them at each split; the last
+    split leaves groups of equal strings only.
 
     A null or empty text, or one shorter than ``length``, keeps all its bytes. Rows with null ids and rows that repeat
     an id are documents of their own; of rows that repeat id and text each is the other's copy. Other columns are

@@ -32,7 +32,6 @@ def suffix_array(text: list[int]) -> list[int]:
     now = len(order) - 1
     while now >= 0:
         own = [i for i in members[now] if group[i] == now]
-        own.sort()
         for i in own:
             done[i] = 1
         count: dict[int, int] = {}
@@ -50,7 +49,8 @@ def suffix_array(text: list[int]) -> list[int]:
                 count[j] = count.get(j, 0) + 1
         members[now] = own
         if count:
-            # those with more copies are moved first, so those moved later come to lie between them and what stays
+            # those with more copies are moved first, so those moved later come to lie between them and what stays;
+            # counts add up to the group's size, so there are at most about the root of it to sort
             levels: dict[int, dict[int, list[int]]] = {}
             for j, c in count.items():
                 levels.setdefault(c, {}).setdefault(group[j], []).append(j)

@@ -562,6 +562,15 @@ def brute_removed(rows, length):
     return sorted(out, key=repr)
 
 
+def test_suffix_dedup_of_words_that_a_polynomial_hash_confuses(spark):
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "x" + one + "y"), (2, "x" + one.translate(str.maketrans("ab", "ba")) + "y"), (3, one[100:400])]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_removed(rows, 200)
+
+
 @pytest.mark.parametrize(("length", "gram", "most"), [(40, 12, 20000), (40, 12, 3), (33, 9, 20000)])
 def test_suffix_dedup(spark, length, gram, most):
     rng = random.Random(5)
