@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlode.llm.common import saved, shared_dir, table
+from finlode.llm.common import released, saved, shared_dir, table
 from finlode.llm.decontaminate import decontaminate
 from finlode.llm.mixing import resampled
 from finlode.llm.near_dedup import near_representatives
@@ -49,12 +49,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is written to the shared folder, read again, and deleted once used."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = saved(docs)
+        if before is not None:
+            released(before)
+        before = docs
     return docs
 
 
