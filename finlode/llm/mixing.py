@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, documents, released, saved, table
+from .common import blocks, documents, saved, table
 
 #: Hashed words of the domain classifier; labelled documents it is fitted on at most.
 BUCKETS, MAX_LABELLED = 1 << 12, 4000
@@ -20,8 +20,6 @@ BUCKETS, MAX_LABELLED = 1 << 12, 4000
 FLATTEN = 0.7
 #: How far the default total is above the least at which no domain is thinned out, so that no document's rate is below 1.
 HEADROOM = 1.05
-#: Gradient steps in one expression; then the rates so far are written to a table.
-FOLD = 8
 
 
 @dataclass
@@ -115,14 +113,9 @@ def domain_posteriors(docs: DataFrame, model: DomainModel, id_col: str, text_col
     return source.mapInArrow(scan, f"doc_id {kind}, tie long, n_tokens long, posterior array<double>")
 
 
-def stepped(rate: Column, moves: list[np.ndarray]) -> Column:
-    """A document's rate after some gradient steps: each adds posterior . move, and is cut at 0."""
-    for move in moves:
-        dot = F.lit(0.0)
-        for d, v in enumerate(move.tolist()):
-            dot = dot + F.col("posterior")[d] * v
-        rate = F.greatest(F.lit(0.0), rate + dot)
-    return rate
+def _posteriors(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """A row of probabilities for each row of a batch."""
+    return batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
 @dataclass
@@ -151,26 +144,35 @@ def fit_rates(members: DataFrame, targets: np.ndarray, start: float, max_steps:
     matrix is that of the documents whose rates are not at the bound, as only these can move; where such a step leads
     away from the targets, that of all documents is taken, which cannot. Each step is one distributed sum of as many
     numbers as there are domains and pairs of them; documents stay where they are, and a document's rate is recomputed
-    from its posterior and the steps so far. It ends when the totals meet the targets or no longer change, by
-    ``tolerance`` of all tokens; a fit that has not settled after ``max_steps`` says so, with a warning.
+    from its posterior and the steps so far. The plan of a step is the same each time, only its numbers differ. It ends
+    when the totals meet the targets or no longer change, by ``tolerance`` of all tokens; a fit that has not settled
+    after ``max_steps`` says so, with a warning.
     """
     n = len(targets)
-    p = [F.col("posterior")[d] for d in range(n)]
     limit = tolerance * max(targets.sum(), 1)
     moves: list[np.ndarray] = []
-    # every few steps the rates so far are folded into a table, so that no expression grows without bound
-    state, done = members.withColumn("rate", F.lit(start)), 0
-    kept: list[DataFrame] = []
+    upper = np.triu_indices(n)
+    names = [f"s{i}" for i in range(n + len(upper[0]))]
 
     def summed() -> tuple[np.ndarray, np.ndarray]:
-        """Totals with the moves so far, and the matrix of the documents that are not at the bound."""
-        now = state.select("n_tokens", "posterior", stepped(F.col("rate"), moves[done:]).alias("rate"))
-        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
-        pairs = [F.sum(free * p[i] * p[j]) for i in range(n) for j in range(i, n)]
-        sums = list(now.agg(*(F.coalesce(x, F.lit(0.0)) for x in [*(F.sum(F.col("rate") * F.col("n_tokens") * x) for x in p), *pairs])).first())
+        """Totals with the moves so far, and the inverse matrix of the documents that are not at the bound."""
+        fit = Fit(start, list(moves), targets, targets, False)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(names))
+            for batch in batches:
+                p, tokens = _posteriors(batch, n), batch.column("n_tokens").to_numpy().astype(float)
+                rate = fit.rates(p)
+                free = p[rate > 0]
+                out[:n] += (rate * tokens) @ p
+                out[n:] += (free.T @ (free * tokens[rate > 0, None]))[upper]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
+
+        sums = members.select("n_tokens", "posterior").mapInArrow(partial, ", ".join(f"{x} double" for x in names))
+        found = np.array(list(sums.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in names)).first()), float)
         matrix = np.zeros((n, n))
-        matrix[np.triu_indices(n)] = sums[n:]
-        return np.array(sums[:n], float), np.linalg.pinv(matrix + np.triu(matrix, 1).T, rcond=1e-9)
+        matrix[upper] = found[n:]
+        return found[:n], np.linalg.pinv(matrix + np.triu(matrix, 1).T, rcond=1e-9)
 
     totals, inverse = summed()
     everyone, settled = inverse, np.abs(totals - targets).max() <= limit
@@ -184,13 +186,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, start: float, max_steps:
             moves.pop()
         settled = np.abs(new - targets).max() <= limit or np.abs(new - totals).max() <= limit
         totals, inverse = new, free
-        if len(moves) - done >= FOLD:
-            state, done = saved(state.withColumn("rate", stepped(F.col("rate"), moves[done:]))), len(moves)
-            kept.append(state)
     if not settled:
         warnings.warn(f"rates have not settled after {max_steps} steps; largest residual {np.abs(totals - targets).max():.4g} tokens", RuntimeWarning, stacklevel=2)
-    if kept:
-        released(*kept)
     return Fit(start, moves, totals, targets, bool(settled))
 
 
@@ -264,10 +261,14 @@ def mixed(
         none = F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior")
         return documents(docs, id_col, text_col).select("doc_id", F.size(words).cast("long").alias("n_tokens"), *none, F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), *(F.lit(None).cast("double").alias(c) for c in ("domain_target", "domain_reached")))
     model, fitted, found = mix
-    found = found.withColumn("rate", F.lit(fitted.start))
-    for low in range(0, len(fitted.moves), FOLD):
-        found = saved(found) if low else found
-        found = found.withColumn("rate", stepped(F.col("rate"), fitted.moves[low : low + FOLD]))
+    n = len(model.domains)
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted.rates(_posteriors(batch, n)))], names=[*batch.schema.names, "rate"])
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    found = found.mapInArrow(rated, f"doc_id {kind}, tie long, n_tokens long, posterior array<double>, rate double")
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     names = F.array(*(F.lit(d) for d in model.domains))
     rate = F.col("rate")
