@@ -59,6 +59,16 @@ def company_like(col: Column, company: str) -> Column:
     return col.ilike(company.replace(" ", "_"))
 
 
+def file_starts(col: Column, prefix: str) -> Column:
+    """Whether a file name begins with a text, as it is."""
+    return col.startswith(prefix)
+
+
+def file_has(col: Column, part: str) -> Column:
+    """Whether a file name has a text anywhere in it, whatever its case."""
+    return F.lower(col).contains(part.lower())
+
+
 def any_keyword(col: Column, keywords: tuple[str, ...]) -> Column:
     """Whether a text has one of the keywords, whatever their case."""
     quoted = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords)

@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType
 
 from .vocab import DATE_FORMATS
 
@@ -169,23 +169,7 @@ def sentence_trim(text: Column) -> Column:
     return F.when(F.length(head) - 1 > F.floor(F.length(text) / 2), head).otherwise(text)
 
 
-def closest(names: tuple[str, ...], cutoff: float = 0.3):
-    """A function of a column: a name or its upper case if it is among few known ones, else the most similar, else itself.
-
-    Similarity is difflib's ratio of lower-case names, without an exchange suffix; ties go to the later in order.
-    """
-    lowered = {n.lower(): n for n in names}
-
-    @F.pandas_udf(StringType())
-    def nearest(slugs: pd.Series) -> pd.Series:
-        found = {}
-        for slug in slugs.dropna().unique():
-            score, low = max(((SequenceMatcher(None, low, slug).ratio(), low) for low in lowered), default=(0.0, ""))
-            found[slug] = lowered[low] if score >= cutoff and low else None
-        return slugs.map(found)
-
-    def match(col: Column) -> Column:
-        slug = F.trim(F.regexp_replace(F.lower(col), r"\.(ns|bo)", ""))
-        return F.when(col.isin(*names), col).when(F.upper(col).isin(*names), F.upper(col)).otherwise(F.coalesce(nearest(slug), col))
-
-    return match
+@F.pandas_udf(DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """difflib's ratio of two texts."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)

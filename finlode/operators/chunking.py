@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sentence_trim, title_words
-from ..functions.vocab import CHUNK_OVERLAP, CHUNK_SIZE
+from ..functions.vocab import CHUNK_OVERLAP, CHUNK_SIZE, NARRATIVE_TYPES
 
 
 def windows(n: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, tail: bool = False) -> Column:
@@ -43,6 +43,21 @@ def prefix(company: Column, report_type: Column, year: Column, quarter: Column,
     return F.when(F.coalesce(summary, F.lit("")) != "", F.concat(header, F.lit("\nSummary: "), summary)).otherwise(header)
 
 
+def section_chunks(sections: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, types: tuple[str, ...] = NARRATIVE_TYPES) -> DataFrame:
+    """Chunks of the narrative sections of documents, each with its header and the text to be embedded.
+
+    ``sections`` (doc_id, section, section_type, section_path, page_start, page_end, content_markdown, summary);
+    ``documents`` (doc_id, company, report_type, fiscal_year, fiscal_quarter). Blank sections give none. Result: doc_id,
+    section, chunk_index, chunk_text, n_tokens, metadata_prefix, full_text, section_type, section_path, page_start, page_end.
+    """
+    rows = sections.where(F.col("section_type").isin(*types)).join(documents, "doc_id")
+    head = prefix(F.col("company"), F.col("report_type"), F.col("fiscal_year"), F.col("fiscal_quarter"), F.col("section_type"), F.col("summary"))
+    kept = ("doc_id", "section", "section_type", "section_path", "page_start", "page_end")
+    named = rows.select(F.struct(*kept, head.alias("metadata_prefix")).alias("id"), "content_markdown")
+    found = chunked(named, "id", "content_markdown", size, overlap).select("id.*", "chunk_index", "chunk_text", "n_tokens")
+    return found.withColumn("full_text", F.concat("metadata_prefix", F.lit("\n\n"), "chunk_text"))
+
+
 def page_ranges(pages: DataFrame, batch: int = 10) -> DataFrame:
     """(id, page_start, page_end): inclusive ranges of at most ``batch`` pages, from 1; a file without pages is an error."""
     checked = F.when(F.col("total_pages") > 0, F.col("total_pages")).otherwise(F.raise_error(F.lit("a document has no pages")))

@@ -1,12 +1,7 @@
-"""Governance disclosures with their filters, and runs of agents."""
+"""Governance disclosures with their filters."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Expired
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,37 +46,3 @@ def silenced(plan: DataFrame, ask_back: Column) -> DataFrame:
 def stale(results: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Adds the age of results in hours and whether they are stale."""
     return results.withColumn("age_hours", (F.unix_timestamp(as_of) - F.unix_timestamp("finished_at")) / 3600).withColumn("stale", F.col("age_hours") > hours)
-
-
-# Seconds that an agent may take.
-BUDGETS = {"quantitative": 60.0, "qualitative": 45.0, "risk_governance": 45.0, "sentiment": 20.0}
-
-
-def run_agents(tasks: DataFrame, agents: dict[str, Callable[[list[str]], str]], budgets: dict[str, float] = BUDGETS) -> DataFrame:
-    """(agent, status, data, error, seconds) of a plan's few tasks, side by side; a failure is a row, never an exception.
-
-    A plan has one row for each agent of the registry at most. Each agent is a function of its helpers' names and may
-    start Spark jobs of its own.
-    """
-    rows = [(r["agent"], list(r["sub_agents"])) for r in tasks.select("agent", "sub_agents").collect()]
-    out = []
-    pool = ThreadPoolExecutor(max_workers=max(1, len(rows)))
-    began = time.monotonic()
-    running = [(name, pool.submit(agents[name], subs)) if name in agents else (name, None) for name, subs in rows]
-    for name, job in running:
-        status, data, error = "success", None, None
-        try:
-            if job is None:
-                raise LookupError(f"no agent {name}")
-            data = job.result(timeout=max(0.0, budgets.get(name, 45.0) - (time.monotonic() - began)))
-        except Expired:
-            status, error = "timeout", "time is up"
-        except (ConnectionError, OSError) as e:
-            status, error = "connection_error", str(e)
-        except (ValueError, TypeError) as e:
-            status, error = "invalid", str(e)
-        except Exception as e:  # noqa: BLE001  an agent's own failure is a result
-            status, error = "failed", str(e)
-        out.append((name, status, data, error, round(time.monotonic() - began, 1)))
-    pool.shutdown(wait=False)
-    return tasks.sparkSession.createDataFrame(out, "agent string, status string, data string, error string, seconds double")

@@ -273,6 +273,19 @@ def html_tables(html) -> Column:
     return F.transform(tables, lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), row), lambda r: F.size(r["cells"]) > 0))
 
 
+def top_ratios(html: Column) -> Column:
+    """Name and value pairs of a page's list with the id top-ratios, as a map; of a name that repeats the last counts."""
+    items = F.regexp_extract_all(F.regexp_extract(html, r"(?is)<(\w+)[^>]*id=[\"']top-ratios[\"'][^>]*>(.*?)</\1>", 2), F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1)
+
+    def part(item: Column, name: str) -> Column:
+        inner = F.regexp_extract(item, rf"(?is)<(\w+)[^>]*class=[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1>(?=\s*(?:<\w+[^>]*class=|$))", 2)
+        return html_text(inner)
+
+    pairs = F.filter(F.transform(items, lambda i: F.struct(part(i, "name").alias("key"), part(i, "value").alias("value"))), lambda x: x["key"] != "")
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
 def html_headings(html: Column) -> Column:
     """Headings in order: (level, text)."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"), 0)

@@ -73,6 +73,11 @@ def looked_up(chunks: DataFrame, tables: DataFrame, links: DataFrame) -> DataFra
     return rows.withColumn("first", first).where("first = 1").select("doc_id", "ref_code", "resolved_text")
 
 
+def of_codes(links: DataFrame, doc_id, codes: tuple[str, ...]) -> DataFrame:
+    """A document's references (doc_id, ref_code, ...) with one of the codes."""
+    return links.where((F.col("doc_id") == doc_id) & F.col("ref_code").isin(*codes))
+
+
 def section_tree(sections: DataFrame) -> DataFrame:
     """(node_id, parent_id, title, depth, path): a root for each document and its sections below."""
     roots = sections.select("doc_id").distinct()

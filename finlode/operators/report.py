@@ -109,6 +109,24 @@ def patch_manifest(components: DataFrame, changes: DataFrame) -> DataFrame:
     return marked.join(marked.where("highlight").select("section").distinct(), "section", "left_semi")
 
 
+def with_values(components: DataFrame, state: DataFrame) -> DataFrame:
+    """Components with the ``value`` that a state (path, value) has at their path; null where it has none."""
+    return components.join(state.select(F.col("path").alias("data_path"), "value"), "data_path", "left")
+
+
+def patch_text(changes: DataFrame, summary: str) -> DataFrame:
+    """(text): a summary of an update and its changed paths in order, as Markdown."""
+    paths = changes.agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    lines = F.transform("paths", lambda p: F.concat(F.lit("- `"), p, F.lit("`\n")))
+    listed = F.when(F.size("paths") > 0, F.concat(F.lit("\n**Changed fields:**\n"), F.array_join(lines, ""))).otherwise("")
+    return paths.select(F.concat(F.lit(f"## Update Applied\n{summary}\n"), listed).alias("text"))
+
+
+def clarification(candidates: Column) -> Column:
+    """A question back that lists the candidates."""
+    return F.concat(F.lit("Which of these is meant?\n"), F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("- "), c)), "\n"))
+
+
 def ingestion_counts(pages: DataFrame, sections: DataFrame, tables: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, pages, sections, tables, chunks, refs): how much of each a document gave."""
     out = None

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import MetadataFilter
 from ..functions.providers import Embedder, hash_embedder
+from ..functions.scalars import likeness
 from ..functions.vocab import CANDIDATES, CONTEXT_TOKENS, FINAL, STRUCTURED_TYPES
 from . import references, routing, search
 
@@ -113,3 +114,31 @@ def tool(store: Store, name: str, question: str, explicit: MetadataFilter) -> st
     wanted = replace(explicit, section_types=explicit.section_types or types)
     kept, _, _ = assembled(store, retrieved(store, question, wanted, tier))
     return rendered(kept, nothing)
+
+
+def _pairs(text: Column) -> Column:
+    """A text's distinct pairs of neighbouring characters, with a blank at both ends."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+
+
+def matched_names(rows: DataFrame, given: str, known: DataFrame, name: str, cutoff: float = 0.3) -> DataFrame:
+    """``rows`` with ``company``: the known name that a given one means.
+
+    That is the name itself or its upper case, if known; else the most similar of the known names that share a pair of
+    neighbouring characters with it, by difflib's ratio of lower-case names, if that is ``cutoff`` or more, ties to the
+    later in order; else the name as it is given. An exchange's suffix is left aside. Only distinct names are compared,
+    and names without a common pair never meet. Null names stay null.
+    """
+    names = known.select(F.col(name).alias("known")).where("known IS NOT NULL").distinct()
+    asked = rows.select(F.col(given).alias("asked")).where("asked IS NOT NULL").distinct()
+    exact = asked.join(names, F.col("asked") == F.col("known")).select("asked", F.col("known").alias("same"))
+    upper = asked.join(names, F.upper("asked") == F.col("known")).select("asked", F.col("known").alias("upper"))
+    slugs = asked.withColumn("slug", F.trim(F.regexp_replace(F.lower("asked"), r"\.(ns|bo)", "")))
+    lowered = names.groupBy(F.lower("known").alias("low")).agg(F.max("known").alias("known"))
+    pairs = slugs.select("slug", F.explode(_pairs(F.col("slug"))).alias("pair")).join(lowered.select("low", F.explode(_pairs(F.col("low"))).alias("pair")), "pair").select("slug", "low").distinct()
+    scored = pairs.withColumn("ratio", likeness("low", "slug")).where(F.col("ratio") >= cutoff)
+    best = scored.groupBy("slug").agg(F.max(F.struct("ratio", "low"))["low"].alias("low")).join(lowered, "low").select("slug", F.col("known").alias("near"))
+    found = slugs.join(exact, "asked", "left").join(upper, "asked", "left").join(best, "slug", "left")
+    found = found.select("asked", F.coalesce("same", "upper", "near", "asked").alias("company"))
+    return rows.join(found, F.col(given) == F.col("asked"), "left").drop("asked")

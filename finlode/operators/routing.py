@@ -18,6 +18,16 @@ def years(question: Column) -> Column:
     return F.transform(F.array_distinct(F.regexp_extract_all(question, F.lit(r"\b(20\d\d)\b"), 1)), lambda y: y.cast("int"))
 
 
+def cover_page(text: Column) -> Column:
+    """(fiscal_year, fiscal_quarter, report_type) of a report's first text: its first year from 2000 on and first quarter."""
+    quarter = F.upper(F.nullif(F.regexp_extract(text, r"(?i)\b(Q[1-4])\b", 1), F.lit("")))
+    return F.struct(
+        F.try_element_at(years(text), F.lit(1)).alias("fiscal_year"),
+        quarter.alias("fiscal_quarter"),
+        F.when(quarter.isNotNull(), "quarterly").otherwise("annual").alias("report_type"),
+    )
+
+
 def routed(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tier, confidence, strategy, phrase, n_years, fallback): the offline router, a question at a time.
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,8 +18,13 @@ K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)
+    """Lower-cased runs of letters and digits of any script, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def index_terms(text: Column, language: str = "english") -> Column:
+    """A text's tokens without the language's common words, as Spark's own list of these has them."""
+    return F.filter(tokens(text), lambda t: ~t.isin(*StopWordsRemover.loadDefaultStopWords(language)))
 
 
 def query_terms(text: Column) -> Column:
@@ -45,14 +51,15 @@ def dense_top_k(chunks: DataFrame, vector: list[float], k: int = CANDIDATES, whe
 def keyword_top_k(chunks: DataFrame, terms: tuple[str, ...], k: int = CANDIDATES, every: bool = True, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score) of the k best chunks by BM25, ties by id; with ``every``, chunks that have all terms.
 
-    Chunks are scanned once for lengths and the terms' counts, which are columns, so nothing is exploded or shuffled
-    but the totals and the k best rows of each task.
+    Each scan, one for the totals and one for the scores, splits a text into tokens once: lengths and the terms' counts
+    come out of a generator, past which no filter on them can be pushed. Nothing is shuffled but the totals and the k best
+    rows of each task.
     """
     if not terms:
         return chunks.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     found = tokens(F.col(text_col))
     counts = [(F.size("found") - F.size(F.array_remove("found", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
-    rows = chunks.select(F.col(id_col).alias("id"), found.alias("found")).select("id", F.size("found").alias("n"), *counts)
+    rows = chunks.select(F.col(id_col).alias("id"), F.explode(F.array(found)).alias("found")).select("id", F.inline(F.array(F.struct(F.size("found").alias("n"), *counts))))
     totals = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -87,10 +94,13 @@ def reranked(rows: DataFrame, scorer=None, k: int = FINAL) -> DataFrame:
 
 
 def _nearest(ids: pa.Array, vectors: np.ndarray, k: int):
-    """For Arrow batches (id, embedding): each batch's best k of every question, by one matrix product."""
+    """For Arrow batches (id, embedding): the task's best k of every question, by one matrix product for each batch."""
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(unit), k), -np.inf)
+        held: np.ndarray | None = None
+        kind = None
         for batch in batches:
             rows = batch.column(1)
             if not batch.num_rows:
@@ -98,22 +108,32 @@ def _nearest(ids: pa.Array, vectors: np.ndarray, k: int):
             matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norm = np.linalg.norm(matrix, axis=1)
             keep = np.flatnonzero(norm > 0)
+            kind, names = batch.column(0).type, np.array(batch.column(0).to_pylist())[keep]
+            held = np.empty((len(unit), k), names.dtype) if held is None else held.astype(np.promote_types(held.dtype, names.dtype))
             if not len(keep):
                 continue
-            scores = (matrix[keep] / norm[keep, None]) @ unit.T
-            # of equal scores at the cut all stay; the final ranking breaks ties by id
-            cut = np.sort(scores, axis=0)[-min(k, len(keep))]
-            at, q = np.nonzero(scores >= cut)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(keep[at])), pa.array(scores[at, q])], names=["query_id", "id", "score"])
+            scores = np.round((matrix[keep] / norm[keep, None]) @ unit.T, 12)
+            # a question's best so far and what is as good as the last of them, ties by id
+            for q in np.flatnonzero(scores.max(0) >= top[:, -1]).tolist():
+                own = scores[:, q]
+                cut = max(top[q, -1], np.partition(own, -min(k, len(own)))[-min(k, len(own))])
+                new = np.flatnonzero(own >= cut)
+                score, name = np.concatenate([top[q], own[new]]), np.concatenate([held[q], names[new]])
+                order = np.lexsort((name, -score))[:k]
+                top[q], held[q] = score[order], name[order]
+        if held is not None:
+            q, at = np.nonzero(np.isfinite(top))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(held[q, at].tolist(), kind), pa.array(top[q, at])], names=["query_id", "id", "score"])
 
     return best
 
 
-def dense_batch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 1000) -> DataFrame:
+def dense_batch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 4096) -> DataFrame:
     """(query_id, id, score): the k nearest chunks of each question of a table (query_id, vector).
 
     Questions are taken in blocks of about ``block``, each against all chunks: a block's vectors go to every task, which
-    keeps the best k of a question from each Arrow batch, so little is shuffled and no pair of all becomes a row.
+    keeps the best k of each question over all that it reads, so k rows for each question and task are shuffled and no
+    pair of all becomes a row. Scores are rounded to 12 digits, ties go to the smaller id.
     """
     blocks = max(1, -(-queries.count() // block))
     rows = chunks.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<float>").alias("embedding"))
@@ -129,8 +149,22 @@ def dense_batch(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, bloc
             out = found if out is None else out.unionByName(found)
     if out is None:
         return queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double")
-    rounded = out.withColumn("score", F.round("score", 12))
-    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
+def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int, width: int = 1 << 16) -> DataFrame:
+    """``rows`` and their running ``total`` of ``size`` in each group, in the order of a whole number, as far as a budget goes.
+
+    Sums of ranges of ``width`` numbers come first; only the few ranges that begin within the budget are read again and
+    summed row by row, so a group is never one task's, however large it is. Sizes are not negative.
+    """
+    placed = rows.withColumn("its range", F.floor(F.col(order) / width)).withColumn("its group", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    sums = placed.groupBy("its group", "its range").agg(F.sum(size).alias("sum"))
+    before = Window.partitionBy("its group").orderBy("its range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).where(F.col("base") <= budget).drop("sum")
+    inside = Window.partitionBy("its group", "its range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = placed.join(begun, ["its group", "its range"]).withColumn("total", F.col("base") + F.sum(size).over(inside))
+    return found.where(F.col("total") <= budget).select(*rows.columns, "total")
 
 
 def context(rows: DataFrame, budget: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_cell, first_filled, headline, parse_date, row_label, ticker_slug, to_double, to_int
-from ..operators import feeds, normalize, references, sections
+from ..operators import feeds, ingest, normalize, references, report, sections
 from ..sources import readers
 from .retrieval import table
 
@@ -83,17 +83,68 @@ JSON_SHAPES = (
 )
 
 
-def json_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content blocks of page JSON in several shapes; some pages cannot be read."""
+def _json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_number, json): a page of JSON for each order, some of which cannot be read."""
     rows = _orders(spark, sf_dir).withColumn("level", F.col("k") % 9)
     page = F.lit("not json")
     for i, shape in enumerate(JSON_SHAPES):
         page = F.when(F.col("k") % 8 == i, _text(shape)).otherwise(page)
-    pages = rows.select(F.col("k").alias("page_number"), F.when(F.col("k") % 11 != 0, page).otherwise("not json").alias("json"))
-    blocks = normalize.json_blocks(pages)
+    return rows.select(F.col("k").alias("page_number"), F.when(F.col("k") % 11 != 0, page).otherwise("not json").alias("json"))
+
+
+def json_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content blocks of page JSON in several shapes."""
+    blocks = normalize.json_blocks(_json_pages(spark, sf_dir))
     return blocks.select("page_number", F.col("pos").cast("long").alias("pos"), "block_type", F.col("heading_level").cast("long").alias("heading_level"), F.coalesce("content_text", "table_text").alias("content"))
 
 
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each page's blocks come from: JSON, else HTML, else Markdown; pages without any are kept."""
+    html = F.when(F.col("page_number") % 2 == 0, "<p>text</p>").otherwise("")
+    pages = _json_pages(spark, sf_dir).select("*", html.alias("html"), F.when(F.col("page_number") % 3 == 0, "# T").otherwise("").alias("markdown"))
+    found = normalize.normalized(pages)
+    return found.select("page_number", "source", F.col("n_blocks").cast("long").alias("n_blocks"), "bad_json")
+
+
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What whole documents of 40 pages give: pages, sections, tables, chunks and references of each."""
+    number = F.col("page_number") % 40
+    page = (
+        F.when(number == 0, "# Risk factors\n\nOne text\n\n- two\n\nthree")
+        .when(number == 1, "# Note 5\n\nOf the notes\n\nmore")
+        .when(number % 5 == 2, "| A | B |\n|---|---|\n| See Note 5 | 2 |")
+        .otherwise("plain text")
+    )
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") - 1).alias("n"))
+    pages = orders.select(F.floor(F.col("n") / 40).alias("doc_id"), (F.col("n") % 40).alias("page_number"))
+    pages = pages.select("*", F.lit("").alias("json"), F.lit("").alias("html"), page.alias("markdown"))
+    about = pages.select("doc_id").distinct().select("doc_id", F.lit("acme").alias("company"), F.lit("annual").alias("report_type"), F.lit(2024).alias("fiscal_year"), F.lit("").alias("fiscal_quarter"))
+    made = ingest.ingested(pages, about)
+    counts = report.ingestion_counts(pages, made["sections"], made["tables"], made["chunks"], made["refs"])
+    return counts.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pages", "sections", "tables", "chunks", "refs")))
+
+
+def refs_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of one order's table with given codes."""
+    found = references.extracted(_cells(spark, sf_dir)).select(F.col("table_id").alias("doc_id"), "ref_code", F.col("cell_pos").cast("long").alias("cell_pos"))
+    return references.of_codes(found, "1", ("Note 1", "Schedule V", "#9"))
+
+
+def manifest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as components with the values of a state, which has those of every third."""
+    parts = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("parts."), F.col("p_partkey").cast("string"))
+    state = parts.where("p_partkey % 3 = 0").select(path.alias("path"), F.col("p_name").alias("value"))
+    return report.with_values(parts.select(F.col("p_partkey").alias("id"), path.alias("data_path")), state).select("id", "value")
+
+
+def top_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and value pairs of the ratio lists of pages made of orders."""
+    page = _text('<div><ul id="top-ratios"><li class="flex"><span class="name"> Key </span><span class="nowrap value"><span class="number">{key}</span> Cr.</span></li><li><span class="name">Status</span> <span class="value">{status}</span></li></ul><ul><li><span class="name">no</span></li></ul></div>')
+    rows = _orders(spark, sf_dir).select("k", F.explode(normalize.top_ratios(page)).alias("name", "value"))
+    return rows.select("k", "name", "value")
+
+
 def json_prop_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return table(spark, sf_dir, "events").groupBy(value.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -217,11 +268,20 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedup_hash, hash_anti_join, html_text_strip, page_headings, html_rows, md_table_parse, cells_to_grid, json_normalize, json_prop_extract, section_groups, section_rows, ref_extract,
-        ref_resolve, tree_recursive, nodes_by_type, cascade_delete, safe_casts, text_helpers, xml_items, prefer_first_source,
+        page_sources, ingest_counts, refs_by_code, manifest_values, top_ratios, ref_resolve, tree_recursive, nodes_by_type, cascade_delete, safe_casts, text_helpers, xml_items, prefer_first_source,
     )
 }
 
 ORACLE_SQL = {
+    "page_sources": """
+        SELECT o_orderkey AS page_number, CASE WHEN o_orderkey % 11 <> 0 THEN 'json' WHEN o_orderkey % 2 = 0 THEN 'html' WHEN o_orderkey % 3 = 0 THEN 'markdown' ELSE 'empty' END AS source,
+               CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 3 ELSE 1 END WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_blocks,
+               o_orderkey % 11 = 0 AS bad_json FROM orders""",
+    "refs_by_code": """
+        SELECT '1' AS doc_id, ref_code, min(cell_pos) AS cell_pos FROM (VALUES ('Note 1', 0::BIGINT), ('Schedule V', 2)) t(ref_code, cell_pos) WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 1) GROUP BY ref_code""",
+    "manifest_values": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS value FROM part",
+    "top_ratios": """
+        SELECT o_orderkey AS k, 'Key' AS name, o_orderkey || ' Cr.' AS value FROM orders UNION ALL SELECT o_orderkey, 'Status', o_orderstatus FROM orders""",
     "dedup_hash": "SELECT sha256(text) AS file_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1",
     "hash_anti_join": "SELECT item_id, sha256(text) AS h FROM benchmark WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents)",
     "html_text_strip": r"SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.filters import MetadataFilter, any_keyword, company_like
-from ..functions.scalars import closest
-from ..operators import chunking, routing, search
+from ..functions.filters import MetadataFilter, any_keyword, company_like, file_has, file_starts
+from ..operators import chunking, retrieve, routing, search
+from ..sources.tables import newest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,11 +81,8 @@ def context_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's documents in order of id as far as 5000 characters go."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").withColumn("total", F.sum("n_chars").over(order))
-    return rows.where("total <= 5000")
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return search.within_budget(rows, "source", "doc_id", "n_chars", 5000)
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,18 +155,39 @@ def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' market segments, misspelt, matched to the known ones."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    known = tuple(r[0] for r in rows.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(100).collect())
-    spoilt = F.concat(F.substring("c_mktsegment", 1, 3), F.lit("x"), F.substring("c_mktsegment", 5, 20))
-    return rows.select("c_custkey", closest(known)(spoilt).alias("company"))
+    """Customers' nations, every third misspelt and every fifth in lower case, matched to all known ones."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    name = F.col("n_name")
+    spoilt = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.substring(name, 1, 2), F.lit("x"), F.substring(name, 4, 20))).when(F.col("c_custkey") % 5 == 0, F.concat(F.lower(name), F.lit(".ns"))).otherwise(name)
+    rows = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", spoilt.alias("given"))
+    return retrieve.matched_names(rows, "given", nations, "n_name").select("c_custkey", "company")
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names as file names: those that begin with one text or have another anywhere in them."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit("_AR.pdf")).alias("file_name"))
+    return rows.where(file_starts(F.col("file_name"), "Supplier#00000000") | file_has(F.col("file_name"), "5_ar"))
+
+
+def cover_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years, quarters and kinds of reports, from the first lines of reports made of orders."""
+    day = F.col("o_orderdate")
+    quarter = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" for Q"), F.quarter(day).cast("string"))).otherwise("")
+    text = F.concat(F.lit("Annual report"), quarter, F.lit(" of "), (F.year(day) + 20).cast("string"), F.lit(" and 2001"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(routing.cover_page(text))))
+    return rows.select("o_orderkey", "fiscal_year", "fiscal_quarter", "report_type")
+
+
+def newest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("created_at"))
+    return newest(rows, 20)
 
 
 _DENSE = """
     SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"""
-_BM25 = """
-    t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+_BM25 = r"""
+    t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
     c AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS tf0, len(list_filter(w, lambda x: x = 'in')) AS tf1 FROM t),
     a AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM c),
     s AS (SELECT id, tf0, tf1,
@@ -186,11 +204,16 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_rrf_topk, dense_topk_cosine, dense_topk_filtered, dense_batch, sparse_bm25_and, rerank_topk, context_assemble, context_budget, token_counts, chunk_overlap, chunk_prefix,
-        page_ranges, company_ilike, doc_find_year_desc, filter_merge, distinct_union_types, router_rules, keyword_flags, fuzzy_company,
+        page_ranges, company_ilike, doc_find_year_desc, filter_merge, distinct_union_types, router_rules, keyword_flags, fuzzy_company, file_names, cover_pages, newest_orders,
     )
 }
 
 ORACLE_SQL = {
+    "file_names": "SELECT s_suppkey, s_name || '_AR.pdf' AS file_name FROM supplier WHERE starts_with(s_name, 'Supplier#00000000') OR contains(lower(s_name || '_AR.pdf'), '5_ar')",
+    "cover_pages": """
+        SELECT o_orderkey, year(o_orderdate)::INTEGER + 20 AS fiscal_year, CASE WHEN o_orderkey % 2 = 0 THEN 'Q' || quarter(o_orderdate) END AS fiscal_quarter,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'quarterly' ELSE 'annual' END AS report_type FROM orders""",
+    "newest_orders": "SELECT o_orderkey AS id, o_orderdate::DATE AS created_at FROM orders ORDER BY 2 DESC, 1 LIMIT 20",
     "hybrid_rrf_topk": f"{_FUSED} SELECT id, round(score, 9) AS score FROM f",
     "dense_topk_cosine": f"SELECT id, round(score, 6) AS score FROM ({_DENSE}) ORDER BY score DESC, id LIMIT 50",
     "dense_topk_filtered": f"SELECT id, round(score, 6) AS score FROM ({_DENSE} WHERE e.label IN (1, 2, 3)) ORDER BY score DESC, id LIMIT 20",
@@ -204,7 +227,7 @@ ORACLE_SQL = {
         z AS (SELECT o.id, rank, len(t.w)::BIGINT AS tokens FROM o JOIN t ON t.id = o.id),
         y AS (SELECT *, (sum(tokens) OVER (ORDER BY rank))::BIGINT AS total FROM z) SELECT id, rank, tokens, total FROM y WHERE total <= 2000""",
     "context_budget": "SELECT * FROM (SELECT source, doc_id, n_chars, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM documents) WHERE total <= 5000",
-    "token_counts": "SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)",
+    "token_counts": r"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)",
     "chunk_overlap": r"""
         WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE trim(text) <> ''),
         c AS (SELECT id, w, len(w) AS n, unnest(CASE WHEN len(w) <= 128 THEN [0] ELSE range(0, len(w), 112) END) AS first FROM t)

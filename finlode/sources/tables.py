@@ -40,6 +40,11 @@ def latest(rows: DataFrame, key: str = "id", at: str = "updated_at") -> DataFram
     return rows.withColumn("version", F.row_number().over(order)).where("version = 1").drop("version")
 
 
+def newest(rows: DataFrame, n: int, at: str = "created_at", key: str = "id") -> DataFrame:
+    """The n newest rows, ties by key."""
+    return rows.orderBy(F.desc(at), key).limit(n)
+
+
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose hash is not known yet, one of each hash; failed documents do not block another try."""
     done = known.where("ingestion_status != 'failed'").select("file_hash")

@@ -43,13 +43,6 @@ def test_answers_and_trimming(spark):
     assert one(spark, scalars.summary(F.col("c"), 5), c="abcdefgh") == "abcde..."
 
 
-def test_closest(spark):
-    match = scalars.closest(("RELIANCE", "TCS", "Infosys"))
-    got = [one(spark, match(F.col("c")), c=x) for x in ("TCS", "tcs", "infosis", "zzzz")]
-    assert got == ["TCS", "TCS", "Infosys", "zzzz"]
-    assert one(spark, match(F.col("c")), c="relianc.NS") == "RELIANCE"
-
-
 def test_filters(spark):
     rows = spark.createDataFrame([("ACME_LTD", 2020), ("acme ltd", 2021), ("Other", 2021)], "company_id string, fiscal_year int")
     assert rows.where(filters.MetadataFilter(company_id="acme ltd").column()).count() == 2
@@ -255,23 +248,105 @@ def test_governance(spark):
     assert [governance.loaded(saved_, i).count() for i in "suv"] == [1, 0, 0]
 
 
-def test_agents_fail_as_rows(spark):
-    import time
-
-    from finlode.operators import governance
-
-    tasks = spark.createDataFrame([("quantitative", ["dcf_modeller"]), ("qualitative", []), ("sentiment", []), ("risk_governance", [])], "agent string, sub_agents array<string>")
-
-    def bad(_):
-        raise ValueError("no")
-
-    agents = {"quantitative": lambda subs: ",".join(subs), "qualitative": bad, "sentiment": lambda _: time.sleep(3)}
-    got = {r["agent"]: (r["status"], r["data"]) for r in governance.run_agents(tasks, agents, {"sentiment": 0.2}).collect()}
-    assert got == {"quantitative": ("success", "dcf_modeller"), "qualitative": ("invalid", None), "sentiment": ("timeout", None), "risk_governance": ("failed", None)}
-
-
 def test_questions_in_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "id int, embedding array<float>")
     queries = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     whole, parts = (sorted(map(tuple, search.dense_batch(rows, queries, 3, block).collect())) for block in (1000, 7))
     assert whole == parts and len(whole) == 90
+
+
+def test_questions_with_ties_over_many_batches(spark):
+    """Equal vectors tie by id, whatever the batches and tasks they are in; vectors of zeros are nobody's neighbours."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(i, [float(i % 3), 1.0] if i % 10 else [0.0, 0.0]) for i in range(200)], "id int, embedding array<float>").repartition(3)
+        queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 2.0])], "query_id int, vector array<float>")
+        got = {q: [r["id"] for r in search.dense_batch(rows, queries, 4).where(F.col("query_id") == q).orderBy(F.desc("score"), "id").collect()] for q in (1, 2)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1: [1, 4, 7, 13], 2: [3, 6, 9, 12]}
+
+
+def test_budget_by_ranges(spark):
+    rows = spark.createDataFrame([(i % 2 and "a" or None, i, i % 5) for i in range(300)], "source string, doc_id long, n_chars int")
+    got = {(r["source"], r["doc_id"], r["total"]) for r in search.within_budget(rows, "source", "doc_id", "n_chars", 60, 16).collect()}
+    want = set()
+    for source in ("a", None):
+        total = 0
+        for s, i, n in sorted(rows.collect(), key=lambda r: r[1]):
+            if s == source and (total := total + n) <= 60:
+                want.add((s, i, total))
+    assert got == want
+
+
+def test_matched_names_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from finlode.operators.retrieve import matched_names
+
+    known = ["Reliance Industries", "TCS", "Infosys", "HDFC Bank", "HDFC Life", "ab", "X"]
+    asked = ["TCS", "tcs", "tcs.ns", "relianc industres", "hdfc", "infosis", "zzzz", "x", "", None, "HDFC Bnak"]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "i int, given string")
+    names = spark.createDataFrame([(k,) for k in [*known, None, "TCS"]], "name string")
+
+    def pairs(x):
+        return {f" {x} "[i : i + 2] for i in range(len(x) + 1)}
+
+    def want(a):
+        if a is None or a in known:
+            return a
+        if a.upper() in known:
+            return a.upper()
+        slug = a.lower().replace(".ns", "").strip()
+        best = max(((SequenceMatcher(None, k.lower(), slug).ratio(), k.lower(), k) for k in known if pairs(k.lower()) & pairs(slug)), default=(0, "", ""))
+        return best[2] if best[0] >= 0.3 else a
+
+    assert {r["i"]: r["company"] for r in matched_names(rows, "given", names, "name").collect()} == {i: want(a) for i, a in enumerate(asked)}
+
+
+def test_pages_in_every_table_shape(spark):
+    """Tables as cells with places, lists of rows, objects, Markdown and HTML; nested merges, boxes, and pages that cannot be read."""
+    table = lambda body: '{"blocks":[{"type":"table",%s}]}' % body
+    pages = [
+        (1, table('"cells":[{"row":0,"col":0,"value":"A"},{"row":0,"col":1,"text":"B"},{"row":2,"col":1,"value":3},{"row":2,"col":1,"value":4}]')),
+        (2, table('"table_data":[["a","b"],[1,null]]')),
+        (3, table('"text":"| A | B |\\n|---|---|\\n| 1 | 2 |"')),
+        (4, table('"text":"<table><tr><th>A</th></tr><tr><td>1</td></tr></table>"')),
+        (5, table('"rows":[{"b":"2","a":"1"}],"merges":[{"r1":0,"r2":1,"value":"m"}],"bbox":[1,2],"confidence":0.5,"table_html":"<t>"')),
+        (6, table('"text":"nothing"')),
+        (7, "not json"),
+        (8, None),
+    ]
+    rows = spark.createDataFrame([(n, j, "<p>p</p>" if n == 7 else None, None) for n, j in pages], "page_number int, json string, html string, markdown string")
+    got = {r["page_number"]: r for r in normalize.page_blocks(rows).collect()}
+    shapes = {n: (r["headers"], r["rows"]) for n, r in got.items() if r["block_type"] == "table"}
+    assert shapes == {1: ([["A", "B"]], [["", ""], ["", "4"]]), 2: ([], [["a", "b"], ["1", ""]]), 3: ([["A", "B"]], [["1", "2"]]), 4: ([["A"]], [["1"]]), 5: ([], [["1", "2"]])}
+    five = got[5]
+    assert (five["bounding_box"], five["confidence"], five["table_html"], five["merged"][0]["value"], five["num_columns"], five["num_rows"]) == ("[1,2]", 0.5, "<t>", "m", 2, 1)
+    kept = {r["page_number"]: (r["source"], r["bad_json"]) for r in normalize.normalized(rows).collect()}
+    assert kept[6] == ("empty", False) and kept[7] == ("html", True) and kept[8] == ("empty", False) and len(kept) == 8
+
+
+def test_ingestion_in_one_call(spark):
+    from finlode.operators.ingest import ingested
+
+    texts = ["# Risk factors\n\nRisks are many. " + "word " * 700, "# Note 5\n\nThe text of a note\n\nmore\n\nand more", "| A | B |\n|---|---|\n| See Note 5 | 2 |"]
+    pages = spark.createDataFrame([(d, n, "", "", t) for d in (1, 2) for n, t in enumerate(texts)], "doc_id int, page_number int, json string, html string, markdown string")
+    about = spark.createDataFrame([(1, "acme", "annual", 2024, ""), (2, "beta", "quarterly", 2023, "Q2")], "doc_id int, company string, report_type string, fiscal_year int, fiscal_quarter string")
+    made = ingested(pages, about)
+    sections_ = made["sections"].orderBy("doc_id", "section").collect()
+    assert [(r["doc_id"], r["section_type"], r["page_start"], r["page_end"]) for r in sections_] == [(d, k, a, b) for d in (1, 2) for k, a, b in (("risk_factors", 0, 0), ("note_to_accounts", 1, 2))] or len(sections_) in (2, 4)
+    assert [r["table_id"] for r in made["tables"].orderBy("doc_id").collect()] == ["1/0", "2/0"]
+    chunks = made["chunks"].orderBy("doc_id", "chunk_index").collect()
+    assert chunks and all(r["full_text"].startswith(r["metadata_prefix"] + "\n\n") for r in chunks) and chunks[0]["metadata_prefix"].startswith("[acme | Annual Report 2024 | ")
+    assert {(r["doc_id"], r["ref_code"]) for r in made["refs"].collect()} == {(1, "Note 5"), (2, "Note 5")}
+    assert made["nodes"].where("depth = 0").count() == 2
+
+
+def test_texts_of_patches_and_covers(spark):
+    changes = spark.createDataFrame([("b.c",), ("a",)], "path string")
+    assert report.patch_text(changes, "Done.").first()["text"] == "## Update Applied\nDone.\n\n**Changed fields:**\n- `a`\n- `b.c`\n"
+    assert spark.range(1).select(report.clarification(F.array(F.lit("x"), F.lit("y")))).first()[0].endswith("- x\n- y")
+    assert search.index_terms(F.lit("x")) is not None
+    row = spark.range(1).select(routing.cover_page(F.lit("Report q3 of 2021")).alias("c"), search.index_terms(F.lit("The café of Ünal and the 2 dogs")).alias("t")).first()
+    assert tuple(row["c"]) == (2021, "Q3", "quarterly") and row["t"] == ["café", "ünal", "2", "dogs"]
