@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +23,14 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Public licence texts, by label of their own: notices and the opening of the terms.
-TEMPLATES = (
-    (
-        "gpl-notice",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    ),
-    ("gpl-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("apache-notice", "Licensed under the Apache License, Version 2.0."),
-    (
-        "apache-notice",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-        "required by applicable law or agreed to in writing, software distributed under the License is distributed on "
-        'an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    ),
-    (
-        "mit-notice",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ),
-    ("mit-notice", "Released under the MIT License."),
-    (
-        "bsd-notice",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer.",
-    ),
-    ("cc-by-nc-notice", "Licensed under CC BY-NC 4.0."),
-    (
-        "cc-by-notice",
-        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this "
-        "license, visit http://creativecommons.org/licenses/by/4.0/",
-    ),
-)
+
+def licence_table() -> tuple[tuple[str, str], ...]:
+    """Public licence texts, by label of their own: notices, terms and disclaimers, from the package's table."""
+    with (files(__package__) / "data" / "licences.csv").open(newline="", encoding="utf-8") as f:
+        return tuple((r["label"], r["text"]) for r in csv.DictReader(f))
+
+
+TEMPLATES = licence_table()
 
 
 def split_words(text: str) -> list[str]:
