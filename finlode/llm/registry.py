@@ -10,7 +10,7 @@ from .mixing import op1_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .personal_data import op3_personal_data
 from .quality import op2_quality
-from .suffix_dedup import op7_suffix_dedup
+from .suffix_dedup import OP7_SQL, op7_suffix_dedup
 from .token_files import op8_token_files
 
 QUERIES = {
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }

@@ -349,3 +349,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``suffix_dedup`` of all documents, strings of 200 bytes; the remaining bytes as their digest."""
     return suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+OP7_SQL = """
+WITH t AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+    SELECT doc_id, i, md5(h[i + 1:i + 200]) AS k FROM (SELECT doc_id, h, unnest(range(n - 199)) AS i FROM t WHERE n >= 200)
+), m AS (
+    SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) d ON w.k = d.k
+), g AS (
+    SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM m
+), r AS (
+    SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run
+), p AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y, b - a AS gone FROM r
+    UNION ALL SELECT t.doc_id, coalesce(max(r.b), 0), any_value(t.n), 0 FROM t LEFT JOIN r ON r.doc_id = t.doc_id GROUP BY t.doc_id
+)
+SELECT p.doc_id, any_value(t.n) AS n_bytes, sum(gone)::BIGINT AS n_removed, count_if(gone > 0)::BIGINT AS n_spans,
+       sha256(unhex(string_agg(hex(h[x + 1:y]), '' ORDER BY x, y))) AS kept_sha256
+FROM p JOIN t ON t.doc_id = p.doc_id GROUP BY p.doc_id
+"""

@@ -585,6 +585,11 @@ def test_suffix_dedup(spark, length, gram, most):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_removed(rows, length)
 
 
+def test_suffix_dedup_against_its_sql(docs):
+    got = suffix_dedup.suffix_dedup(docs, with_bytes=False)
+    assert sorted(map(tuple, got.collect())) == oracle(suffix_dedup.OP7_SQL, table_of(docs))
+
+
 def test_suffix_dedup_messy(messy, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 5000)
     got = suffix_dedup.suffix_dedup(messy, with_bytes=False)
