@@ -335,7 +335,7 @@ def test_ingestion_in_one_call(spark):
     about = spark.createDataFrame([(1, "acme", "annual", 2024, ""), (2, "beta", "quarterly", 2023, "Q2")], "doc_id int, company string, report_type string, fiscal_year int, fiscal_quarter string")
     made = ingested(pages, about)
     sections_ = made["sections"].orderBy("doc_id", "section").collect()
-    assert [(r["doc_id"], r["section_type"], r["page_start"], r["page_end"]) for r in sections_] == [(d, k, a, b) for d in (1, 2) for k, a, b in (("risk_factors", 0, 0), ("note_to_accounts", 1, 2))] or len(sections_) in (2, 4)
+    assert [(r["doc_id"], r["section_type"], r["page_start"], r["page_end"]) for r in sections_] == [(d, k, a, b) for d in (1, 2) for k, a, b in (("risk_factors", 0, 0), ("note_to_accounts", 1, 2))]
     assert [r["table_id"] for r in made["tables"].orderBy("doc_id").collect()] == ["1/0", "2/0"]
     chunks = made["chunks"].orderBy("doc_id", "chunk_index").collect()
     assert chunks and all(r["full_text"].startswith(r["metadata_prefix"] + "\n\n") for r in chunks) and chunks[0]["metadata_prefix"].startswith("[acme | Annual Report 2024 | ")
@@ -347,6 +347,5 @@ def test_texts_of_patches_and_covers(spark):
     changes = spark.createDataFrame([("b.c",), ("a",)], "path string")
     assert report.patch_text(changes, "Done.").first()["text"] == "## Update Applied\nDone.\n\n**Changed fields:**\n- `a`\n- `b.c`\n"
     assert spark.range(1).select(report.clarification(F.array(F.lit("x"), F.lit("y")))).first()[0].endswith("- x\n- y")
-    assert search.index_terms(F.lit("x")) is not None
     row = spark.range(1).select(routing.cover_page(F.lit("Report q3 of 2021")).alias("c"), search.index_terms(F.lit("The café of Ünal and the 2 dogs")).alias("t")).first()
     assert tuple(row["c"]) == (2021, "Q3", "quarterly") and row["t"] == ["café", "ünal", "2", "dogs"]
