@@ -10,6 +10,7 @@ from .mixing import op1_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .personal_data import op3_personal_data
 from .quality import op2_quality
+from .source_audit import OP11_SQL, op11_source_audit
 from .suffix_dedup import OP7_SQL, op7_suffix_dedup
 from .token_files import op8_token_files
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_audit": op11_source_audit,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op7_suffix_dedup": OP7_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_source_audit": OP11_SQL,
 }
