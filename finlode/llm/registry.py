@@ -8,7 +8,9 @@ from .license_scan import op5_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op1_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
+from .ngram_join import OP13_SQL, op13_ngram_join
 from .personal_data import op3_personal_data
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op2_quality
 from .source_audit import OP11_SQL, op11_source_audit
 from .suffix_dedup import OP7_SQL, op7_suffix_dedup
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_source_audit": op11_source_audit,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLE_SQL = {
@@ -34,4 +38,6 @@ ORACLE_SQL = {
     "op9_near_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_source_audit": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_ngram_join": OP13_SQL,
 }

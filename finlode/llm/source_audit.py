@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import blocks, saved, table
+from .runs import new_runs, whole_runs
 
 #: Letters A-Z in either case and every character that is not ASCII.
 LETTERS = W.byte_class(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -62,38 +63,11 @@ def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _new(rows: pa.Table, *names: str) -> np.ndarray:
-    """Flags of the rows that differ from the row before in one of the columns."""
-    flag = np.ones(rows.num_rows, bool)
-    if rows.num_rows > 1:
-        flag[1:] = False
-        for name in names:
-            column = rows.column(name).combine_chunks()
-            flag[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-    return flag
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in tables that end where a run ends, with the runs' first rows; only the last run is held back."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-        starts = np.flatnonzero(_new(rows, *names))
-        if len(starts) < 2:
-            held = rows
-            continue
-        yield rows.slice(0, int(starts[-1])), starts[:-1]
-        held = rows.slice(int(starts[-1]))
-    if held is not None and held.num_rows:
-        yield held, np.flatnonzero(_new(held, *names))
-
-
 def _common_terms(least: int):
     """Keeps the runs of terms that occur in ``least`` documents of their language; one row a term has ``new`` 1."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _whole_runs(batches, "lang", "term"):
+        for rows, starts in whole_runs(batches, "lang", "term"):
             docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
             size = np.diff(np.append(starts, rows.num_rows))
             new = np.zeros(rows.num_rows, np.int64)
@@ -172,8 +146,8 @@ def _partials(smooth: int, scale: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads, language = None, [], None
-        for rows, starts in _whole_runs(batches, "slot", "lang", "mark", "term"):
-            change = _new(rows, "slot", "lang", "mark")[starts]
+        for rows, starts in whole_runs(batches, "slot", "lang", "mark", "term"):
+            change = new_runs(rows, "slot", "lang", "mark")[starts]
             cuts = np.flatnonzero(change | (np.arange(len(starts)) == 0))
             for one, end in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
                 first, last = int(starts[one]), int(starts[end]) if end < len(starts) else rows.num_rows
