@@ -212,10 +212,14 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = documents(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     signed = saved(source.mapInArrow(_incidence(k, inside, percent), f"doc_id {kind}, n_shingles bigint, node binary, keys array<bigint>"))
+    members = saved(signed.select("doc_id", "n_shingles", "node"))
     nodes = saved(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")))
+    released(signed)
     bound = _bound(_bound(F.first("size"), percent), FIRST)
     alive = saved(_columns(nodes).groupBy("node").agg(F.count("*").alias("n"), bound.alias("bound")).where("n >= bound").select("node"))
-    wanted = alive.join(nodes.select("node", "first_id"), "node")
+    names = saved(nodes.select("node", "first_id"))
+    released(nodes)
+    wanted = alive.join(names, "node")
     # the text of each row left, by the first document of the set; one of a repeated id may be another text
     texts = saved(
         source.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
@@ -223,6 +227,7 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .mapInArrow(_own_text(k, inside), "node binary, text string")
         .dropDuplicates(["node"])
     )
+    released(alive)
     entries = _columns(texts.mapInArrow(_whole_sets(k, inside), "node binary, size bigint, keys array<bigint>"))
     need = _bound(F.col("size"), percent)
     row = Window.partitionBy("node")
@@ -234,17 +239,18 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weight = buckets.groupBy("node").agg(F.sum("n").alias("met"))
     leaders = buckets.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("met", "node")).alias("leader"))
     columns = saved(hits.join(leaders, "key").select("key", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")))
+    released(hits)
     fits = F.greatest("size", "leader_size") * percent <= F.least("size", "leader_size") * 100
     stars = columns.where(F.col("leader") != F.col("node")).where(fits).groupBy("leader", "node").agg(F.count("*").alias("n"))
     best = stars.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")).select("leader", "node")
     links = saved(_links(best, texts, _verified(k, inside, percent)))
     member, more = _rest(columns.select("key", "node", "leader"), components(links), texts, _compared(k, inside, percent))
     done = components(links.unionByName(more))
-    released(hits, columns, texts, member, links, alive)
-    members = nodes.select("node", "first_id").join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = members.join(ids, "component").select("node", "component_id")
-    found = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    released(columns, texts, member, links)
+    placed = names.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = placed.join(ids, "component").select("node", "component_id")
+    found = members.join(named, "node", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
