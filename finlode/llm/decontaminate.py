@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,9 +16,9 @@ from .common import blocks, documents, table
 
 #: Bits of a fingerprint, and blocks of 16 bits that it is cut into.
 BITS, CHUNKS = 64, 4
-#: Largest Hamming distance of fingerprints that is looked up. Windows at a similarity of 0.8 differ in about 10 bits where
-#: shingles occur once each; windows that differ in more are found by the shingles that they share.
-RADIUS = 15
+#: Chance that a window just similar enough is farther from its item than the item's radius, and the largest radius that is
+#: looked up: beyond it a fifth of all fingerprints would be near, so such items are compared with every window.
+MISSED, RADIUS = 1e-6, 28
 #: Bytes of items in one pass over the documents; a larger benchmark is taken in several passes.
 ITEM_BYTES = 32 << 20
 #: Places that are fingerprinted at a time, if an item has not more, and windows that are looked up at a time.
@@ -40,22 +41,51 @@ def _block(prints: np.ndarray, chunk: int) -> np.ndarray:
     return (prints >> np.uint64(16 * chunk)).astype(np.uint16)
 
 
+def radii(sums: np.ndarray, size: int, most: np.ndarray, percent: int, missed: float = MISSED) -> np.ndarray:
+    """For items of ``size`` shingles, by the sums of their 64 bits: the distance that similar windows' fingerprints keep.
+
+    A window of as many shingles that is similar enough lacks at most r of an item's and has as many others. So each sum
+    moves by r random signs of the item's own, ``most`` of one kind at most, and by r of others; a bit flips if that
+    outweighs the sum. The distance is the sum of 64 such chances, and the radius the least that it exceeds with a chance
+    of ``missed`` at most. Where r is 0, only the same shingles are similar enough, and the radius is 0.
+    """
+    r = (100 - percent) * size // (100 + percent)
+    if not r:
+        return np.zeros(len(sums), np.int64)
+    spread = np.sqrt(r * np.minimum(most, r) + r)[:, None]
+    over = np.abs(sums) * (1 - r / size) / spread
+    flips = np.array([math.erfc(x) for x in (over / math.sqrt(2)).ravel()]).reshape(over.shape) / 2
+    chance = np.zeros((len(sums), BITS + 1))
+    chance[:, 0] = 1
+    for bit in range(BITS):
+        q = flips[:, bit : bit + 1]
+        chance[:, 1:] = chance[:, 1:] * (1 - q) + chance[:, :-1] * q
+        chance[:, :1] *= 1 - q
+    more = 1 - np.cumsum(chance, axis=1)
+    return np.minimum((more > missed).sum(1) + 1, BITS)
+
+
 class HammingIndex:
-    """Fingerprints of items, sorted by each of their four blocks of 16 bits.
+    """Fingerprints of items, each with its radius, sorted by each of their four blocks of 16 bits.
 
     Fingerprints at most ``radius`` bits apart have some block at most ``radius // 4`` bits apart, so looking every
-    block up with all its neighbours up to that distance finds all of them.
+    block up with all its neighbours up to that distance finds all of them. Where the items are fewer than these lookups
+    would be, a fingerprint is compared with each of them.
     """
 
-    def __init__(self, prints: np.ndarray, radius: int):
-        self.prints, self.radius = prints, radius
+    def __init__(self, prints: np.ndarray, radius: int | np.ndarray):
+        self.prints, self.radius = prints, np.broadcast_to(np.asarray(radius, np.int64), prints.shape)
         values = np.arange(1 << 16, dtype=np.uint16)
-        self.masks = values[np.bitwise_count(values) <= radius // CHUNKS]
-        self.orders = [np.argsort(_block(prints, c), kind="stable") for c in range(CHUNKS)]
-        self.values = [_block(prints, c)[order] for c, order in enumerate(self.orders)]
+        self.masks = values[np.bitwise_count(values) <= int(self.radius.max(initial=0)) // CHUNKS]
+        self.few = len(prints) <= CHUNKS * len(self.masks)
+        if not self.few:
+            self.orders = [np.argsort(_block(prints, c), kind="stable") for c in range(CHUNKS)]
+            self.values = [_block(prints, c)[order] for c, order in enumerate(self.orders)]
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of ``prints``, item) of all items within the radius of each."""
+        """(which of ``prints``, item) of all items within their radius of each."""
+        if self.few:
+            return np.nonzero(np.bitwise_count(self.prints ^ prints[:, None]) <= self.radius)
         windows, items = [], []
         for c in range(CHUNKS):
             wanted = _block(prints, c)[:, None] ^ self.masks
@@ -66,11 +96,24 @@ class HammingIndex:
             windows.append(np.repeat(hit // len(self.masks), n[hit]))
             items.append(self.orders[c][at])
         window, item = np.concatenate(windows), np.concatenate(items)
-        near = np.bitwise_count(self.prints[item] ^ prints[window]) <= self.radius
+        near = np.bitwise_count(self.prints[item] ^ prints[window]) <= self.radius[item]
         pairs = np.unique(np.stack([window[near], item[near]]), axis=1)
         return pairs[0], pairs[1]
 
 
+def repeats(hashes: np.ndarray, most: np.ndarray, size: int, windows: int) -> np.ndarray:
+    """Flags of windows of ``size`` places that have a shingle more often than ``most`` says of it."""
+    order = np.argsort(hashes, kind="stable")
+    own, limit = hashes[order], most[order]
+    later = np.minimum(np.arange(len(own)) + limit, len(own) - 1)
+    again = (np.arange(len(own)) + limit < len(own)) & (own[later] == own)
+    low, high = order[later][again] - size + 1, order[again]
+    low = np.maximum(low, 0)
+    keep = low <= np.minimum(high, windows - 1)
+    change = np.bincount(low[keep], minlength=windows + 1) - np.bincount(np.minimum(high[keep], windows - 1) + 1, minlength=windows + 1)
+    return np.cumsum(change[:windows]) > 0
+
+
 def shared_counts(places: np.ndarray, hashes: np.ndarray, most: np.ndarray, size: int, windows: int) -> tuple[int, np.ndarray]:
     """For windows of ``size`` places the sum over an item's shingles of the smaller count: (first window, sums from there on).
 
@@ -105,7 +148,7 @@ class Benchmark:
         counts = np.diff(found.first)
         self.ids = [i for (i, _), n in zip(items, counts, strict=True) if n]
         self.bags: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes, prints = [], []
+        sizes, sums = [], []
         # items by (words in a shingle, shingles); short items are one shingle of all their words
         groups: dict[tuple[int, int], list[int]] = {}
         owned: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -119,18 +162,27 @@ class Benchmark:
             sizes.append(len(hashes))
             groups.setdefault((width, len(hashes)), []).append(item)
             owned.setdefault(width, []).append((self.bags[-1][0], item))
-            prints.append(_print(hashes))
+            sums.append(_sums(hashes))
         self.sizes = np.array(sizes, np.int64)
-        all_prints = np.array(prints, np.uint64)
         self.groups = {key: np.array(members) for key, members in groups.items()}
-        self.index = {key: HammingIndex(all_prints[members], radius) for key, members in self.groups.items()}
+        #: Items whose radius is beyond the largest one; they are compared with every window that shares enough places.
+        self.wide = np.zeros(len(sizes), bool)
+        self.index = {}
+        for (width, size), members in self.groups.items():
+            own = np.array([sums[i] for i in members])
+            heaviest = np.array([self.bags[i][1].max() for i in members])
+            far = radii(own, size, heaviest, percent)
+            self.wide[members] = far > radius
+            prints = np.packbits(own > 0, axis=1, bitorder="little").view("<u8").ravel()
+            self.index[width, size] = HammingIndex(prints, np.where(far > radius, -1, far))
         #: By width: all items' shingles in order, and the items that have each, laid end to end with their bounds.
         self.anchors = {}
         for width, own in owned.items():
             hashes, items_ = np.concatenate([h for h, _ in own]), np.repeat([i for _, i in own], [len(h) for h, _ in own])
             order = np.argsort(hashes, kind="stable")
             known, first = np.unique(hashes[order], return_index=True)
-            self.anchors[width] = known, items_[order], np.append(first, len(order))
+            counts_ = np.concatenate([self.bags[i][1] for _, i in own])[order]
+            self.anchors[width] = known, items_[order], np.append(first, len(order)), np.maximum.reduceat(counts_, first)
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple]]:
         """By row: (item, similarity, first word of the best window, words in it) of each item found in the text.
@@ -140,7 +192,7 @@ class Benchmark:
         """
         found = W.find(data, offsets, W.ALNUM)
         out: dict[int, dict[int, tuple]] = {}
-        for width, (known, _, _) in self.anchors.items():
+        for width, (known, _, _, _) in self.anchors.items():
             hashes, heads = W.shingles(found, width)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = np.flatnonzero(known[at] == hashes)
@@ -157,8 +209,10 @@ class Benchmark:
 
     def _search(self, width: int, hashes: np.ndarray, hit: np.ndarray, which: np.ndarray, best: dict[int, tuple]) -> None:
         """Items found in one text of shingles; its places ``hit`` have the items' shingles ``which``."""
-        _, owners, bounds = self.anchors[width]
+        _, owners, bounds, often = self.anchors[width]
         n = len(hashes)
+        most = np.ones(n, np.int64)
+        most[hit] = often[which]
         many = bounds[which + 1] - bounds[which]
         total = np.cumsum(many)
         item = owners[np.repeat(bounds[which] - total + many, many) + np.arange(total[-1])]
@@ -178,9 +232,13 @@ class Benchmark:
             if not len(starts):
                 continue
             items, first, counts = np.unique(item[own], return_index=True, return_counts=True)
-            near = self._near(width, m, hashes, starts, size)
-            # windows beyond the radius are found by their item's places, if these are enough
-            for i in np.flatnonzero(np.isin(items, near) | (counts >= need)).tolist():
+            wide = self.wide[items]
+            # the radius holds for windows as long as the item that repeat no shingle but as items do; others are all verified
+            if size < m or repeats(hashes, most, size, n - size + 1)[starts].any():
+                wide[:] = True
+            if not wide.all():
+                wide |= np.isin(items, self._near(width, m, hashes, starts, size))
+            for i in np.flatnonzero(wide & (counts >= need)).tolist():
                 places = place[own][first[i] : first[i] + counts[i]]
                 self._verify(int(items[i]), width, hashes, places, size, m, best)
 
@@ -208,12 +266,12 @@ class Benchmark:
             best[item] = (same / either, begin + top, size + width - 1)
 
 
-def _print(hashes: np.ndarray) -> int:
-    """The fingerprint of all these shingles."""
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """The sums of these shingles' signs; a fingerprint's bits are the positive ones."""
     total = np.zeros(BITS, np.int64)
     for low in range(0, len(hashes), STRETCH):
         total += _signs(hashes[low : low + STRETCH]).sum(0)
-    return int(np.packbits(total > 0, bitorder="little").view("<u8")[0])
+    return total
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
@@ -257,9 +315,12 @@ def benchmark_hits(
     """One row per document and item found in it: doc_id, item_id, similarity, first_word, n_words.
 
     Words are runs of letters, digits and characters that are not ASCII, A-Z lower-cased. A window has as many k-word
-    shingles as the item. Looked at are windows whose SimHash, weighted by how often a shingle occurs, is within ``radius``
-    bits of the item's, by a multi-index over the fingerprints' blocks, and all that share as many places as the similarity
-    takes, so none is missed. The weighted Jaccard similarity of the shingles, sum of smaller counts over sum of larger
+    shingles as the item. Candidates are the windows whose SimHash, weighted by how often a shingle occurs, is within the
+    item's radius, by a multi-index over the fingerprints' blocks; the radius follows from the item's weights and from
+    ``percent``, so that a similar window is beyond it with a chance of 1e-6 at most (``radii``). Where that does not hold,
+    all windows that share as many places as the similarity takes are candidates: items whose radius is above ``radius``,
+    windows that repeat a shingle more often than items do, and texts shorter than the item. The weighted Jaccard
+    similarity of the shingles, sum of smaller counts over sum of larger
     ones, must be ``percent`` or more; it is computed for all windows of an item in time linear in the text. Of an item's
     windows in a document the best is returned, ties by the first. Documents are scanned once per ``item_bytes`` of
     benchmark, without a shuffle. Rows of the benchmark that repeat an id are items of their own.

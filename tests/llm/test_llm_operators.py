@@ -634,5 +634,5 @@ def test_pipeline_stages(spark, docs, labels):
 
 
 def test_registered_queries(spark):
-    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
