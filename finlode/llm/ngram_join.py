@@ -132,21 +132,20 @@ def _incidence(k: int, inside: np.ndarray, percent: int):
 
 
 def _whole_sets(k: int, inside: np.ndarray):
-    """All hashes of nodes' texts."""
+    """All hashes of rows (id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch):
-                sets = shingle_sets(data, offsets, k, inside)
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "keys"])
+                keys = [s.view(np.int64) for s in shingle_sets(data, offsets, k, inside)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
 
     return scan
 
 
 def _columns(rows: DataFrame) -> DataFrame:
-    """(node, size, key, n) of rows (node, size, keys): the entries in columns of two nodes or more."""
-    hits = rows.select("node", "size", F.explode("keys").alias("key"))
+    """(key, id, n) of rows (id, keys): the entries in columns of two rows or more, with the rows of their column."""
+    hits = rows.select("id", F.explode("keys").alias("key"))
     return hits.join(hits.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
@@ -213,26 +212,28 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = source.schema["doc_id"].dataType.simpleString()
     signed = saved(source.mapInArrow(_incidence(k, inside, percent), f"doc_id {kind}, n_shingles bigint, node binary, keys array<bigint>"))
     members = saved(signed.select("doc_id", "n_shingles", "node"))
-    nodes = saved(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
+    nodes = saved(nodes.withColumn("id", F.monotonically_increasing_id()))
     released(signed)
-    bound = _bound(_bound(F.first("size"), percent), FIRST)
-    alive = saved(_columns(nodes).groupBy("node").agg(F.count("*").alias("n"), bound.alias("bound")).where("n >= bound").select("node"))
-    names = saved(nodes.select("node", "first_id"))
+    names = saved(nodes.select("id", "node", "first_id", "size"))
+    counts = _columns(nodes.select("id", "keys")).groupBy("id").agg(F.count("*").alias("n")).join(names.select("id", "size"), "id")
+    alive = saved(counts.where(F.col("n") >= _bound(_bound(F.col("size"), percent), FIRST)).select("id"))
     released(nodes)
-    wanted = alive.join(names, "node")
     # the text of each row left, by the first document of the set; one of a repeated id may be another text
     texts = saved(
-        source.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        source.join(alive.join(names, "id"), F.col("doc_id").eqNullSafe(F.col("first_id")))
         .select("node", "text")
         .mapInArrow(_own_text(k, inside), "node binary, text string")
         .dropDuplicates(["node"])
     )
     released(alive)
-    entries = _columns(texts.mapInArrow(_whole_sets(k, inside), "node binary, size bigint, keys array<bigint>"))
+    left = names.select("id", "node", "size")
+    entries = _columns(texts.join(left, "node").select("id", "text").mapInArrow(_whole_sets(k, inside), "id bigint, keys array<bigint>"))
     need = _bound(F.col("size"), percent)
-    row = Window.partitionBy("node")
-    ordered = entries.select("node", "size", "key", F.row_number().over(row.orderBy("n", "key")).alias("place"), F.count("*").over(row).alias("own"))
-    hits = saved(ordered.where(F.col("place") <= F.col("own") - need + 1).select("node", "size", "key"))
+    row = Window.partitionBy("id")
+    ordered = entries.join(left.select("id", "size"), "id").select("id", "size", "key", F.row_number().over(row.orderBy("n", "key")).alias("place"), F.count("*").over(row).alias("own"))
+    rare = ordered.where(F.col("place") <= F.col("own") - need + 1)
+    hits = saved(rare.select("id", "key").join(left, "id").select("node", "size", "key"))
     met = hits.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = hits.join(met, "key")
     # a column's leader is the row that meets most others in all its columns: of edited copies, that nearest to their source
