@@ -87,6 +87,17 @@ def fused(*branches: DataFrame, k: int = CANDIDATES, rrf_k: int = RRF_K) -> Data
     return rows.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def fused_batch(*branches: DataFrame, k: int = CANDIDATES, rrf_k: int = RRF_K) -> DataFrame:
+    """(query_id, id, score): ``fused`` for each question of branches (query_id, id, score), each cut to its best already."""
+    own = Window.partitionBy("query_id")
+    parts = [b.select("query_id", "id", (1.0 / (rrf_k + F.row_number().over(own.orderBy(F.desc("score"), "id")))).alias("part")) for b in branches]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    total = rows.groupBy("query_id", "id").agg(F.round(F.sum("part"), 12).alias("score"))
+    return total.withColumn("at", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where(F.col("at") <= k).drop("at")
+
+
 def reranked(rows: DataFrame, scorer=None, k: int = FINAL) -> DataFrame:
     """The best k rows, by a scorer's column if there is one, else by the scores they have."""
     rows = rows if scorer is None else rows.withColumn("score", scorer)

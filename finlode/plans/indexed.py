@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import postings, search
+from ..operators import postings, search, vectors
 from ..sources.scratch import scratch
 from .retrieval import ORACLE_SQL as SCANS
 from .retrieval import TERMS, table
@@ -63,6 +63,50 @@ def sparse_batch_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@cache
+def _vector_root(_: str, sf_dir: str, bits: int) -> str:
+    """The folder of the index of ``embeddings``, built once a session in two segments."""
+    spark = SparkSession.active()
+    root, rows = scratch(spark), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    model = vectors.fitted(rows, bits=bits)
+    vectors.stored(spark, model, root)
+    for part in (0, 1):
+        vectors.built(rows.where(F.pmod("id", F.lit(2)) == part), root, f"part{part}", model)
+    return root
+
+
+def _vector_index(spark: SparkSession, sf_dir: str, bits: int) -> vectors.Index:
+    return vectors.opened(spark, _vector_root(spark.sparkContext.applicationId, sf_dir, bits))
+
+
+def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to each whose id is divisible by 100, by codes of two bits and 40 vectors a question."""
+    found = vectors.nearest(_vector_index(spark, sf_dir, 2), _vector_questions(spark, sf_dir), 5, refine=8)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def dense_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by codes of eight bits and the vectors that their errors leave in question: no answer can be missed."""
+    found = vectors.nearest(_vector_index(spark, sf_dir, 8), _vector_questions(spark, sf_dir), 5, exact=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's ten best documents by its words and by a vector, fused, the five best of these."""
+    sparse = postings.answered(_keyword_index(spark, sf_dir), _turns(spark, sf_dir), 10, every=False)
+    rows = table(spark, sf_dir, "embeddings")
+    place = F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(500))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), place.alias("vec_id"))
+    asked = turns.join(rows.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("query_id", "vector")
+    dense = vectors.nearest(_vector_index(spark, sf_dir, 8), asked, 10, exact=True)
+    found = search.fused_batch(dense, sparse, k=5)
+    return found.select("query_id", "id", F.round("score", 9).alias("score"))
+
+
 _TOKENS = r"t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)"
 _BATCH = rf"""
     WITH {_TOKENS}, p AS (SELECT id, term, count(*) AS tf, n FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY ALL),
@@ -74,9 +118,20 @@ _RANKED = """
     SELECT query_id, id, round(units / 1000000000, 6) AS score, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, id) AS rank FROM s) WHERE rank <= 5"""
 
-QUERIES = {f.__name__: f for f in (sparse_index_and, sparse_index_any, term_dictionary, sparse_batch, sparse_batch_and)}
+QUERIES = {f.__name__: f for f in (sparse_index_and, sparse_index_any, term_dictionary, sparse_batch, sparse_batch_and, dense_index_topk, dense_index_exact, hybrid_batch)}
 
 ORACLE_SQL = {
+    "dense_index_topk": SCANS["dense_batch"],
+    "dense_index_exact": SCANS["dense_batch"],
+    "hybrid_batch": f"""{_BATCH},
+    q AS (SELECT query_id, unnest(terms) AS term FROM c),
+    s AS (SELECT query_id, id, {_SCORE} AS units FROM q JOIN p USING (term) JOIN d USING (term), a GROUP BY ALL),
+    k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, id) AS rk FROM s),
+    v AS (SELECT x.conv_id * 1000 + x.turn AS query_id, o.vec_id AS id, round(list_cosine_similarity(o.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score
+          FROM conversations x JOIN embeddings e ON e.vec_id = (x.conv_id * 8 + x.turn) % 500, embeddings o),
+    n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM v),
+    u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rk)), 12) AS score FROM (SELECT * FROM k WHERE rk <= 10 UNION ALL SELECT * FROM n WHERE rk <= 10) GROUP BY ALL)
+    SELECT query_id, id, round(score, 9) AS score FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY u.score DESC, id) <= 5""",
     "sparse_index_and": SCANS["sparse_bm25_and"],
     "sparse_index_any": SCANS["sparse_bm25_and"].replace("WHERE tf0 > 0 AND tf1 > 0", "WHERE tf0 > 0 OR tf1 > 0"),
     "term_dictionary": rf"WITH {_TOKENS} SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM (SELECT id, unnest(w) AS term FROM t) GROUP BY term",
