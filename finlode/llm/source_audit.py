@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import new_runs, whole_runs
 from . import words as W
 from .common import blocks, saved, table
-from .runs import new_runs, whole_runs
 
 #: Letters A-Z in either case and every character that is not ASCII.
 LETTERS = W.byte_class(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)

@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from finlode.llm import decontaminate, ngram_join, prefix_trie, runs, source_audit
+from finlode.functions import arrow as runs
+from finlode.llm import decontaminate, ngram_join, prefix_trie, source_audit
 from finlode.llm import words as W
 
 SF = "/root/testdata/sf0.001"
