@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from finlode.operators import postings, search, vectors
+from finlode.operators import postings, search, stems, vectors
 
 WORDS = ["revenue", "growth", "debt", "the", "of", "Ümlaut", "ratio", "note", "cash", "flow"] + [f"w{i}" for i in range(80)]
 
@@ -211,3 +211,65 @@ def test_fused_batch(spark):
     b = spark.createDataFrame([(1, 11, 5.0), (1, 12, 4.0)], "query_id long, id long, score double")
     got = [(r["query_id"], r["id"], round(r["score"], 9)) for r in search.fused_batch(a, b, k=2).orderBy("query_id", F.desc("score"), "id").collect()]
     assert got == [(1, 11, round(1 / 62 + 1 / 61, 9)), (1, 10, round(1 / 61, 9)), (2, 10, round(1 / 61, 9))]
+
+
+# ---- stems and gaps
+
+#: Words with their stems, from the stemmer's public description.
+STEMS = """
+consign consign|consigned consign|consigning consign|consignment consign|consist consist|consisted consist|consistency consist|consistent consist
+consistently consist|consisting consist|consists consist|consolation consol|consolations consol|consolatory consolatori|console consol|consoled consol
+consoles consol|consolidate consolid|consolidated consolid|consolidating consolid|consoling consol|consolingly consol|consols consol|consonant conson
+consort consort|consorted consort|consorting consort|conspicuous conspicu|conspicuously conspicu|conspiracy conspiraci|conspirator conspir
+conspirators conspir|conspire conspir|conspired conspir|conspiring conspir|constable constabl|constables constabl|constance constanc|constancy constanc
+constant constant|knack knack|knackeries knackeri|knacks knack|knag knag|knave knave|knaves knave|knavish knavish|kneaded knead|kneading knead
+knee knee|kneel kneel|kneeled kneel|kneeling kneel|kneels kneel|knees knee|knell knell|knelt knelt|knew knew|knick knick|knif knif|knife knife
+knight knight|knightly knight|knights knight|knit knit|knits knit|knitted knit|knitting knit|knives knive|knob knob|knobs knob|knock knock
+knocked knock|knocker knocker|knockers knocker|knocking knock|knocks knock|knopp knopp|knot knot|knots knot|generate generat|generates generat
+generally general|general general|communication communic|community communiti|arsenal arsenal|caresses caress|ties tie|cries cri|gas gas|this this
+gaps gap|kiwis kiwi|luxuriated luxuri|hopping hop|hoping hope|cry cri|by by|say say|skies sky|dying die|news news|inning inning|innings inning
+proceed proceed|exceeding exceed|succeeds succeed|happy happi|relational relat|conditional condit|rational ration|valenci valenc|digitizer digit
+vietnamization vietnam|predication predic|operator oper|feudalism feudal|hopefulness hope|callousness callous|formaliti formal|sensitiviti sensit
+sensibiliti sensibl|triplicate triplic|formative format|formalize formal|electrical electr|goodness good|revival reviv|allowance allow|inference infer
+airliner airlin|adjustable adjust|defensible defens|irritant irrit|replacement replac|adjustment adjust|dependent depend|adoption adopt
+communism communism|activate activ|effective effect|bowdlerize bowdler|probate probat|rate rate|cease ceas|controll control|roll roll|revenue revenu
+growth growth|reports report|significant signific|company compani|companies compani|hardware hardwar|sales sale|agreed agre|feed feed|yes yes
+youth youth|boyish boyish|enjoy enjoy|fly fli|flying fli|sky sky|dog's dog|dogs' dog|boys' boy|argument argument|analogies analog|apology apolog
+fully fulli|hopefully hope|carelessly careless|bed bed|shed shed|embed emb|bead bead|bee bee|owed owe|staying stay
+"""
+
+
+def test_stems_word_by_word(spark):
+    rows = [tuple(x.split()) for x in STEMS.strip().replace("\n", "|").split("|")]
+    rows += [("", ""), ("a", "a"), ("été", "été"), ("2024", "2024"), ("élections", "élection"), (None, None)]
+    got = stems.stemmed(spark.createDataFrame(rows, "term string, want string")).collect()
+    assert not [r for r in got if r["stem"] != r["want"]] and len(got) == len(rows)
+
+
+def test_gap_ranks(spark, tmp_path):
+    """Scores of pairs of places, of single terms and of terms too far apart, against the plain formula."""
+    rows = [
+        (1, "revenue growth"), (2, "growth of the revenues, and revenue growing"), (3, "revenue " + "x " * 150 + "growth"), (4, "growth growth growth"),
+        (5, "the company reports significant revenue growth in Q4 due to AI hardware sales"), (6, "revenue x x growth x x revenue"), (7, None), (8, "revenue growth"),
+    ]
+    root = str(tmp_path)
+    postings.built(spark.createDataFrame(rows, "id long, text string"), root, "a", analyse=postings.placed_terms, stems=True)
+    index = postings.opened(spark, root)
+    asked = spark.createDataFrame([(1, ["revenues", "growing"]), (2, ["growth"]), (3, ["the"]), (4, ["hardware", "sale", "ai"]), (5, ["revenue", "growth"]), (6, ["growth", "missing"])], "query_id long, terms array<string>")
+    got = {}
+    for r in postings.gap_ranked(index, postings.stemmed_questions(asked), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+
+    def close(gaps):
+        out = 1.0
+        for d in gaps:
+            out *= 1 - 0.1 * math.sqrt(1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)))
+        return 1 - out
+
+    assert set(got) == {1, 2, 4, 5}
+    want = {1: close([1]), 2: close([3, 5]), 3: 0.0, 5: close([1]), 6: close([3, 3]), 8: close([1])}
+    assert [i for i, _ in got[5]] == [i for i, _ in sorted(want.items(), key=lambda x: (-round(x[1], 9), x[0]))]
+    assert all(abs(score - want[i]) < 1e-8 for i, score in got[5])
+    assert [i for i, _ in got[1]] == [2] and abs(got[1][0][1] - close([3, 1])) < 1e-8
+    assert dict(got[2])[4] == round((1 + 1 / 4 + 1 / 9) * 0.1 / 1.64493406685, 9)
+    assert [i for i, _ in got[4]] == [5]
