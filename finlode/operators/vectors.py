@@ -96,9 +96,17 @@ def _slot(id_: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(slots)).cast("int")
 
 
-def built(rows: DataFrame, root: str, segment: str, model: Model, id_col: str = "id", vector_col: str = "embedding", slots: int = SLOTS) -> None:
-    """Writes every row as one segment; writing a segment of the same name again replaces it. Ids are keys."""
-    given = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+def _facet(name: str) -> str:
+    return f"facet {name}"
+
+
+def built(rows: DataFrame, root: str, segment: str, model: Model, id_col: str = "id", vector_col: str = "embedding", slots: int = SLOTS, facets: tuple[str, ...] = ()) -> None:
+    """Writes every row as one segment; writing a segment of the same name again replaces it. Ids are keys.
+
+    ``facets`` are columns that questions may restrict; they are kept as text beside the codes.
+    """
+    extra = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(_facet(f)) for f in facets]
+    given = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), *extra)
     kind = given.schema["id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +116,14 @@ def built(rows: DataFrame, root: str, segment: str, model: Model, id_col: str =
             unit, keep = _units(batch.column(1))
             packed, error = model.codes(unit)
             cell = np.argmax(unit @ model.centres.T, axis=1)
-            columns = [pa.array(cell.astype(np.int32)), batch.column(0).take(pa.array(keep)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(error), batch.column(2).take(pa.array(keep))]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "code", "error", "same"])
+            columns = [pa.array(cell.astype(np.int32)), batch.column(0).take(pa.array(keep)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(error)]
+            yield pa.RecordBatch.from_arrays(columns + [c.take(pa.array(keep)) for c in batch.columns[2:]], names=["cell", "id", "code", "error", "same", *names])
 
-    coded = given.select("id", "embedding", F.xxhash64("embedding").alias("same")).mapInArrow(code, f"cell int, id {kind}, code binary, error double, same long")
+    names = [_facet(f) for f in facets]
+    schema = f"cell int, id {kind}, code binary, error double, same long" + "".join(f", `{n}` string" for n in names)
+    coded = given.select("id", "embedding", F.xxhash64("embedding", *names).alias("same"), *names).mapInArrow(code, schema)
     coded.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{root}/codes/segment={segment}")
-    placed = given.withColumn("slot", _slot(F.col("id"), slots))
+    placed = given.select("id", "embedding", _slot(F.col("id"), slots).alias("slot"))
     placed.repartitionByRange("slot", "id").write.partitionBy("slot").mode("overwrite").parquet(f"{root}/vectors/segment={segment}")
 
 
@@ -123,17 +133,19 @@ class Index:
     vectors: DataFrame
     model: Model
     slots: int = SLOTS
+    facets: tuple[str, ...] = ()
 
 
-def opened(spark: SparkSession, root: str, slots: int = SLOTS, id_type: str = "bigint") -> Index:
+def opened(spark: SparkSession, root: str, slots: int = SLOTS, id_type: str = "bigint", facets: tuple[str, ...] = ()) -> Index:
     """The index below a folder, with all segments that are there now."""
-    codes = spark.read.schema(f"cell int, id {id_type}, code binary, error double, same bigint, segment string").parquet(f"{root}/codes")
+    extra = "".join(f"`{_facet(f)}` string, " for f in facets)
+    codes = spark.read.schema(f"cell int, id {id_type}, code binary, error double, same bigint, {extra}segment string").parquet(f"{root}/codes")
     vectors = spark.read.schema(f"id {id_type}, embedding array<float>, segment string, slot int").parquet(f"{root}/vectors")
-    return Index(codes, vectors, loaded(spark, root), slots)
+    return Index(codes, vectors, loaded(spark, root), slots, facets)
 
 
 def _cells(model: Model, probes: int):
-    """Questions at length one with the cells nearest to each."""
+    """Questions (query_id, vector, facets) at length one with the cells nearest to each."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,12 +156,27 @@ def _cells(model: Model, probes: int):
             scores = unit @ model.centres.T
             best = np.argpartition(-scores, n - 1, axis=1)[:, :n] if len(unit) else np.zeros((0, n), np.int64)
             columns = [batch.column(0).take(pa.array(keep)), pa.array(unit.tolist(), pa.list_(pa.float64())), pa.array(best.tolist(), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "unit", "cells"])
+            yield pa.RecordBatch.from_arrays(columns + [c.take(pa.array(keep)) for c in batch.columns[2:]], names=["query_id", "unit", "cells", *batch.schema.names[2:]])
 
     return near
 
 
-def _tiles(model: Model, k: int, keep: int, exact: bool):
+def _allowed(asked: pa.Table, own: pa.Table, facets: tuple[str, ...]) -> np.ndarray:
+    """Which rows each question may have: those with one of its values in every facet that it restricts."""
+    out = np.ones((asked.num_rows, own.num_rows), bool)
+    for f in facets:
+        values = own.column(_facet(f)).combine_chunks().dictionary_encode()
+        place = {v: i for i, v in enumerate(values.dictionary.to_pylist())}
+        rows = values.indices.to_numpy()
+        for q, wanted in enumerate(asked.column(f"wanted {f}").to_pylist()):
+            if wanted is not None:
+                flags = np.zeros(len(place), bool)
+                flags[[place[v] for v in wanted if v in place]] = True
+                out[q] &= flags[rows]
+    return out
+
+
+def _tiles(model: Model, k: int, keep: int, exact: bool, facets: tuple[str, ...]):
     """Candidates of tiles (cell, part, group): questions (mark 0) come before the codes that they are to meet (mark 1).
 
     Of equal vectors only the k smallest ids can be among the k best. With ``exact``, all rows stay whose score can be
@@ -169,10 +196,12 @@ def _tiles(model: Model, k: int, keep: int, exact: bool):
         score = np.empty((asked.num_rows, len(codes)))
         for low in range(0, len(codes), 4096):
             score[:, low : low + 4096] = unit @ model.decoded(codes[low : low + 4096]).T
+        allowed = _allowed(asked, own, facets)
+        score = np.where(allowed, score, -np.inf)
         some = min(k if exact else keep, len(codes)) - 1
         floor = score - error if exact else score
         least = -np.partition(-floor, some, axis=1)[:, some : some + 1]
-        question, row = np.nonzero(score + error >= least - 1e-9 if exact else score >= least)
+        question, row = np.nonzero(allowed & (score + error >= least - 1e-9 if exact else score >= least))
         found = score[question, row]
         return pa.RecordBatch.from_arrays(
             [asked.column("query_id").combine_chunks().take(pa.array(question)), ids.take(pa.array(row)), pa.array(found), pa.array(error[row])], names=["query_id", "id", "guess", "error"]
@@ -199,7 +228,8 @@ def _copies(rows: pa.Table, k: int) -> np.ndarray:
 def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, refine: int = 10, exact: bool = False) -> DataFrame:
     """(query_id, id, score): the k nearest rows of each question of a table (query_id, vector), ties by id.
 
-    Each question meets the codes of its ``probes`` nearest cells, by default of all. The ``refine`` * k best by their codes
+    For each facet that the index has, the table may have a column of that name with the values that a question allows, an
+    array of texts; null, or no such column, allows all. Each question meets the codes of its ``probes`` nearest cells, by default of all. The ``refine`` * k best by their codes
     are scored by their vectors, to 12 digits. With ``exact`` and all cells, the rows whose codes leave a chance are
     scored instead, and the answer is that of a full scan; that takes codes of 8 bits to be few.
 
@@ -210,8 +240,11 @@ def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, r
     kind = questions.schema["query_id"].dataType.simpleString()
     id_kind = index.codes.schema["id"].dataType.simpleString()
     given = questions.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = given.mapInArrow(_cells(index.model, probes), f"query_id {kind}, unit array<double>, cells array<int>")
-    asked = asked.select("query_id", "unit", F.explode("cells").alias("cell"))
+    wanted = [f"wanted {f}" for f in index.facets]
+    limits = [(F.col(f) if f in questions.columns else F.lit(None)).cast("array<string>").alias(w) for f, w in zip(index.facets, wanted, strict=True)]
+    schema = f"query_id {kind}, unit array<double>, cells array<int>" + "".join(f", `{w}` array<string>" for w in wanted)
+    asked = questions.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *limits).mapInArrow(_cells(index.model, probes), schema)
+    asked = asked.select("query_id", "unit", F.explode("cells").alias("cell"), *wanted)
     # one row for each cell, of which the model has a bounded number
     teams = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("teams"))
     parts = index.codes.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))
@@ -220,15 +253,17 @@ def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, r
     left = asked.join(shape, "cell").select(
         "cell", every("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("teams")).cast("int").alias("team"), F.lit(0).alias("mark"), "query_id", "unit",
         F.lit(None).cast(id_kind).alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"), F.lit(None).cast("bigint").alias("same"),
+        *wanted, *(F.lit(None).cast("string").alias(_facet(f)) for f in index.facets),
     )
     right = index.codes.join(shape, "cell").select(
         "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), every("teams").alias("team"), F.lit(1).alias("mark"), F.lit(None).cast(kind).alias("query_id"),
         F.lit(None).cast("array<double>").alias("unit"), "id", "code", "error", "same",
+        *(F.lit(None).cast("array<string>").alias(w) for w in wanted), *(_facet(f) for f in index.facets),
     )
     n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tile = ["cell", "part", "team"]
     both = left.unionByName(right).repartition(n, *tile).sortWithinPartitions(*tile, "mark")
-    found = both.mapInArrow(_tiles(index.model, k, refine * k, exact), f"query_id {kind}, id {id_kind}, guess double, error double")
+    found = both.mapInArrow(_tiles(index.model, k, refine * k, exact, index.facets), f"query_id {kind}, id {id_kind}, guess double, error double")
     own = Window.partitionBy("query_id")
     if exact:
         floor = found.withColumn("floor", F.col("guess") - F.col("error")).withColumn("at", F.row_number().over(own.orderBy(F.desc("floor")))).where(F.col("at") <= k)
