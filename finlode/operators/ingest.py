@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import chunking, normalize, references, sections
+from . import chunking, normalize, references, resolve, sections
 
 KEYS = ("doc_id", "page_number")
 
@@ -29,7 +29,7 @@ def ingested(pages: DataFrame, documents: DataFrame, classify=sections.classifie
     tables = tables.withColumn("table_id", F.concat_ws("/", "doc_id", "table_index"))
     cells = tables.select("doc_id", "table_id", F.posexplode(F.flatten(F.concat("headers", "rows"))).alias("cell_pos", "cell"))
     marks = references.extracted(cells).join(tables.select("table_id", "doc_id"), "table_id")
-    refs = marks.join(references.resolved(marks, rows), ["doc_id", "ref_code"])
+    refs = marks.join(resolve.resolved(marks, rows), ["doc_id", "ref_code"])
     return {
         "blocks": blocks,
         "sections": rows,

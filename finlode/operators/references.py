@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import snippet
-
 # Reference patterns in the order in which they are tried.
 PATTERNS = (
     ("note_ref", r"(?i)note\s+\d+"),
@@ -36,36 +34,6 @@ def extracted(cells: DataFrame) -> DataFrame:
     return coded.groupBy("table_id", "ref_code").agg(F.min(F.struct("cell_pos", "p", "m")).alias("at")).select("table_id", "ref_code", "at.cell_pos")
 
 
-def resolved(refs: DataFrame, sections: DataFrame, whole_words: bool = False) -> DataFrame:
-    """(doc_id, ref_code, section, strategy, resolved_text): each code's target; codes without one are left out.
-
-    ``refs`` (doc_id, ref_code); ``sections`` (doc_id, section, section_type, section_path, headings, content_markdown).
-    Strategies in order: the code in a path part; in a heading; a note's number in the text of notes; a schedule's id in
-    a path part or text of a schedule. Within one, the first section counts. Codes and sections meet within their
-    document. ``whole_words`` asks for a word's end after the code, so that Note 5 is not found in Note 50.
-    """
-    both = refs.select("doc_id", "ref_code").distinct().join(sections, "doc_id")
-    code = F.lower("ref_code")
-    note = F.regexp_extract(code, r"^note\s+(\d+)", 1)
-    schedule = F.regexp_extract(code, r"^schedule\s+([ivxlcdm]+|[a-z])", 1)
-
-    def has(text: Column, what: Column) -> Column:
-        if not whole_words:
-            return text.contains(what)
-        return F.regexp_like(text, F.concat(F.lit(r"(?<![\w])\Q"), what, F.lit(r"\E(?![\w])")))
-
-    text = F.lower(F.coalesce("content_markdown", F.lit("")))
-    by_path = F.exists("section_path", lambda p: has(F.lower(p), code))
-    by_heading = F.exists("headings", lambda h: has(F.lower(h), code))
-    by_note = (note != "") & (F.col("section_type") == "note_to_accounts") & has(text, F.concat(F.lit("note "), note))
-    in_schedule = F.exists("section_path", lambda p: has(F.lower(p), schedule)) | has(text, F.concat(F.lit("schedule "), schedule))
-    by_schedule = (schedule != "") & (F.col("section_type") == "schedule") & in_schedule
-    strategy = F.when(by_path, 1).when(by_heading, 2).when(by_note, 3).when(by_schedule, 4)
-    hits = both.withColumn("strategy", strategy).where("strategy IS NOT NULL")
-    best = F.row_number().over(Window.partitionBy("doc_id", "ref_code").orderBy("strategy", "section"))
-    return hits.withColumn("best", best).where("best = 1").select("doc_id", "ref_code", "section", "strategy", snippet(F.col("content_markdown")).alias("resolved_text"))
-
-
 def looked_up(chunks: DataFrame, tables: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, ref_code, resolved_text): references of the tables in chunks' sections, each code of a document once."""
     rows = chunks.select("rank", "doc_id", "section").join(tables.select("doc_id", "section", "table_id"), ["doc_id", "section"]).join(links, "table_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_cell, first_filled, headline, parse_date, row_label, ticker_slug, to_double, to_int
-from ..operators import feeds, ingest, normalize, references, report, sections
+from ..operators import feeds, ingest, normalize, references, report, resolve, sections
 from ..sources import readers
 from .retrieval import table
 
@@ -196,7 +196,7 @@ def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
         section(3, "note_to_accounts", F.array(F.lit("Notes")), none, "this is note 3 of many"),
     )
     target = rows.select(F.col("key").alias("doc_id"), F.inline(parts))
-    return references.resolved(found, target).select("doc_id", "ref_code", F.col("section").cast("long").alias("section"), F.col("strategy").cast("long").alias("strategy"), "resolved_text")
+    return resolve.resolved(found, target).select("doc_id", "ref_code", F.col("section").cast("long").alias("section"), F.col("strategy").cast("long").alias("strategy"), "resolved_text")
 
 
 def _region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +277,13 @@ ORACLE_SQL = {
         SELECT o_orderkey AS page_number, CASE WHEN o_orderkey % 11 <> 0 THEN 'json' WHEN o_orderkey % 2 = 0 THEN 'html' WHEN o_orderkey % 3 = 0 THEN 'markdown' ELSE 'empty' END AS source,
                CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 3 ELSE 1 END WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_blocks,
                o_orderkey % 11 = 0 AS bad_json FROM orders""",
-    "refs_by_code": """
-        SELECT '1' AS doc_id, ref_code, min(cell_pos) AS cell_pos FROM (VALUES ('Note 1', 0::BIGINT), ('Schedule V', 2)) t(ref_code, cell_pos) WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 1) GROUP BY ref_code""",
+    "refs_by_code": r"""
+        SELECT key AS doc_id, code AS ref_code, min(pos) AS cell_pos FROM (
+            SELECT key, pos, unnest(list_transform(regexp_extract_all(cell, '(?i)note\s+(\d+)', 1), lambda n: 'Note ' || n) || list_transform(regexp_extract_all(cell, '(?i)schedule\s+([IVXLCDM]+|[A-Z])\b', 1), lambda x: 'Schedule ' || upper(x))
+                || regexp_extract_all(cell, '#\d{1,3}\b') || regexp_extract_all(cell, '\(\d{1,3}\)')) AS code
+            FROM (SELECT o_orderkey::VARCHAR AS key, unnest(cells) AS cell, unnest(range(len(cells))) AS pos FROM (
+                SELECT o_orderkey, ['Note ' || o_orderkey % 7, '(' || (o_orderkey % 3 + 1) || ')', 'Refer Schedule V', 'See Note ' || o_orderkey % 5, 'as per note 3 #2'] AS cells FROM orders)))
+        WHERE key = '1' AND code IN ('Note 1', 'Schedule V', '#9') GROUP BY ALL""",
     "manifest_values": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS value FROM part",
     "top_ratios": """
         SELECT o_orderkey AS k, 'Key' AS name, o_orderkey || ' Cr.' AS value FROM orders UNION ALL SELECT o_orderkey, 'Status', o_orderstatus FROM orders""",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finlode.functions import filters, providers, scalars, vocab
-from finlode.operators import chunking, feeds, normalize, references, report, routing, search, sections
+from finlode.operators import chunking, feeds, normalize, references, report, resolve, routing, search, sections
 from finlode.sources import readers, tables
 from finlode.streaming import ingest
 
@@ -97,8 +97,8 @@ def test_sections_merge(spark):
 def test_references_in_whole_words(spark):
     refs = spark.createDataFrame([("d", "Note 5")], "doc_id string, ref_code string")
     target = spark.createDataFrame([("d", 0, "note_to_accounts", ["Note 50"], [], "x"), ("d", 1, "note_to_accounts", ["Note 5"], [], "y")], "doc_id string, section int, section_type string, section_path array<string>, headings array<string>, content_markdown string")
-    assert references.resolved(refs, target).first()["section"] == 0
-    assert references.resolved(refs, target, whole_words=True).first()["section"] == 1
+    assert resolve.resolved(refs, target).first()["section"] == 0
+    assert resolve.resolved(refs, target, whole_words=True).first()["section"] == 1
 
 
 def test_fusion_and_rerank(spark):
