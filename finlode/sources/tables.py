@@ -37,7 +37,7 @@ def appended(rows: DataFrame, root: str, name: str) -> None:
 def latest(rows: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
     """The last version of each key of a table that upserts append to."""
     order = Window.partitionBy(key).orderBy(F.desc(at))
-    return rows.withColumn("version", F.row_number().over(order)).where("version = 1").drop("version")
+    return rows.withColumn("its place", F.row_number().over(order)).where("`its place` = 1").drop("its place")
 
 
 def newest(rows: DataFrame, n: int, at: str = "created_at", key: str = "id") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import commits
+
 
 def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """New files of rows as a stream."""
@@ -22,14 +24,35 @@ def deduplicated(files: DataFrame, at: str = "at", key: str = "file_hash", late:
 
 
 def ingested(stream: DataFrame, target: str, checkpoint: str, transform) -> None:
-    """Takes all that has landed, transforms it in batches and appends it; runs until nothing is left."""
+    """Takes all that has landed, transforms it in batches and adds these to a table; runs until nothing is left.
+
+    Each batch has a folder of its own, by its number in the stream, which a second try of the batch writes over.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, _: int) -> None:
-        transform(batch).write.mode("append").parquet(target)
+
+def ingested_once(stream: DataFrame, root: str, checkpoint: str, transform, name: str = "stream") -> None:
+    """The same for several tables at once: ``transform`` gives tables by name, and a batch counts in all of them or in none.
+
+    A batch that has been committed is not written again when the stream replays it; one that failed half way is.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        committed_once(batch, root, f"{name}-{number}", transform)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def committed_once(batch: DataFrame, root: str, name: str, transform) -> None:
+    """Writes a batch's tables unless the batch is there already."""
+    if not commits.is_committed(batch.sparkSession, root, name):
+        commits.committed(transform(batch), root, name)
+
+
 def telemetry(events: DataFrame, at: str, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and mean values by window and type; batch and stream alike."""
     rows = events.withWatermark(at, late) if events.isStreaming else events

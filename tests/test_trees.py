@@ -62,7 +62,7 @@ def test_a_document_of_many_sections(spark, monkeypatch):
     n = 10_000
     sections = spark.range(n).select(
         F.lit("big").alias("doc_id"), F.col("id").alias("section"), F.lit("note_to_accounts").alias("section_type"), F.array().cast("array<string>").alias("section_path"),
-        F.when(F.col("id") % 1000 == 999, F.array(F.concat(F.lit("About Schedule "), F.lit("X")))).alias("headings"), F.concat(F.lit("see note "), F.col("id").cast("string"), F.lit(". " + "words " * 40)).alias("content_markdown"),
+        F.when(F.col("id") % 1000 == 999, F.array(F.concat(F.lit("About Schedule "), F.lit("X")))).alias("headings"), F.concat(F.lit("see note "), F.col("id").cast("string"), F.lit(". " + "words " * 100)).alias("content_markdown"),
     )
     refs = spark.createDataFrame([("big", f"Note {i}") for i in (7, 4321, 9999, 10_000)] + [("big", "Schedule X"), ("other", "Note 7")], "doc_id string, ref_code string")
     found = resolve.resolved(refs, sections, whole_words=True)
