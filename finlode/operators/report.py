@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import band, colour, mood_colour, risk_colour, severity
 from ..functions.vocab import AGENTS, DASHBOARD, RATIOS
 
-COMPONENT = "section string, id string, component_type string, size string, data_path string, label string, status string, ord int"
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -40,48 +39,49 @@ def caveats(results: DataFrame) -> DataFrame:
 
 def _component(section: str, id_: Column, kind: str, size: str, path: Column, label: Column, status: Column, order: Column) -> list[Column]:
     values = (F.lit(section), id_, F.lit(kind), F.lit(size), path, label, status.cast("string"), order.cast("int"))
-    return [v.alias(n) for v, n in zip(values, ("section", "id", "component_type", "size", "data_path", "label", "status", "ord"), strict=True)]
+    return [F.col("company"), *(v.alias(n) for v, n in zip(values, ("section", "id", "component_type", "size", "data_path", "label", "status", "ord"), strict=True))]
+
+
+def _place() -> Column:
+    """A row's number within its company, from 0."""
+    return F.row_number().over(Window.partitionBy("company").orderBy("pos")) - 1
 
 
 def ratio_components(ratios: DataFrame) -> DataFrame:
-    """Metric cards of the known ratios of (pos, key, value), in input order; text values have no status."""
+    """Metric cards of the known ratios of (company, pos, key, value), in input order; text values have no status."""
     rules = F.broadcast(ratios.sparkSession.createDataFrame(RATIOS, "key string, label string, higher boolean, green double, yellow double"))
     rows = ratios.join(rules, "key")
-    order = F.row_number().over(Window.orderBy("pos")) - 1
     id_ = F.concat(F.lit("metric_"), F.regexp_replace(F.lower("key"), "_pct|_ratio", ""))
     status = band(F.col("value").try_cast("double"), F.col("higher"), F.col("green"), F.col("yellow"))
-    return rows.select(*_component("key_ratios", id_, "metric_card", "small", F.concat(F.lit("quantitative_result.data.raw_ratios."), "key"), F.col("label"), status, order))
+    return rows.select(*_component("key_ratios", id_, "metric_card", "small", F.concat(F.lit("quantitative_result.data.raw_ratios."), "key"), F.col("label"), status, _place()))
 
 
 def pillar_components(metrics: DataFrame) -> DataFrame:
-    """Pillar cards of (pos, pillar, status): a pillar is as bad as its worst metric."""
-    worst = metrics.groupBy("pillar").agg(F.min("pos").alias("pos"), colour(F.max(severity(F.col("status")))).alias("worst"))
-    order = F.row_number().over(Window.orderBy("pos")) - 1
+    """Pillar cards of (company, pos, pillar, status): a pillar is as bad as its worst metric."""
+    worst = metrics.groupBy("company", "pillar").agg(F.min("pos").alias("pos"), colour(F.max(severity(F.col("status")))).alias("worst"))
     id_ = F.concat(F.lit("pillar_"), F.replace(F.lower("pillar"), F.lit(" "), F.lit("_")))
-    return worst.select(*_component("investment_pillars", id_, "pillar_card", "medium", F.concat(F.lit("synthesis.dynamic_investment_pillars."), "pillar"), F.col("pillar"), F.col("worst"), order))
+    return worst.select(*_component("investment_pillars", id_, "pillar_card", "medium", F.concat(F.lit("synthesis.dynamic_investment_pillars."), "pillar"), F.col("pillar"), F.col("worst"), _place()))
 
 
 def risk_components(risks: DataFrame) -> DataFrame:
-    """Risk cards of (pos, risk, level)."""
-    order = F.row_number().over(Window.orderBy("pos")) - 1
+    """Risk cards of (company, pos, risk, level)."""
     id_ = F.concat(F.lit("risk_"), F.replace(F.replace(F.lower("risk"), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("")))
-    return risks.select(*_component("risk_dashboard", id_, "risk_card", "small", F.concat(F.lit("synthesis.key_risk_dashboard."), "risk"), F.col("risk"), risk_colour(F.col("level")), order))
+    return risks.select(*_component("risk_dashboard", id_, "risk_card", "small", F.concat(F.lit("synthesis.key_risk_dashboard."), "risk"), F.col("risk"), risk_colour(F.col("level")), _place()))
 
 
-def manifest(ratios: DataFrame, metrics: DataFrame, risks: DataFrame, mood: str | None) -> DataFrame:
-    """All components, sections in their fixed order; sections without any do not appear."""
-    spark = ratios.sparkSession
-    one = spark.range(1)
+def manifest(companies: DataFrame, ratios: DataFrame, metrics: DataFrame, risks: DataFrame) -> DataFrame:
+    """All components of each company of (company, mood), sections in their fixed order; sections without any do not appear.
+
+    A company without a mood has no sentiment section. Every order is within a company, so companies are independent.
+    """
     text = lambda s: F.lit(s)
+    felt = companies.where("mood IS NOT NULL")
     parts = [
-        one.select(*_component("executive_summary", text("text_executive_summary"), "text_block", "full", text("synthesis.executive_summary"), text("Executive Summary"), F.lit(None), F.lit(0))),
-        ratio_components(ratios),
-        pillar_components(metrics),
-        risk_components(risks),
+        companies.select(*_component("executive_summary", text("text_executive_summary"), "text_block", "full", text("synthesis.executive_summary"), text("Executive Summary"), F.lit(None), F.lit(0))),
+        *(t.join(companies.select("company"), "company", "left_semi") for t in (ratio_components(ratios), pillar_components(metrics), risk_components(risks))),
+        felt.select(*_component("sentiment", text("sentiment_mood"), "sentiment_block", "medium", text("sentiment_result.data.market_sentiment"), text("Market Sentiment"), mood_colour(F.col("mood")), F.lit(0))),
+        felt.select(*_component("sentiment", text("sentiment_macro"), "macro_block", "medium", text("sentiment_result.data.macroeconomic_environment"), text("Macro Environment"), F.lit(None), F.lit(1))),
     ]
-    if mood is not None:
-        parts.append(one.select(*_component("sentiment", text("sentiment_mood"), "sentiment_block", "medium", text("sentiment_result.data.market_sentiment"), text("Market Sentiment"), mood_colour(F.lit(mood)), F.lit(0))))
-        parts.append(one.select(*_component("sentiment", text("sentiment_macro"), "macro_block", "medium", text("sentiment_result.data.macroeconomic_environment"), text("Macro Environment"), F.lit(None), F.lit(1))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import ratio_subset, within_days, without_nulls
-from ..functions.scalars import colour, humanised, risk_colour, severity
+from ..functions.scalars import band, colour, humanised, risk_colour, severity
 from ..operators import feeds, report
 from ..streaming.ingest import sessions, telemetry
 from .retrieval import table
@@ -77,7 +77,6 @@ def completeness_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every known ratio over a range of part sizes: how many fall into each band."""
     rules = F.broadcast(spark.createDataFrame(report.RATIOS, "key string, label string, higher boolean, green double, yellow double"))
-    from ..functions.scalars import band
 
     rows = table(spark, sf_dir, "part").select((F.col("p_size") / 2.0).alias("value")).crossJoin(rules)
     status = band(F.col("value"), F.col("higher"), F.col("green"), F.col("yellow"))
@@ -107,11 +106,6 @@ def humanised_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderstatus", F.regexp_extract(humanised(F.col("total")), r"([BMK]?)$", 1).alias("unit"))
 
 
-RATIO_VALUES = ((0, "NIM_pct", "3.6"), (1, "Gross_NPA_pct", "2.0"), (2, "Unknown", "1"), (3, "PE_Ratio", "n/a"), (4, "Current_Ratio", "0.5"))
-PILLARS = ((0, "Asset Quality", "Green"), (1, "Asset Quality", "red"), (2, "Growth", "yellow"), (3, "Other", None))
-RISKS = ((0, "Credit/Market Risk", "High"), (1, "Liquidity", " Low "), (2, "Policy", "Critical"))
-
-
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of a plan for each customer: agents and helpers, some of them unknown."""
     k = F.col("c_custkey") % 4
@@ -135,15 +129,32 @@ def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.caveats(rows.select("agent", F.when(F.col("n") % 2 == 0, "success").otherwise("partial").alias("status")))
 
 
-def _manifest(spark: SparkSession) -> DataFrame:
-    ratios = spark.createDataFrame(list(RATIO_VALUES), "pos int, key string, value string")
-    metrics = spark.createDataFrame(list(PILLARS), "pos int, pillar string, status string")
-    risks = spark.createDataFrame(list(RISKS), "pos int, risk string, level string")
-    return report.manifest(ratios, metrics, risks, "Neutral")
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as companies, with ratios of their line items."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("company")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
+    return rows.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company"), F.col("s_nationkey").alias("nation")), "company")
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _manifest(spark).select("section_order", "section", "id", "component_type", "size", "data_path", "label", "status", "ord")
+    """The dashboard of every supplier: ratios from its line items, pillars from the ratios' colours, risks and mood by its nation."""
+    rows = _figures(spark, sf_dir)
+    part = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), name.alias("key"), value.cast("string").alias("value"))
+    returned, open_ = F.col("returned") * 12 / F.col("n"), F.col("open") * 3 / F.col("n")
+    ratios = rows.select("company", F.inline(F.array(
+        part(0, F.lit("NIM_pct"), returned), part(1, F.lit("Gross_NPA_pct"), F.col("n") % 5), part(2, F.lit("Unknown"), F.lit(1)),
+        part(3, F.lit("PE_Ratio"), F.when(F.col("company") % 3 == 0, "n/a").otherwise((F.col("n") % 50).cast("string"))), part(4, F.lit("Current_Ratio"), open_),
+    )))
+    status = band(returned, F.lit(True), F.lit(3.5), F.lit(2.8))
+    metric = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("pillar"), value.alias("status"))
+    metrics = rows.select("company", F.inline(F.array(
+        metric(0, "Asset Quality", F.initcap(status)), metric(1, "Asset Quality", band(F.col("n") % 5, F.lit(False), F.lit(1), F.lit(3))), metric(2, "Growth", F.when(F.col("nation") % 4 > 0, "yellow")), metric(3, "Other", F.lit(None).cast("string")),
+    )))
+    levels = F.array(*(F.lit(x) for x in ("Low", " Medium", "Elevated", "High ", "Critical")))
+    risk = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("risk"), value.alias("level"))
+    risks = rows.where("nation % 6 != 0").select("company", F.inline(F.array(risk(0, "Credit/Market Risk", levels[(F.col("nation") % 5).cast("int")]), risk(1, "Liquidity", levels[(F.col("n") % 5).cast("int")]))))
+    mood = F.element_at(F.array(*(F.lit(x) for x in ("Positive", " Neutral", "Negative", "mixed", None))), (F.col("nation") % 5 + 1).cast("int"))
+    found = report.manifest(rows.select("company", mood.alias("mood")), ratios, metrics, risks)
+    return found.select("company", "section_order", "section", "id", "component_type", "size", "data_path", "label", "status", "ord")
 
 
 def state_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,21 +245,23 @@ ORACLE_SQL = {
         WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'quantitative' ELSE 'sentiment' END AS agent, CASE WHEN count(*) % 2 = 0 THEN 'success' ELSE 'partial' END AS status FROM events WHERE event_type IN ('view', 'error') GROUP BY 1)
         SELECT a.agent, coalesce(r.status, 'failed') AS status FROM (VALUES ('quantitative'), ('qualitative'), ('risk_governance'), ('sentiment')) a(agent) LEFT JOIN r ON r.agent = a.agent""",
     "manifest": """
-        SELECT section_order::INTEGER AS section_order, section, id, component_type, size, data_path, label, status, ord::INTEGER AS ord FROM (VALUES
-        (1, 'executive_summary', 'text_executive_summary', 'text_block', 'full', 'synthesis.executive_summary', 'Executive Summary', NULL, 0),
-        (2, 'key_ratios', 'metric_nim', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.NIM_pct', 'Net Interest Margin', 'green', 0),
-        (2, 'key_ratios', 'metric_gross_npa', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.Gross_NPA_pct', 'Gross NPA', 'yellow', 1),
-        (2, 'key_ratios', 'metric_pe', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.PE_Ratio', 'Price / Earnings', NULL, 2),
-        (2, 'key_ratios', 'metric_current', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.Current_Ratio', 'Current Ratio', 'red', 3),
-        (3, 'investment_pillars', 'pillar_asset_quality', 'pillar_card', 'medium', 'synthesis.dynamic_investment_pillars.Asset Quality', 'Asset Quality', 'red', 0),
-        (3, 'investment_pillars', 'pillar_growth', 'pillar_card', 'medium', 'synthesis.dynamic_investment_pillars.Growth', 'Growth', 'yellow', 1),
-        (3, 'investment_pillars', 'pillar_other', 'pillar_card', 'medium', 'synthesis.dynamic_investment_pillars.Other', 'Other', NULL, 2),
-        (4, 'risk_dashboard', 'risk_creditmarket_risk', 'risk_card', 'small', 'synthesis.key_risk_dashboard.Credit/Market Risk', 'Credit/Market Risk', 'red', 0),
-        (4, 'risk_dashboard', 'risk_liquidity', 'risk_card', 'small', 'synthesis.key_risk_dashboard.Liquidity', 'Liquidity', 'green', 1),
-        (4, 'risk_dashboard', 'risk_policy', 'risk_card', 'small', 'synthesis.key_risk_dashboard.Policy', 'Policy', NULL, 2),
-        (5, 'sentiment', 'sentiment_mood', 'sentiment_block', 'medium', 'sentiment_result.data.market_sentiment', 'Market Sentiment', 'yellow', 0),
-        (5, 'sentiment', 'sentiment_macro', 'macro_block', 'medium', 'sentiment_result.data.macroeconomic_environment', 'Macro Environment', NULL, 1)
-        ) t(section_order, section, id, component_type, size, data_path, label, status, ord)""",
+        WITH r AS (SELECT l_suppkey AS company, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY 1),
+        f AS (SELECT r.*, s_nationkey AS nation, returned * 12 / n AS nim, n % 5 AS npa, n % 50 AS pe, open * 3 / n AS cur FROM r JOIN supplier ON s_suppkey = company),
+        c AS (SELECT *, CASE WHEN nim >= 3.5 THEN 1 WHEN nim >= 2.8 THEN 2 ELSE 3 END AS nim_s, CASE WHEN npa <= 1 THEN 1 WHEN npa <= 3 THEN 2 ELSE 3 END AS npa_s, ['green', 'yellow', 'red'] AS colours FROM f),
+        m AS (
+            SELECT company, 2 AS section_order, 'key_ratios' AS section, 'metric_nim' AS id, 'metric_card' AS component_type, 'small' AS size, 'quantitative_result.data.raw_ratios.NIM_pct' AS data_path, 'Net Interest Margin' AS label, colours[nim_s] AS status, 0 AS ord FROM c
+            UNION ALL SELECT company, 2, 'key_ratios', 'metric_gross_npa', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.Gross_NPA_pct', 'Gross NPA', CASE WHEN npa <= 1.5 THEN 'green' WHEN npa <= 3 THEN 'yellow' ELSE 'red' END, 1 FROM c
+            UNION ALL SELECT company, 2, 'key_ratios', 'metric_pe', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.PE_Ratio', 'Price / Earnings', CASE WHEN company % 3 = 0 THEN NULL WHEN pe <= 20 THEN 'green' WHEN pe <= 35 THEN 'yellow' ELSE 'red' END, 2 FROM c
+            UNION ALL SELECT company, 2, 'key_ratios', 'metric_current', 'metric_card', 'small', 'quantitative_result.data.raw_ratios.Current_Ratio', 'Current Ratio', CASE WHEN cur >= 2 THEN 'green' WHEN cur >= 1 THEN 'yellow' ELSE 'red' END, 3 FROM c
+            UNION ALL SELECT company, 3, 'investment_pillars', 'pillar_asset_quality', 'pillar_card', 'medium', 'synthesis.dynamic_investment_pillars.Asset Quality', 'Asset Quality', colours[greatest(nim_s, npa_s)], 0 FROM c
+            UNION ALL SELECT company, 3, 'investment_pillars', 'pillar_growth', 'pillar_card', 'medium', 'synthesis.dynamic_investment_pillars.Growth', 'Growth', CASE WHEN nation % 4 > 0 THEN 'yellow' END, 1 FROM c
+            UNION ALL SELECT company, 3, 'investment_pillars', 'pillar_other', 'pillar_card', 'medium', 'synthesis.dynamic_investment_pillars.Other', 'Other', NULL, 2 FROM c
+            UNION ALL SELECT company, 4, 'risk_dashboard', 'risk_creditmarket_risk', 'risk_card', 'small', 'synthesis.key_risk_dashboard.Credit/Market Risk', 'Credit/Market Risk', ['green', 'yellow', 'yellow', 'red', NULL][nation % 5 + 1], 0 FROM c WHERE nation % 6 <> 0
+            UNION ALL SELECT company, 4, 'risk_dashboard', 'risk_liquidity', 'risk_card', 'small', 'synthesis.key_risk_dashboard.Liquidity', 'Liquidity', ['green', 'yellow', 'yellow', 'red', NULL][n % 5 + 1], 1 FROM c WHERE nation % 6 <> 0
+            UNION ALL SELECT company, 1, 'executive_summary', 'text_executive_summary', 'text_block', 'full', 'synthesis.executive_summary', 'Executive Summary', NULL, 0 FROM c
+            UNION ALL SELECT company, 5, 'sentiment', 'sentiment_mood', 'sentiment_block', 'medium', 'sentiment_result.data.market_sentiment', 'Market Sentiment', ['green', 'yellow', 'red', NULL][nation % 5 + 1], 0 FROM c WHERE nation % 5 < 4
+            UNION ALL SELECT company, 5, 'sentiment', 'sentiment_macro', 'macro_block', 'medium', 'sentiment_result.data.macroeconomic_environment', 'Macro Environment', NULL, 1 FROM c WHERE nation % 5 < 4)
+        SELECT company, section_order::INTEGER AS section_order, section, id, component_type, size, data_path, label, status, ord::INTEGER AS ord FROM m""",
     "state_patch": """
         SELECT 'parts.' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END AS value, p_partkey % 5 = 0 AS changed FROM part
         UNION ALL SELECT 'parts.' || p_partkey || '.extra', 'added', true FROM part WHERE p_partkey % 5 = 0""",
