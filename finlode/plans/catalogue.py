@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, indexed, ingestion, payloads, records, requested, retrieval, states, stemmed, trees
+from . import analysis, indexed, ingestion, payloads, records, requested, retrieval, states, stemmed, trees, webpages
 
 flagship = retrieval.hybrid_rrf_topk
 
-QUERIES = {**retrieval.QUERIES, **ingestion.QUERIES, **analysis.QUERIES, **records.QUERIES, **payloads.QUERIES, **indexed.QUERIES, **stemmed.QUERIES, **requested.QUERIES, **trees.QUERIES, **states.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **ingestion.ORACLE_SQL, **analysis.ORACLE_SQL, **records.ORACLE_SQL, **payloads.ORACLE_SQL, **indexed.ORACLE_SQL, **stemmed.ORACLE_SQL, **requested.ORACLE_SQL, **trees.ORACLE_SQL, **states.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **ingestion.QUERIES, **analysis.QUERIES, **records.QUERIES, **payloads.QUERIES, **indexed.QUERIES, **stemmed.QUERIES, **requested.QUERIES, **trees.QUERIES, **states.QUERIES, **webpages.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **ingestion.ORACLE_SQL, **analysis.ORACLE_SQL, **records.ORACLE_SQL, **payloads.ORACLE_SQL, **indexed.ORACLE_SQL, **stemmed.ORACLE_SQL, **requested.ORACLE_SQL, **trees.ORACLE_SQL, **states.ORACLE_SQL, **webpages.ORACLE_SQL}
