@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import analysis, indexed, ingestion, payloads, records, requested, retrieval, states, stemmed, subworded, trees, webpages
+from . import analysis, helpers, indexed, ingestion, payloads, records, requested, retrieval, states, stemmed, subworded, trees, webpages
 
 flagship = retrieval.hybrid_rrf_topk
 
-QUERIES = {**retrieval.QUERIES, **ingestion.QUERIES, **analysis.QUERIES, **records.QUERIES, **payloads.QUERIES, **indexed.QUERIES, **stemmed.QUERIES, **requested.QUERIES, **trees.QUERIES, **states.QUERIES, **webpages.QUERIES, **subworded.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **ingestion.ORACLE_SQL, **analysis.ORACLE_SQL, **records.ORACLE_SQL, **payloads.ORACLE_SQL, **indexed.ORACLE_SQL, **stemmed.ORACLE_SQL, **requested.ORACLE_SQL, **trees.ORACLE_SQL, **states.ORACLE_SQL, **webpages.ORACLE_SQL, **subworded.ORACLE_SQL}
+_PARTS = (retrieval, ingestion, analysis, records, payloads, indexed, stemmed, requested, trees, states, webpages, subworded, helpers)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
