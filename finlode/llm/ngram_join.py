@@ -17,6 +17,8 @@ from .near_dedup import _links, _own_text, _rest, _verified, named_sets, shingle
 
 #: Percent of a document's n-grams that must be shared among those looked at first, besides those that may all differ.
 FIRST = 5
+#: Rows left, at about 50 bytes each, that are sent to all tasks; more are joined by a shuffle.
+FEW = 400_000
 #: Documents in a slab of the product; cells of a dense slice of columns; pairs that a sparse slice adds at a time.
 SLAB, DENSE, SPARSE = 512, 4 << 20, 2 << 20
 
@@ -219,16 +221,20 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = _columns(nodes.select("id", "keys")).groupBy("id").agg(F.count("*").alias("n")).join(names.select("id", "size"), "id")
     alive = saved(counts.where(F.col("n") >= _bound(_bound(F.col("size"), percent), FIRST)).select("id"))
     released(nodes)
-    # the text of each row left, by the first document of the set; one of a repeated id may be another text
+    # the text of each row left, by the first document of the set; one of a repeated id may be another text. Few enough
+    # rows are sent to all tasks, so that the other texts are not shuffled
+    wanted = alive.join(names, "id").select("id", "node", "first_id")
+    wanted = F.broadcast(wanted) if alive.count() <= FEW else wanted
     texts = saved(
-        source.join(alive.join(names, "id"), F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("node", "text")
-        .mapInArrow(_own_text(k, inside), "node binary, text string")
+        source.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .select("node", "text", "id")
+        .mapInArrow(_own_text(k, inside), "node binary, text string, id bigint")
         .dropDuplicates(["node"])
     )
     released(alive)
     left = names.select("id", "node", "size")
-    entries = _columns(texts.join(left, "node").select("id", "text").mapInArrow(_whole_sets(k, inside), "id bigint, keys array<bigint>"))
+    entries = _columns(texts.select("id", "text").mapInArrow(_whole_sets(k, inside), "id bigint, keys array<bigint>"))
+    texts = texts.select("node", "text")
     need = _bound(F.col("size"), percent)
     row = Window.partitionBy("id")
     ordered = entries.join(left.select("id", "size"), "id").select("id", "size", "key", F.row_number().over(row.orderBy("n", "key")).alias("place"), F.count("*").over(row).alias("own"))
