@@ -122,9 +122,10 @@ def built(rows: DataFrame, root: str, segment: str, model: Model, id_col: str =
     names = [_facet(f) for f in facets]
     schema = f"cell int, id {kind}, code binary, error double, same long" + "".join(f", `{n}` string" for n in names)
     coded = given.select("id", "embedding", F.xxhash64("embedding", *names).alias("same"), *names).mapInArrow(code, schema)
-    coded.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{root}/codes/segment={segment}")
+    # codes come last: without them a segment is not there
     placed = given.select("id", "embedding", _slot(F.col("id"), slots).alias("slot"))
     placed.repartitionByRange("slot", "id").write.partitionBy("slot").mode("overwrite").parquet(f"{root}/vectors/segment={segment}")
+    coded.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{root}/codes/segment={segment}")
 
 
 @dataclass(frozen=True)
