@@ -273,15 +273,3 @@ def test_gap_ranks(spark, tmp_path):
     assert [i for i, _ in got[1]] == [2] and abs(got[1][0][1] - close([3, 1])) < 1e-8
     assert dict(got[2])[4] == round((1 + 1 / 4 + 1 / 9) * 0.1 / 1.64493406685, 9)
     assert [i for i, _ in got[4]] == [5]
-
-
-def test_a_segment_that_was_not_finished(spark, corpus, tmp_path):
-    """Postings without their totals are no part of an index."""
-    import shutil
-
-    root = str(tmp_path)
-    postings.built(corpus[1].where("id < 200"), root, "a", block=16)
-    want = postings.top_k(postings.opened(spark, root), ("the", "of"), 9).collect()
-    postings.built(corpus[1].where("id >= 200"), root, "b", block=16)
-    shutil.rmtree(tmp_path / "totals" / "segment=b")
-    assert postings.top_k(postings.opened(spark, root), ("the", "of"), 9).collect() == want
