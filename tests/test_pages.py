@@ -105,3 +105,19 @@ def test_plain_tags_are_read_as_the_parser_reads_them(spark, monkeypatch):
     assert 50 < sum(pages.Page._plain_tags(h) is not None for h in htmls) < 300
     monkeypatch.setattr(pages.Page, "_plain_tags", staticmethod(lambda html: None))
     assert plain == [read(h) for h in htmls]
+
+
+def test_web_page_titles_as_their_sql_reads_them(spark, tmp_path):
+    import duckdb
+
+    from finlode.plans import webpages
+
+    titles = ["a &quot;b&quot;  c &amp; d &amp", "&lt;x&gt; &#65;", "plain", " ", "&amp;amp;"]
+    rows = [(i, f"<html><head><title>{t}</title></head><body><p>x</body></html>") for i, t in enumerate(titles)] + [(9, "<p>no title")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = webpages.web_page_kinds(spark, str(tmp_path)).select("page_id", "title_md5", "reason").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(webpages.ORACLE_SQL["web_page_kinds"]).fetchall())
+    facts = {r["id"]: r["title"] for r in pages.page_facts(spark.createDataFrame(rows, "id long, html string")).collect()}
+    assert facts[0] == 'a "b" c & d &' and facts[1] == "<x> A"
