@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import snippet
 
-#: Sections of a document that are scanned together; a document with more takes part in more tasks.
+#: Sections of a document that are scanned together, or as many as it has codes; a document with more takes part in more tasks.
 SECTIONS = 256
 
 _NOTE, _SCHEDULE = re.compile(r"note\s+(\d+)"), re.compile(r"schedule\s+([ivxlcdm]+|[a-z])")
@@ -34,19 +34,24 @@ class Codes:
             if schedule := _SCHEDULE.match(code):
                 uses.setdefault(f"schedule {schedule[1]}", []).append(("schedule", code))
                 uses.setdefault(schedule[1], []).append(("part", code))
-        self.blank = uses.pop("", [])
-        self.automaton = ahocorasick.Automaton()
-        for pattern, own in uses.items():
-            self.automaton.add_word(pattern, (len(pattern), tuple(own)))
-        if uses:
-            self.automaton.make_automaton()
-        self.any = bool(uses)
-
-    def found(self, text: str, whole_words: bool) -> set[tuple[str, str]]:
-        """(use, code) of all patterns in a text; with ``whole_words``, no letter, digit or _ before or after."""
-        out = set(self.blank)
-        if self.any:
-            for end, (size, own) in self.automaton.iter(text):
+        blank = uses.pop("", [])
+        #: By use, so that a long text is only read for what counts there.
+        self.automata = {}
+        self.blank = {use: {code for own, code in blank if own == use} for use in ("code", "note", "schedule", "part")}
+        for use in self.blank:
+            automaton = ahocorasick.Automaton()
+            for pattern, own in uses.items():
+                if codes := tuple(code for u, code in own if u == use):
+                    automaton.add_word(pattern, (len(pattern), codes))
+            if len(automaton):
+                automaton.make_automaton()
+                self.automata[use] = automaton
+
+    def found(self, use: str, text: str, whole_words: bool) -> set[str]:
+        """Codes of all patterns of a use in a text; with ``whole_words``, no letter, digit or _ before or after."""
+        out = set(self.blank[use])
+        if use in self.automata:
+            for end, (size, own) in self.automata[use].iter(text):
                 if not whole_words or not (_word(text, end - size) or _word(text, end + 1)):
                     out.update(own)
         return out
@@ -55,21 +60,20 @@ class Codes:
         """The first strategy by which a section is a code's target."""
         out: dict[str, int] = {}
 
-        def take(strategy: int, use: str, hits: set[tuple[str, str]]) -> None:
-            for own, code in hits:
-                if own == use:
-                    out[code] = min(strategy, out.get(code, strategy))
+        def take(strategy: int, use: str, where: str) -> None:
+            for code in self.found(use, where, whole_words):
+                out[code] = min(strategy, out.get(code, strategy))
 
         for part in path:
-            hits = self.found(part, whole_words)
-            take(1, "code", hits)
+            take(1, "code", part)
             if kind == "schedule":
-                take(4, "part", hits)
+                take(4, "part", part)
         for heading in headings:
-            take(2, "code", self.found(heading, whole_words))
-        if kind in ("note_to_accounts", "schedule"):
-            hits = self.found(text, whole_words)
-            take(3 if kind == "note_to_accounts" else 4, "note" if kind == "note_to_accounts" else "schedule", hits)
+            take(2, "code", heading)
+        if kind == "note_to_accounts":
+            take(3, "note", text)
+        elif kind == "schedule":
+            take(4, "schedule", text)
         return out
 
 
@@ -108,25 +112,29 @@ def resolved(refs: DataFrame, sections: DataFrame, whole_words: bool = False) ->
     of notes; a schedule's id in a path part or text of a schedule. Within one, the first section counts. Letters' case does
     not matter. ``whole_words`` asks for a word's end before and after the code, so that Note 5 is not found in Note 50.
 
-    Codes and sections of a document meet in ranges of 256 sections: first the codes, which become one automaton, then
-    each section, read once. What goes on is (code, section, strategy); only the targets' snippets are joined, at the end.
+    Codes and sections of a document meet in parts of 256 sections, or of as many as it has codes, so that codes are not
+    repeated more often than there are sections: first the codes, which become one automaton for each use, then each
+    section, read once. What goes on is (code, section, strategy); only the targets' snippets are joined, at the end.
+    Sizes that Spark guesses of tables made in a query say little, so nothing is left to it to broadcast.
     """
     doc_kind, section_kind = (sections.schema[c].dataType.simpleString() for c in ("doc_id", "section"))
     codes = refs.select("doc_id", F.lower("ref_code").alias("code")).where("code IS NOT NULL").distinct()
-    part = F.floor(F.col("section") / SECTIONS).alias("part")
-    ranges = sections.select("doc_id", part).distinct()
+    asked = codes.groupBy("doc_id").agg(F.count("*").alias("codes"))
+    sizes = sections.groupBy("doc_id").agg(F.count("*").alias("sections")).join(asked.hint("merge"), "doc_id")
+    sizes = sizes.select("doc_id", F.ceil(F.col("sections") / F.greatest(F.lit(SECTIONS), "codes")).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("section"), F.col("parts")).cast("int").alias("part")
     lower = lambda c: F.transform(c, lambda x: F.lower(x)).alias(c)
-    read = sections.join(codes.select("doc_id").distinct(), "doc_id", "left_semi")
+    read = sections.join(sizes.hint("merge"), "doc_id")
     own = read.select("doc_id", part, F.lit(1).alias("mark"), F.lit(None).cast("string").alias("code"), "section", "section_type", lower("section_path"), lower("headings"), F.lower(F.coalesce("content_markdown", F.lit(""))).alias("text"))
     none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns[4:]]
-    first = codes.join(ranges, "doc_id").select("doc_id", "part", F.lit(0).alias("mark"), "code", *none)
+    first = codes.join(sizes.hint("merge"), "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("mark"), "code", *none)
     n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = first.unionByName(own).repartition(n, "doc_id", "part").sortWithinPartitions("doc_id", "part", "mark")
     hits = both.mapInArrow(_scan(whole_words), f"doc_id {doc_kind}, code string, section {section_kind}, strategy int")
     best = hits.groupBy("doc_id", "code").agg(F.min(F.struct("strategy", "section")).alias("at")).select("doc_id", "code", "at.strategy", "at.section")
-    named = refs.select("doc_id", "ref_code").distinct().withColumn("code", F.lower("ref_code")).join(best, ["doc_id", "code"])
+    named = refs.select("doc_id", "ref_code").distinct().withColumn("code", F.lower("ref_code")).join(best.hint("merge"), ["doc_id", "code"])
     texts = sections.select("doc_id", "section", snippet(F.col("content_markdown")).alias("resolved_text"))
-    return named.join(texts, ["doc_id", "section"]).select("doc_id", "ref_code", "section", "strategy", "resolved_text")
+    return named.join(texts.hint("merge"), ["doc_id", "section"]).select("doc_id", "ref_code", "section", "strategy", "resolved_text")
 
 
 def heading_tree(headings: DataFrame, levels: int = 6, width: int = 1 << 16) -> DataFrame:
@@ -144,10 +152,12 @@ def heading_tree(headings: DataFrame, levels: int = 6, width: int = 1 << 16) ->
     at = {n: F.when(F.col("level") == n, F.col("pos")) for n in names}
     sums = rows.groupBy("doc_id", "part").agg(*(F.max(at[n]).alias(f"max{n}") for n in names), *(F.min(at[n]).alias(f"min{n}") for n in names))
     parts = Window.partitionBy("doc_id").orderBy("part")
-    before, after = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in the other order: a frame up to the end is summed anew for every row
+    last, past = Window.partitionBy("doc_id").orderBy(F.desc("part")), (Window.unboundedPreceding, -1)
+    before, after = parts.rowsBetween(*past), last.rowsBetween(*past)
     sums = sums.select("doc_id", "part", *(F.max(f"max{n}").over(before).alias(f"base{n}") for n in names), *(F.min(f"min{n}").over(after).alias(f"next{n}") for n in names))
     inside = Window.partitionBy("doc_id", "part").orderBy("pos")
-    earlier, later = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    earlier, later = inside.rowsBetween(*past), Window.partitionBy("doc_id", "part").orderBy(F.desc("pos")).rowsBetween(*past)
     rows = rows.join(sums, ["doc_id", "part"])
     rows = rows.withColumns({f"last{n}": F.coalesce(F.max(at[n]).over(earlier), F.col(f"base{n}")) for n in names} | {f"then{n}": F.coalesce(F.min(at[n]).over(later), F.col(f"next{n}")) for n in names})
     lower = [F.when(F.col("level") > n, F.col(f"last{n}")) for n in names]
@@ -162,8 +172,20 @@ def heading_tree(headings: DataFrame, levels: int = 6, width: int = 1 << 16) ->
     return rows.select("doc_id", "pos", "level", "title", parent.alias("parent"), depth.alias("depth"), end.alias("end"))
 
 
-def subtrees(tree: DataFrame, tops: DataFrame) -> DataFrame:
-    """(doc_id, top, pos): everything below the headings (doc_id, pos) of ``tops`` and these themselves, as a range of places."""
-    wanted = tops.select("doc_id", F.col("pos").alias("top")).join(tree.select("doc_id", F.col("pos").alias("top"), "end"), ["doc_id", "top"])
+def subtrees(tree: DataFrame, tops: DataFrame, width: int = 256) -> DataFrame:
+    """(doc_id, top, pos): everything below the headings (doc_id, pos) of ``tops`` and these themselves, as a range of places.
+
+    A subtree meets the headings in ranges of ``width`` places that have any, so not all headings of a document meet. Of
+    the subtrees that reach into a range from before, each is within the next, so there are no more than levels.
+    """
+    placed = tree.select("doc_id", "pos", "end", F.floor(F.col("pos") / width).alias("part"))
+    # ranges that have headings are numbered in order, so that empty ones cost nothing
+    numbers = placed.select("doc_id", "part").distinct()
+    own = Window.partitionBy("doc_id")
+    numbers = numbers.withColumn("number", F.row_number().over(own.orderBy("part"))).withColumn("most", F.count("*").over(own).cast("int"))
+    rows = placed.join(numbers, ["doc_id", "part"])
+    wanted = tops.select("doc_id", "pos").join(rows, ["doc_id", "pos"]).select("doc_id", F.col("pos").alias("top"), "end", F.col("number").alias("from"), "most", F.floor(F.col("end") / width).alias("part"))
+    wanted = wanted.join(numbers.select("doc_id", "part", F.col("number").alias("to")), ["doc_id", "part"], "left")
+    ranges = wanted.select("doc_id", "top", "end", F.explode(F.sequence("from", F.coalesce("to", "most"))).alias("number"))
     inside = (F.col("pos") >= F.col("top")) & (F.col("end").isNull() | (F.col("pos") < F.col("end")))
-    return wanted.join(tree.select("doc_id", "pos"), "doc_id").where(inside).select("doc_id", "top", "pos")
+    return ranges.join(rows.select("doc_id", "number", "pos"), ["doc_id", "number"]).where(inside).select("doc_id", "top", "pos")

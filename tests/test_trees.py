@@ -109,3 +109,29 @@ def test_heading_trees(spark):
         end = want[doc, top][2]
         assert found == {p for d, p in want if d == doc and p >= top and (end is None or p < end)} and levels[doc, top] <= 2
     assert resolve.heading_tree(headings.limit(0)).count() == 0
+
+
+def test_subtrees_in_short_ranges(spark):
+    """Ranges of a few places, most of them empty, give what one range gives; no heading meets all of its document."""
+    rng = random.Random(6)
+    rows = [(d, p, rng.randint(1, 6), "t") for d in range(3) for p in sorted(rng.sample(range(2000), 120))]
+    tree = resolve.heading_tree(spark.createDataFrame(rows, "doc_id int, pos long, level int, title string"), width=64).cache()
+    got = {(r["doc_id"], r["top"], r["pos"]) for r in resolve.subtrees(tree, tree.where("level <= 3"), width=8).collect()}
+    ends = {(r["doc_id"], r["pos"]): r["end"] for r in tree.collect()}
+    want = {(d, t, p) for d, t, level, _ in rows if level <= 3 for e, p, *_ in rows if e == d and p >= t and (ends[d, t] is None or p < ends[d, t])}
+    assert got == want
+
+
+def test_no_frame_runs_to_the_end(spark):
+    """A frame up to the end of its partition is summed anew for each row, the square of a document's ranges."""
+    rows = spark.createDataFrame([(1, p, 1 + p % 3, "t") for p in range(9)], "doc_id int, pos long, level int, title string")
+    assert "unboundedfollowing" not in resolve.heading_tree(rows)._jdf.queryExecution().toString().lower().replace(" ", "")
+
+
+def test_codes_are_not_repeated_for_every_few_sections(spark):
+    """A document whose sections' numbers are far apart: its codes go to as many parts as its sections fill; nothing is broadcast."""
+    sections = [("d", i * 1000, "note_to_accounts", [f"p{i}"], [], "note 7 of many") for i in range(300)]
+    refs = spark.createDataFrame([("d", c) for c in ("Note 7", "p299", "p3")], "doc_id string, ref_code string")
+    found = resolve.resolved(refs, spark.createDataFrame(sections, SECTIONS))
+    assert {(r["ref_code"], r["section"], r["strategy"]) for r in found.collect()} == {("Note 7", 0, 3), ("p299", 299000, 1), ("p3", 3000, 1)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
