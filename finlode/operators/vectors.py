@@ -276,3 +276,15 @@ def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, r
     scored = few.join(index.vectors.select("slot", "id", "embedding"), ["slot", "id"]).join(given, "query_id")
     scored = scored.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 12).alias("score"))
     return scored.withColumn("at", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where(F.col("at") <= k).drop("at")
+
+
+def completed(index: Index, questions: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the k nearest, of answers ``found`` by coarse codes and of what these missed.
+
+    What they missed comes from an exact search of an index of the same rows with fine codes (see ``nearest``), which costs
+    a second scan of codes and few vectors; scores of both are true ones, so the best of all are those of a full scan.
+    """
+    more = nearest(index, questions, k, exact=True).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    both = found.select("query_id", "id", "score").unionByName(more.select("query_id", "id", "score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return both.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).drop("at")

@@ -296,3 +296,16 @@ def test_lists_are_whole_and_blocks_bounded_by_bytes(spark, tmp_path, monkeypatc
             sizes = [len(e["places"]) for e in r["entries"]]
             assert (r["docs"], r["n"], r["most"], r["shortest"]) == (len(sizes), sum(sizes), max(sizes), min(e["length"] for e in r["entries"]))
             assert [e["id"] for e in r["entries"]] == sorted(e["id"] for e in r["entries"])
+
+
+def test_coarse_answers_are_completed(spark):
+    """On sf0.1 codes of two bits miss an answer; the query has what its SQL has."""
+    import duckdb
+
+    from finlode.plans import indexed
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    want = con.execute(f"SELECT query_id, id, score FROM ({indexed.ORACLE_SQL['dense_index_topk']})").fetchall()
+    got = indexed.dense_index_topk(spark, "/root/testdata/sf0.1").select("query_id", "id", "score").collect()
+    assert sorted((q, i, round(s, 5)) for q, i, s in got) == sorted((q, i, round(s, 5)) for q, i, s in want)
