@@ -254,7 +254,9 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an RSS document for each order."""
     xml = _text("<rss><channel><item><title>A {key} - {status}</title><link>http://x</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><title>{priority}</title></item></channel></rss>")
-    items = readers.feed_items(_orders(spark, sf_dir).select(F.col("key").alias("feed"), F.lit("https://h.example/rss").alias("url"), xml.alias("xml")))
+    # a document takes far longer to read than its row, so rows are dealt out first
+    orders = _orders(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    items = readers.feed_items(orders.select(F.col("key").alias("feed"), F.lit("https://h.example/rss").alias("url"), xml.alias("xml")))
     return items.select("feed", F.col("pos").cast("long").alias("pos"), "headline", "source", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 

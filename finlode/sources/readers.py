@@ -55,8 +55,10 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     item = r"(?s)<item[\s>].*?</item>"
     rows = feeds.select("feed", "url", F.posexplode(F.regexp_extract_all("xml", F.lit(item), 0)).alias("pos", "item"))
     text = lambda tag: F.nullif(F.trim(F.xpath_string("item", F.lit(f"item/{tag}"))), F.lit(""))
-    parts = headline(text("title"))
-    return rows.select("feed", "pos", parts[0].alias("headline"), F.coalesce(parts[1], F.parse_url("url", F.lit("HOST"))).alias("source"), text("link").alias("link"), feed_date(text("pubDate")).alias("published"))
+    # a generator, so that each text of an item is read once, however often it is used after
+    rows = rows.select("feed", "url", "pos", F.inline(F.array(F.struct(text("title").alias("title"), text("link").alias("link"), text("pubDate").alias("day")))))
+    parts = headline(F.col("title"))
+    return rows.select("feed", "pos", parts[0].alias("headline"), F.coalesce(parts[1], F.parse_url("url", F.lit("HOST"))).alias("source"), "link", feed_date(F.col("day")).alias("published"))
 
 
 def announcements(raw: DataFrame) -> DataFrame:

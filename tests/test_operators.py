@@ -349,3 +349,10 @@ def test_texts_of_patches_and_covers(spark):
     assert spark.range(1).select(report.clarification(F.array(F.lit("x"), F.lit("y")))).first()[0].endswith("- x\n- y")
     row = spark.range(1).select(routing.cover_page(F.lit("Report q3 of 2021")).alias("c"), search.index_terms(F.lit("The café of Ünal and the 2 dogs")).alias("t")).first()
     assert tuple(row["c"]) == (2021, "Q3", "quarterly") and row["t"] == ["café", "ünal", "2", "dogs"]
+
+
+def test_feed_texts_are_read_once_by_all_tasks(spark):
+    from finlode.plans import ingestion
+
+    plan = ingestion.xml_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("item/title") == 1 and "RepartitionByExpression" in plan
