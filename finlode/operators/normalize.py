@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import BLOCK_TYPES
@@ -61,8 +61,11 @@ def cell_text(cell: Column) -> Column:
     return F.trim(F.coalesce(scalar, _filled(_get(cell, "$.value"), _get(cell, "$.text"), _get(cell, "$.content")), F.lit("")))
 
 
-def header_rows(table: Column) -> Column:
-    raw = F.coalesce(*(_get(table, f"$.{k}", "array<variant>") for k in ("headers", "header", "column_headers", "head")))
+def _header_list(table: Column) -> Column:
+    return F.coalesce(*(_get(table, f"$.{k}", "array<variant>") for k in ("headers", "header", "column_headers", "head")))
+
+
+def _header_rows(raw: Column) -> Column:
     first = F.try_element_at(raw, F.lit(1))
     many = F.transform(raw, lambda r: F.transform(r.try_cast("array<variant>"), cell_text))
     one = F.array(F.transform(raw, cell_text))
@@ -165,85 +168,143 @@ def as_blocks(blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _more(names: tuple[str, ...], **values):
+    """From a struct with fields of these names to one with more fields, each a function of the struct."""
+    return lambda x: F.struct(*(x[n].alias(n) for n in names), *(f(x).alias(n) for n, f in values.items()))
+
+
+def _item(pos, kind, level, text, headers, rows, merged=None, table_html="", box=None, confidence=1.0) -> Column:
+    """A block before its derived fields, the same struct for blocks of JSON, HTML and Markdown."""
+    fields = {
+        "pos": (pos, "int"), "block_type": (kind, "string"), "heading_level": (level, "int"), "content_text": (text, "string"), "headers": (headers, NO_ROWS), "rows": (rows, NO_ROWS),
+        "merged": (merged, "array<struct<row_start:int,row_end:int,col_start:int,col_end:int,value:string>>"), "table_html": (table_html, "string"), "bounding_box": (box, "string"), "confidence": (confidence, "double"),
+    }
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).cast(t).alias(n) for n, (v, t) in fields.items()))
+
+
+def _exploded(pages: DataFrame, keys: tuple[str, ...], items: Column, *kept: str) -> DataFrame:
+    """A row for each struct of a page's array. With the outer form no filter on the array is inferred, which would make it twice."""
+    return pages.select(*keys, *kept, F.explode_outer(items).alias("x")).where("x IS NOT NULL").select(*keys, *kept, "x.*")
+
+
+def _placed_lines(cells: Column) -> Column:
+    """Lines of a table whose cells have places (row, col, pos, value): gaps are empty, the last of a place counts.
+
+    An empty cell for each place is sorted in before the cells given, so the last of a place is what it holds, and a line
+    is as many places as the table is wide.
+    """
+    sized = F.struct(cells.alias("cells"), F.array_max(F.transform(cells, lambda c: c["row"])).alias("h"), F.array_max(F.transform(cells, lambda c: c["col"])).alias("w"))
+    to = lambda n: F.sequence(F.lit(0), n)
+
+    def sorted_in(x: Column) -> Column:
+        blank = F.flatten(F.transform(to(x["h"]), lambda r: F.transform(to(x["w"]), lambda c: F.struct(r.alias("row"), c.alias("col"), F.lit(-1).alias("pos"), F.lit("").alias("value")))))
+        inside = F.filter(x["cells"], lambda c: (c["row"] >= F.least(F.lit(0), x["h"])) & (c["col"] >= F.least(F.lit(0), x["w"])))
+        return F.array_sort(F.concat(blank, inside))
+
+    def last(x: Column) -> Column:
+        after = lambda i: F.get(x["all"], i + 1)
+        return F.transform(F.filter(x["all"], lambda c, i: F.coalesce((after(i)["row"] != c["row"]) | (after(i)["col"] != c["col"]), F.lit(True))), lambda c: c["value"])
+
+    def lines(x: Column) -> Column:
+        width = F.abs(x["w"]) + 1
+        return F.transform(to(F.abs(x["h"])), lambda r: F.slice(x["values"], r * width + 1, width))
+
+    return _once(_once(_once(sized, _more(("h", "w"), all=sorted_in)), _more(("h", "w"), values=last)), lines)
+
+
+def _json_items(json: Column) -> Column:
+    """The blocks of a page's JSON as an array of structs (pos, b, kind, is_table, t, headers, rows, content_text); see json_blocks."""
+    sides = lambda raw: F.coalesce(_get(raw, "$.tables", "array<variant>"), _get(raw, "$.table_list", "array<variant>"))
+    none = F.array().cast("array<struct<b:variant,kind:string>>")
+    typed = lambda a, kind: F.coalesce(F.transform(a, lambda b: F.struct(b.alias("b"), kind(b).alias("kind"))), none)
+
+    def whole(x: Column) -> Column:
+        flat = F.coalesce(F.size(x["blocks"]), F.lit(0)) < 1
+        page = F.when(block_text(x["raw"]).isNotNull(), F.array(F.struct(x["raw"].alias("b"), F.lit("text").alias("kind"))))
+        return F.concat(F.when(flat, F.coalesce(page, none)).otherwise(typed(x["blocks"], block_type)), typed(x["side"], lambda _: F.lit("side table")))
+
+    page = _once(F.try_parse_json(json), lambda raw: F.struct(raw.alias("raw"), block_list(raw).alias("blocks"), sides(raw).alias("side")))
+    items = F.transform(_once(page, whole), lambda x, i: F.struct(i.alias("pos"), x["b"].alias("b"), x["kind"].alias("kind"), x["kind"].isin("table", "side table").alias("is_table")))
+    own = ("pos", "b", "kind", "is_table")
+    items = F.transform(items, _more(own, source=lambda x: F.when(x["is_table"], _present(x["b"], "table_data", "data"))))
+    items = F.transform(items, _more(own, t=lambda x: F.when(F.schema_of_variant(x["source"]).rlike("^(OBJECT|ARRAY)"), x["source"]).otherwise(x["b"])))
+    own = (*own, "t")
+    table = lambda f: lambda x: F.when(x["is_table"], f(x))
+
+    def listed(t: Column) -> Column:
+        return F.transform(F.filter(t.try_cast("array<variant>"), lambda r: F.schema_of_variant(r).startswith("ARRAY")), lambda r: F.transform(r.try_cast("array<variant>"), cell_text))
+
+    items = F.transform(
+        items,
+        _more(
+            own,
+            headers=table(lambda x: _once(_header_list(x["t"]), _header_rows)),
+            rows=table(lambda x: F.coalesce(listed(x["t"]), data_rows(x["t"]))),
+            content_text=lambda x: F.when(~x["is_table"], block_text(x["b"])),
+            text=table(lambda x: F.trim(F.when(F.schema_of_variant(_get(x["b"], "$.text", "variant")) == "STRING", _get(x["b"], "$.text")))),
+        ),
+    )
+    own = (*own, "content_text")
+
+    # tables given as cells with their places; the first line is the header
+    def cells(x: Column) -> Column:
+        objects = F.filter(_get(x["b"], "$.cells", "array<variant>"), lambda c: F.schema_of_variant(c).startswith("OBJECT"))
+        place = lambda c, *names: F.coalesce(*(_get(c, f"$.{n}", "int") for n in names), F.lit(0))
+        value = lambda c: F.coalesce(cell_text(F.coalesce(_get(c, "$.value", "variant"), _get(c, "$.text", "variant"))), F.lit(""))
+        return F.transform(objects, lambda c, i: F.struct(place(c, "row", "row_index", "r").alias("row"), place(c, "col", "col_index", "c").alias("col"), i.alias("pos"), value(c).alias("value")))
+
+    items = F.transform(items, _more((*own, "headers", "rows", "text"), cells=lambda x: F.when(x["is_table"] & (F.size(x["rows"]) == 0), cells(x))))
+    items = F.transform(items, _more((*own, "headers", "rows", "text"), lines=lambda x: F.when(F.size(x["cells"]) > 0, _placed_lines(x["cells"]))))
+
+    # tables in the text of their block
+    def written(x: Column, header: bool) -> Column:
+        rows = F.filter(F.try_element_at(html_tables(x["text"]), F.lit(1)), lambda r: r["is_header"] == header)["cells"]
+        marked = F.transform(F.filter(F.split(x["text"], "\n"), lambda v: (F.trim(v) != "") & ~rule_line(v)), markdown_cells)
+        part = F.slice(marked, 1, 1) if header else F.slice(marked, 2, 100_000)
+        found = F.when(F.lower(x["text"]).startswith("<table"), rows).when(F.contains(x["text"], F.lit("|")) & F.contains(x["text"], F.lit("-")), part)
+        return F.coalesce(found, F.array().cast(NO_ROWS))
+
+    def of(name: str, header: bool):
+        bare = lambda x: (F.size(x["rows"]) == 0) & (F.size(x["headers"]) == 0) & x["lines"].isNull()
+        line = lambda x: F.slice(x["lines"], 1, 1) if header else F.slice(x["lines"], 2, 1_000_000)
+        return lambda x: F.when(x["lines"].isNotNull(), line(x)).when(bare(x), written(x, header)).otherwise(x[name])
+
+    items = F.transform(items, _more(own, headers=of("headers", True), rows=of("rows", False)))
+    kept = F.filter(items, lambda x: (x["is_table"] & ((F.size(x["headers"]) > 0) | (F.size(x["rows"]) > 0))) | (~x["is_table"] & x["content_text"].isNotNull()))
+    return _once(kept, lambda a: F.when(F.exists(a, lambda x: x["kind"] == "table"), F.filter(a, lambda x: x["kind"] != "side table")).otherwise(a))
+
+
+def _json_item(x: Column) -> Column:
+    """A struct of _json_items as a block."""
+    b = x["b"]
+    return _item(
+        x["pos"],
+        F.when(x["is_table"], F.lit("table")).otherwise(x["kind"]),
+        F.when(x["kind"] == "heading", heading_level(b)),
+        x["content_text"],
+        x["headers"],
+        x["rows"],
+        F.when(x["is_table"], merged_cells(x["t"])),
+        F.coalesce(_filled(*(_get(b, f"$.{n}") for n in ("html", "table_html", "rendered_html"))), F.lit("")),
+        F.coalesce(*(F.to_json(_present(b, n)) for n in ("bbox", "bounding_box", "coordinates"))),
+        F.coalesce(_get(b, "$.confidence", "double"), F.lit(1.0)),
+    )
+
+
 def json_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
-    """Blocks (keys, BLOCK_FIELDS) of page JSON, from (keys, json).
+    """Blocks (keys, BLOCK_FIELDS) of page JSON, from (keys, json); pages are read one by one, without a shuffle.
 
     Unreadable JSON gives no blocks. A page without a block list is one text block, if it has text; the tables of
     ``tables`` or ``table_list`` are taken if no block is a table. A table's cells are in an object with headers and
     rows, in a list of rows, in a list of cells with their places, or in its text, as HTML or Markdown; what has none
     of them is no table.
     """
-    parsed = pages.select(*keys, F.try_parse_json("json").alias("raw")).where("raw IS NOT NULL")
-    side = F.coalesce(_get(F.col("raw"), "$.tables", "array<variant>"), _get(F.col("raw"), "$.table_list", "array<variant>"))
-    rows = parsed.select(*keys, block_list(F.col("raw")).alias("blocks"), side.alias("side"), "raw")
-    whole = F.when(F.coalesce(F.size("blocks"), F.lit(0)) < 1, F.when(block_text(F.col("raw")).isNotNull(), F.array(F.col("raw")))).otherwise(F.col("blocks"))
-    typed = lambda a, kind: F.transform(a, lambda b: F.struct(b.alias("b"), kind(b).alias("kind")))
-    flat_page = F.coalesce(F.size("blocks"), F.lit(0)) < 1
-    own = F.coalesce(typed(whole, lambda b: F.when(flat_page, F.lit("text")).otherwise(block_type(b))), F.array().cast("array<struct<b:variant,kind:string>>"))
-    more = F.coalesce(typed(F.col("side"), lambda _: F.lit("side table")), F.array().cast("array<struct<b:variant,kind:string>>"))
-    flat = rows.select(*keys, F.posexplode(F.concat(own, more)).alias("pos", "x")).select(*keys, "pos", F.col("x.b").alias("b"), F.col("x.kind").alias("kind"))
-    is_table = F.col("kind").isin("table", "side table")
-    b, t = F.col("b"), F.col("t")
-    source = _present(b, "table_data", "data")
-    flat = flat.withColumn("t", F.when(F.schema_of_variant(source).rlike("^(OBJECT|ARRAY)"), source).otherwise(b))
-    listed = F.transform(F.filter(t.try_cast("array<variant>"), lambda r: F.schema_of_variant(r).startswith("ARRAY")), lambda r: F.transform(r.try_cast("array<variant>"), cell_text))
-    text = F.trim(F.when(F.schema_of_variant(_get(b, "$.text", "variant")) == "STRING", _get(b, "$.text")))
-    made = flat.select(
-        *keys,
-        "pos",
-        "kind",
-        "b",
-        F.when(F.col("kind") == "heading", heading_level(b)).alias("heading_level"),
-        F.when(~is_table, block_text(b)).alias("content_text"),
-        F.when(is_table, header_rows(t)).alias("headers"),
-        F.when(is_table, F.coalesce(listed, data_rows(t))).alias("rows"),
-        F.when(is_table, merged_cells(t)).alias("merged"),
-        F.when(is_table, text).alias("text"),
-    )
-    # tables given as cells with their places; the first line is the header
-    lone = made.where(is_table & (F.size("rows") == 0)).select(*keys, F.col("pos").alias("at"), F.posexplode(_get(b, "$.cells", "array<variant>")).alias("pos", "c"))
-    place = lambda *names: F.coalesce(*(_get(F.col("c"), f"$.{n}", "int") for n in names), F.lit(0))
-    cells = lone.where(F.schema_of_variant("c").startswith("OBJECT")).select(
-        *keys,
-        "at",
-        "pos",
-        place("row", "row_index", "r").alias("row"),
-        place("col", "col_index", "c").alias("col"),
-        F.coalesce(cell_text(F.coalesce(_get(F.col("c"), "$.value", "variant"), _get(F.col("c"), "$.text", "variant"))), F.lit("")).alias("value"),
-    )
-    lines = grid(cells, [*keys, "at"]).groupBy(*keys, F.col("at").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("lines"))
-    made = made.join(lines, [*keys, "pos"], "left")
-    # tables in the text of their block
-    html = F.try_element_at(html_tables("text"), F.lit(1))
-    marked = F.transform(F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~rule_line(x)), markdown_cells)
-    written = F.when(F.lower("text").startswith("<table"), F.filter(html, lambda r: r["is_header"])["cells"]).when(F.contains("text", F.lit("|")) & F.contains("text", F.lit("-")), F.slice(marked, 1, 1))
-    below = F.when(F.lower("text").startswith("<table"), F.filter(html, lambda r: ~r["is_header"])["cells"]).when(F.contains("text", F.lit("|")) & F.contains("text", F.lit("-")), F.slice(marked, 2, 100_000))
-    bare = (F.size("rows") == 0) & (F.size("headers") == 0) & F.col("lines").isNull()
-    none = F.array().cast(NO_ROWS)
-    made = made.withColumns(
-        {
-            "headers": F.when(F.col("lines").isNotNull(), F.slice("lines", 1, 1)).when(bare, F.coalesce(written, none)).otherwise(F.col("headers")),
-            "rows": F.when(F.col("lines").isNotNull(), F.slice("lines", 2, 1_000_000)).when(bare, F.coalesce(below, none)).otherwise(F.col("rows")),
-        }
-    )
-    kept = made.where((is_table & ((F.size("headers") > 0) | (F.size("rows") > 0))) | (~is_table & F.col("content_text").isNotNull()))
-    tables = F.count_if(F.col("kind") == "table").over(Window.partitionBy(*keys))
-    kept = kept.withColumn("tables", tables).where("kind != 'side table' OR tables = 0")
-    box = F.coalesce(*(F.to_json(_present(b, n)) for n in ("bbox", "bounding_box", "coordinates")))
-    named = kept.select(
-        *keys,
-        "pos",
-        F.when(is_table, "table").otherwise(F.col("kind")).alias("block_type"),
-        "heading_level",
-        "content_text",
-        "headers",
-        "rows",
-        "merged",
-        F.coalesce(_filled(*(_get(b, f"$.{n}") for n in ("html", "table_html", "rendered_html"))), F.lit("")).alias("table_html"),
-        box.alias("bounding_box"),
-        F.coalesce(_get(b, "$.confidence", "double"), F.lit(1.0)).alias("confidence"),
-    )
-    return as_blocks(named, keys)
+    return as_blocks(_exploded(pages, keys, F.transform(_json_items(F.col("json")), _json_item)), keys)
 
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -302,62 +363,82 @@ def markdown_cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
 
 
+def _markdown_items(markdown: Column) -> Column:
+    """The blocks of a Markdown text as an array of structs (block, block_type, heading_level, content_text, cells); see markdown_blocks."""
+
+    def kind(line: Column) -> Column:
+        return F.when(F.trim(line) == "", "blank").when(F.trim(line).startswith("|"), "table").when(line.rlike(r"^#{1,6}\s+\S"), "heading").otherwise("text")
+
+    def runs(lines: Column) -> Column:
+        # a run begins where the kind changes, or with a heading, and ends before the next one
+        first = lambda i: (i == 0) | (F.get(lines, i)["kind"] == "heading") | (F.get(lines, i)["kind"] != F.get(lines, i - 1)["kind"])
+        begins = F.filter(F.transform(lines, lambda x, i: i), lambda i: F.coalesce(first(i), F.lit(True)))
+        return _once(begins, lambda a: F.transform(a, lambda i, n: F.slice(lines, i + 1, F.coalesce(F.get(a, n + 1), F.size(lines)) - i)))
+
+    def block(x: Column) -> Column:
+        kinds, text = x["kind"], F.array_join(x["lines"], "\n")
+        return F.struct(
+            x["block"].alias("block"),
+            kinds.alias("block_type"),
+            F.when(kinds == "heading", F.length(F.regexp_extract(text, r"^(#{1,6})", 1))).alias("heading_level"),
+            F.when(kinds == "heading", F.trim(F.regexp_replace(text, r"^#{1,6}\s+", ""))).when(kinds == "text", F.trim(text)).alias("content_text"),
+            F.when(kinds == "table", F.transform(x["lines"], markdown_cells)).alias("cells"),
+        )
+
+    lines = F.transform(F.coalesce(F.split(markdown, "\n"), F.array().cast("array<string>")), lambda v: F.struct(kind(v).alias("kind"), v.alias("line")))
+    solid = F.filter(_once(lines, runs), lambda r: r[0]["kind"] != "blank")
+    named = F.transform(
+        solid,
+        lambda r, i: F.struct(i.alias("block"), r[0]["kind"].alias("kind"), F.transform(F.filter(r, lambda x: (x["kind"] != "table") | ~rule_line(x["line"])), lambda x: x["line"]).alias("lines")),
+    )
+    return F.transform(named, block)
+
+
 def markdown_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
-    """(keys, block, block_type, heading_level, content_text, cells) from (keys, markdown).
+    """(keys, block, block_type, heading_level, content_text, cells) from (keys, markdown); pages are read one by one, without a shuffle.
 
     Runs of lines that begin with a bar are tables, whose rule lines are dropped; lines with 1 to 6 # are headings;
     runs of other lines between blank ones are text.
     """
-    lines = pages.select(*keys, F.posexplode(F.split("markdown", "\n")).alias("n", "line"))
-    kind = (
-        F.when(F.trim("line") == "", "blank").when(F.trim("line").startswith("|"), "table").when(F.col("line").rlike(r"^#{1,6}\s+\S"), "heading").otherwise("text")
-    )
-    order = Window.partitionBy(*keys).orderBy("n")
-    marked = lines.withColumn("kind", kind).withColumn("new", (F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")) | (F.col("kind") == "heading")).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(order)).where("kind != 'blank'")
-    rule = rule_line(F.col("line"))
-    lines_of = F.transform(F.array_sort(F.collect_list(F.when(~((F.col("kind") == "table") & rule), F.struct("n", "line")))), lambda x: x["line"])
-    blocks = runs.groupBy(*keys, "run").agg(F.first("kind").alias("block_type"), lines_of.alias("lines"))
-    text = F.array_join("lines", "\n")
-    return blocks.select(
-        *keys,
-        (F.row_number().over(Window.partitionBy(*keys).orderBy("run")) - 1).alias("block"),
-        "block_type",
-        F.when(F.col("block_type") == "heading", F.length(F.regexp_extract(text, r"^(#{1,6})", 1))).alias("heading_level"),
-        F.when(F.col("block_type") == "heading", F.trim(F.regexp_replace(text, r"^#{1,6}\s+", ""))).when(F.col("block_type") == "text", F.trim(text)).alias("content_text"),
-        F.when(F.col("block_type") == "table", F.transform("lines", markdown_cells)).alias("cells"),
-    )
+    return _exploded(pages, keys, _markdown_items(F.col("markdown")))
+
+
+def _html_items(html: Column) -> Column:
+    """Blocks of an HTML page: its tables, then all other text as one block."""
+    of = lambda t, header: F.filter(t, lambda r: r["is_header"] == header)["cells"]
+    numbered = F.filter(F.transform(html_tables(html), lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda x: F.size(x["t"]) > 0)
+    tables = F.transform(numbered, lambda x: _item(x["pos"], "table", None, None, of(x["t"], True), of(x["t"], False)))
+    none = F.array().cast(NO_ROWS)
+    rest = html_text(F.regexp_replace(html, r"(?is)<table[^>]*>.*?</table>", ""))
+    text = F.filter(F.transform(F.array(rest), lambda t: _item(1_000_000, "text", None, t, none, none)), lambda x: x["content_text"] != "")
+    return F.concat(tables, text)
 
 
 def html_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
     """Blocks of HTML pages (keys, html): their tables, then all other text as one block."""
-    tables = pages.select(*keys, F.posexplode(html_tables(F.col("html"))).alias("pos", "t")).where(F.size("t") > 0)
-    of = lambda header: F.filter("t", lambda r: r["is_header"] == header)["cells"]
-    none = F.array().cast(NO_ROWS)
-    table = tables.select(*keys, "pos", F.lit("table").alias("block_type"), F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("string").alias("content_text"), of(True).alias("headers"), of(False).alias("rows"))
-    rest = html_text(F.regexp_replace("html", r"(?is)<table[^>]*>.*?</table>", ""))
-    text = pages.select(*keys, F.lit(1_000_000).alias("pos"), F.lit("text").alias("block_type"), F.lit(None).cast("int").alias("heading_level"), rest.alias("content_text"), none.alias("headers"), none.alias("rows"))
-    return as_blocks(table.unionByName(text.where("content_text != ''")), keys)
+    return as_blocks(_exploded(pages, keys, _html_items(F.col("html"))), keys)
+
+
+def _sourced(pages: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, json, own, marked, plain, source): a page's blocks of JSON; only if it has none of HTML, and only then of Markdown; null arrays are not asked for."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
+    rows = pages.select(*keys, "json", "html", "markdown", _json_items(F.col("json")).alias("own"))
+    rows = rows.select(*keys, "json", "markdown", "own", F.when(none("own") & ~blank("html"), _html_items(F.col("html"))).alias("marked"))
+    rows = rows.select(*keys, "json", "own", "marked", F.when(none("own") & none("marked") & ~blank("markdown"), _markdown_items(F.col("markdown"))).alias("plain"))
+    source = F.when(~none("own"), "json").when(~none("marked"), "html").when(~none("plain"), "markdown").otherwise("empty")
+    return rows.select(*keys, "json", "own", "marked", "plain", source.alias("source"))
 
 
 def page_blocks(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
     """Blocks (keys, BLOCK_FIELDS, source) of pages (keys, json, html, markdown): of JSON; of a page whose JSON has none of HTML, else of Markdown."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    own = json_blocks(pages.select(*keys, "json"), keys)
-    left = pages.join(own.select(*keys).distinct(), list(keys), "left_anti")
-    marked = html_blocks(left.where(~blank("html")).select(*keys, "html"), keys)
-    left = left.join(marked.select(*keys).distinct(), list(keys), "left_anti")
-    plain = markdown_blocks(left.where(~blank("markdown")).select(*keys, "markdown"), keys)
-    none = F.array().cast(NO_ROWS)
-    cells = F.coalesce("cells", none)
-    plain = plain.select(*keys, F.col("block").alias("pos"), "block_type", "heading_level", "content_text", F.slice(cells, 1, 1).alias("headers"), F.slice(cells, 2, 1_000_000).alias("rows"))
-    parts = [df.withColumn("source", F.lit(name)) for name, df in (("json", own), ("html", marked), ("markdown", as_blocks(plain, keys)))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    plain = lambda x: _item(x["block"], x["block_type"], x["heading_level"], x["content_text"], *(F.slice(F.coalesce(x["cells"], F.array().cast(NO_ROWS)), *s) for s in ((1, 1), (2, 1_000_000))))
+    items = F.when(F.col("source") == "json", F.transform("own", _json_item)).when(F.col("source") == "html", F.col("marked")).otherwise(F.transform("plain", plain))
+    return as_blocks(_exploded(_sourced(pages, keys), keys, items, "source"), (*keys, "source")).select(*keys, *BLOCK_FIELDS, "source")
 
 
 def normalized(pages: DataFrame, keys: tuple[str, ...] = ("page_number",)) -> DataFrame:
-    """(keys, source, n_blocks, bad_json): one row for each page, also for those without blocks, whose source is empty."""
-    found = page_blocks(pages, keys).groupBy(*keys).agg(F.first("source").alias("source"), F.count("*").alias("n_blocks"))
+    """(keys, source, n_blocks, bad_json): one row for each page, also for those without blocks, whose source is empty. Nothing is shuffled."""
     bad = (F.coalesce(F.trim("json"), F.lit("")) != "") & F.try_parse_json("json").isNull()
-    rows = pages.select(*keys, bad.alias("bad_json")).join(found, list(keys), "left")
-    return rows.select(*keys, F.coalesce("source", F.lit("empty")).alias("source"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "bad_json")
+    blocks = sum((F.greatest(F.size(c), F.lit(0)) for c in ("own", "marked", "plain")), F.lit(0))
+    return _sourced(pages, keys).select(*keys, "source", blocks.cast("long").alias("n_blocks"), bad.alias("bad_json"))

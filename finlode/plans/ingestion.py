@@ -17,6 +17,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders dealt out to all tasks before pages are made of them."""
+    return _orders(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+
+
 def _text(pattern: str) -> Column:
     """A text with {column} filled in from columns."""
     parts = [F.col(x[1:-1]).cast("string") if re.fullmatch(r"\{\w+\}", x) else F.lit(x) for x in re.split(r"(\{\w+\})", pattern) if x]
@@ -56,7 +61,7 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = _text("# {status} part\n\nkey {key}\nmore\n\n| A | B |\n|---|---|\n| {key} | {priority} |\n## End\nend")
-    blocks = normalize.markdown_blocks(_orders(spark, sf_dir).select(F.col("k").alias("page_number"), page.alias("markdown")))
+    blocks = normalize.markdown_blocks(_dealt(spark, sf_dir).select(F.col("k").alias("page_number"), page.alias("markdown")))
     cells = F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), ";")
     return blocks.select("page_number", F.col("block").cast("long").alias("block"), "block_type", F.coalesce("content_text", cells).alias("content"))
 
@@ -85,7 +90,7 @@ JSON_SHAPES = (
 
 def _json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_number, json): a page of JSON for each order, some of which cannot be read."""
-    rows = _orders(spark, sf_dir).withColumn("level", F.col("k") % 9)
+    rows = _dealt(spark, sf_dir).withColumn("level", F.col("k") % 9)
     page = F.lit("not json")
     for i, shape in enumerate(JSON_SHAPES):
         page = F.when(F.col("k") % 8 == i, _text(shape)).otherwise(page)
@@ -255,7 +260,7 @@ def xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an RSS document for each order."""
     xml = _text("<rss><channel><item><title>A {key} - {status}</title><link>http://x</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><title>{priority}</title></item></channel></rss>")
     # a document takes far longer to read than its row, so rows are dealt out first
-    orders = _orders(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    orders = _dealt(spark, sf_dir)
     items = readers.feed_items(orders.select(F.col("key").alias("feed"), F.lit("https://h.example/rss").alias("url"), xml.alias("xml")))
     return items.select("feed", F.col("pos").cast("long").alias("pos"), "headline", "source", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 

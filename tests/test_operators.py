@@ -356,3 +356,14 @@ def test_feed_texts_are_read_once_by_all_tasks(spark):
 
     plan = ingestion.xml_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("item/title") == 1 and "RepartitionByExpression" in plan
+
+
+def test_pages_are_read_one_by_one(spark):
+    """Blocks of a page need no other page: nothing is shuffled or sorted, and pages with the same number stay apart."""
+    page = '{"blocks":[{"type":"table","cells":[{"row":1,"col":1,"value":"x"}]}],"tables":[{"rows":[[1]]}]}'
+    rows = spark.createDataFrame([(1, page, "", ""), (1, page, "", ""), (2, "", "", "# A\n# B\nc\n\nd")], "page_number int, json string, html string, markdown string")
+    found = normalize.normalized(rows)
+    assert sorted(map(tuple, found.collect())) == [(1, "json", 1, False), (1, "json", 1, False), (2, "markdown", 4, False)]
+    for df in (found, normalize.page_blocks(rows), normalize.markdown_blocks(rows.select("page_number", "markdown"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate"))
