@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ..functions.hashing import _MULTIPLIER, mix, weights
+
 
 def byte_class(inside) -> np.ndarray:
     """A table of 256 flags from a test of one byte value."""
@@ -24,35 +26,12 @@ SOLID = byte_class(lambda b: not (b == 32 or 9 <= b <= 13))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_CODES_LOWER = _BYTE_CODES[LOWER]
 #: Bytes that ``find`` hashes at a time; it bounds the memory that a long text or word takes.
 PIECE = 1 << 18
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    x = np.asarray(x, np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_WEIGHTS = mix(np.arange(1, (1 << 14) + 1, dtype=np.uint64) * _MULTIPLIER)
-
-
-def weights(place: np.ndarray) -> np.ndarray:
-    """A fixed random 64-bit number for each place in a word.
-
-    A hash sums codes times these. Numbers without a rule between them leave no two words with equal hashes by
-    construction, as powers of one number would.
-    """
-    if not len(place) or place.max() < len(_WEIGHTS):
-        return _WEIGHTS[place]
-    return mix((place.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER)
-
-
 @dataclass
 class Words:
     """Words of a block: byte places, the row each is of, and rows' first words (one more entry than rows)."""

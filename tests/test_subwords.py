@@ -74,3 +74,17 @@ def test_trimming_and_long_texts(spark, other, monkeypatch):
     pieces = [x for b, p in cut for x in (subwords.token_ends(p, PATH) + b).tolist()]
     assert pieces == whole and len(whole) == len(other.encode_ordinary(long))
     assert subwords.chunked(spark.createDataFrame([], "id int, text string"), "id", "text", PATH).count() == 0
+
+
+def test_pieces_met_before_are_not_encoded_again(other, monkeypatch):
+    """Ends and sizes of many texts at once, in blocks and parts; a second pass asks the tokenizer for nothing."""
+    known = [t or "" for t in texts() if not any(ord(c) >= 0x3000 for c in t or "")]
+    monkeypatch.setattr(subwords, "PART", 300)
+    for _ in range(2):
+        ends = list(subwords.all_token_ends(known, PATH))
+        for text, own in zip(known, ends, strict=True):
+            tokens = other.encode_ordinary(text)
+            starts = [len(other.decode_bytes(tokens[: i + 1]).decode(errors="ignore")) for i in range(len(tokens))]
+            assert len(own) == len(tokens) and all(a <= b <= a + 1 for a, b in zip(starts, own.tolist(), strict=True))
+        assert subwords.token_counts([*known, None], PATH) == [*map(len, ends), 0]
+        monkeypatch.setattr(subwords._encoder(PATH)[0], "pieces", None)
