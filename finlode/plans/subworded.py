@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import search, subwords
+from ..sources.scratch import scratch
 from .retrieval import table
 
 
@@ -32,8 +33,10 @@ def subword_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents in order of id as far as 3000 subword tokens go."""
-    rows = subwords.sized(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), _path()).drop("text")
+    """Each source's documents in order of id as far as 3000 subword tokens go; the sizes are a table, as they are read twice."""
+    path = scratch(spark)
+    subwords.sized(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), _path()).drop("text").write.parquet(path)
+    rows = spark.read.parquet(path)
     return search.within_budget(rows, "source", "doc_id", "tokens", 3000)
 
 

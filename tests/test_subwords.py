@@ -88,3 +88,11 @@ def test_pieces_met_before_are_not_encoded_again(other, monkeypatch):
             assert len(own) == len(tokens) and all(a <= b <= a + 1 for a, b in zip(starts, own.tolist(), strict=True))
         assert subwords.token_counts([*known, None], PATH) == [*map(len, ends), 0]
         monkeypatch.setattr(subwords._encoder(PATH)[0], "pieces", None)
+
+
+def test_contexts_size_each_text_once(spark):
+    """The sizes are read twice, for the sums of ranges and for the rows, but texts are encoded once, into a table."""
+    from finlode.plans import subworded
+
+    plan = subworded.context_subwords(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
