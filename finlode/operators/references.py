@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task joins and sorts at a time where tables are dealt into parts by their number of rows.
+ROWS = 1 << 19
+
 # Reference patterns in the order in which they are tried.
 PATTERNS = (
     ("note_ref", r"(?i)note\s+\d+"),
@@ -34,11 +37,22 @@ def extracted(cells: DataFrame) -> DataFrame:
     return coded.groupBy("table_id", "ref_code").agg(F.min(F.struct("cell_pos", "p", "m")).alias("at")).select("table_id", "ref_code", "at.cell_pos")
 
 
-def looked_up(chunks: DataFrame, tables: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, ref_code, resolved_text): references of the tables in chunks' sections, each code of a document once."""
-    rows = chunks.select("rank", "doc_id", "section").join(tables.select("doc_id", "section", "table_id"), ["doc_id", "section"]).join(links, "table_id")
+def parts_of(rows: DataFrame) -> int:
+    """Into how many parts a table is dealt so that a task gets about ROWS of it, and no core is left out."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+
+
+def looked_up(chunks: DataFrame, tables: DataFrame, links: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, ref_code, resolved_text): references of the tables in chunks' sections, each code of a document once.
+
+    With ``partitions``, every step is dealt into so many parts: narrow rows are so well compressed that parts of equal
+    bytes, as Spark makes them by itself, hold millions of rows for one task to sort.
+    """
+    dealt = lambda df, *by: df if partitions is None else df.repartition(partitions, *by)
+    own = dealt(chunks.select("rank", "doc_id", "section"), "doc_id", "section").join(dealt(tables.select("doc_id", "section", "table_id"), "doc_id", "section"), ["doc_id", "section"])
+    rows = dealt(own, "table_id").join(dealt(links, "table_id"), "table_id")
     first = F.row_number().over(Window.partitionBy("doc_id", "ref_code").orderBy("rank", "table_id"))
-    return rows.withColumn("first", first).where("first = 1").select("doc_id", "ref_code", "resolved_text")
+    return dealt(rows, "doc_id", "ref_code").withColumn("first", first).where("first = 1").select("doc_id", "ref_code", "resolved_text")
 
 
 def of_codes(links: DataFrame, doc_id, codes: tuple[str, ...]) -> DataFrame:

@@ -44,9 +44,11 @@ def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rank"), F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("section"))
     lines = table(spark, sf_dir, "lineitem")
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    own = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("section"), key.alias("table_id"))
+    n = references.parts_of(lines)
+    placed = lines.repartition(n, "l_orderkey").join(table(spark, sf_dir, "orders").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = placed.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("section"), key.alias("table_id"))
     links = lines.select(key.alias("table_id"), F.col("l_returnflag").alias("ref_code"), F.col("l_linestatus").alias("resolved_text"))
-    found = references.looked_up(chunks, own, links)
+    found = references.looked_up(chunks, own, links, n)
     return found.groupBy("ref_code").agg(F.count("*").alias("n"))
 
 

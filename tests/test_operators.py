@@ -367,3 +367,20 @@ def test_pages_are_read_one_by_one(spark):
     for df in (found, normalize.page_blocks(rows), normalize.markdown_blocks(rows.select("page_number", "markdown"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate"))
+
+
+def test_references_are_dealt_by_rows(spark, monkeypatch):
+    """Parts hold a number of rows, not of bytes, so what a task sorts does not grow with the tables."""
+    from finlode.operators import references
+    from finlode.plans import records
+
+    chunks = spark.createDataFrame([(r, r % 3, r) for r in range(40)], "rank int, doc_id int, section int")
+    tables = spark.createDataFrame([(s % 3, s, s * 10 + t) for s in range(40) for t in range(2)], "doc_id int, section int, table_id int")
+    links = spark.createDataFrame([(i, f"Note {i % 4}", str(i)) for i in range(0, 400, 3)], "table_id int, ref_code string, resolved_text string")
+    plain, dealt = (references.looked_up(chunks, tables, links, n) for n in (None, 7))
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) != []
+    assert dealt.rdd.getNumPartitions() == 7
+    monkeypatch.setattr(references, "ROWS", 500)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = records.reference_lookup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {-(-n // 500)}\n") >= 5
