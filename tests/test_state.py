@@ -116,3 +116,15 @@ def test_removals_and_mixed_parents(spark):
     got = {r["id"]: json.loads(r["state"]) for r in state.rebuilt(after).collect()}
     assert got == {1: {"a": {"0": 1, "2": 3, "k": True}, "e": {"f": ["x"]}}, 2: {"new": []}}
     assert state.patched(leaves, spark.createDataFrame([], "id long, seq int, path array<string>, value string")).count() == leaves.count()
+
+
+def test_states_are_taken_apart_a_few_at_a_time(monkeypatch):
+    """What a worker holds is bounded by bytes of text, not by rows of a batch; a long text, nulls and blanks are in some part."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(state, "TEXTS", 20)
+    texts = ["x" * 9, None, "y" * 9, "", "z" * 50, "w", None, "v" * 19]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "state": texts})
+    found = [part.column(1).to_pylist() for part in state._slices(batch)]
+    assert sum(found, []) == texts and found == [texts[:4], texts[4:5], texts[5:8]]
+    assert [p.num_rows for p in state._slices(batch.slice(0, 0))] == [0]
