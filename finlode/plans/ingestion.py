@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_cell, first_filled, headline, parse_date, row_label, ticker_slug, to_double, to_int
 from ..operators import feeds, ingest, normalize, references, report, resolve, sections
 from ..sources import readers
+from ..sources.scratch import scratch
 from .retrieval import table
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,13 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = orders.select(F.floor(F.col("n") / 40).alias("doc_id"), (F.col("n") % 40).alias("page_number"))
     pages = pages.select("*", F.lit("").alias("json"), F.lit("").alias("html"), page.alias("markdown"))
     about = pages.select("doc_id").distinct().select("doc_id", F.lit("acme").alias("company"), F.lit("annual").alias("report_type"), F.lit(2024).alias("fiscal_year"), F.lit("").alias("fiscal_quarter"))
-    made = ingest.ingested(pages, about)
+
+    def saved(df: DataFrame) -> DataFrame:
+        path = scratch(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    made = ingest.ingested(pages, about, saved=saved)
     counts = report.ingestion_counts(pages, made["sections"], made["tables"], made["chunks"], made["refs"])
     return counts.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pages", "sections", "tables", "chunks", "refs")))
 
