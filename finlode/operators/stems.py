@@ -6,6 +6,8 @@ the word: the first begins after the first consonant that follows a vowel, the s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +88,61 @@ def stemmed(words: DataFrame, word: str = "term", stem: str = "stem") -> DataFra
     df = step(df, ("e", "l"), fifth)
     found = F.when(F.length(given) <= 2, given).when(given.isin(*WHOLE), _table(WHOLE, given)).otherwise(F.translate(w, "Y", "y"))
     return df.withColumn(stem, found).drop("its word", "its suffix", "its first", "its second", "its end")
+
+
+_STEPS = [re.compile(ending(x)) for x in (("'", "'s", "'s'"), ("sses", "ied", "ies", "us", "ss", "s"), ("eed", "eedly", "ed", "edly", "ing", "ingly"), SECOND, THIRD, FOURTH, ("e", "l"))]
+_HEAD, _REGION, _PLAIN, _SHORT, _VOWEL = (re.compile(x) for x in (f"(?:{'|'.join(HEADS)}|.*?{VOWEL}{OTHER})", f".*?{VOWEL}{OTHER}", f"{VOWEL}.+$", SHORT, VOWEL))
+
+
+def stem_of(word: str) -> str:
+    """The stem of one word, by the same rules as ``stemmed`` has for columns."""
+    if len(word) <= 2:
+        return word
+    if word in WHOLE:
+        return WHOLE[word]
+    w = word.removeprefix("'")
+    w = re.sub("([aeiouy])y", r"\1Y", "Y" + w[1:] if w.startswith("y") else w)
+    m = _HEAD.match(w)
+    one = m.end() if m else len(w)
+    m = _REGION.match(w[one:])
+    two = one + m.end() if m else len(w)
+
+    def parted(n: int) -> tuple[str, str]:
+        m = _STEPS[n].search(w)
+        return (w[: m.start()], m[1]) if m else (w, "")
+
+    left, s = parted(0)
+    w = left
+    left, s = parted(1)
+    if s == "sses":
+        w = left + "ss"
+    elif s in ("ied", "ies"):
+        w = left + ("i" if len(left) > 1 else "ie")
+    elif s == "s" and _PLAIN.search(left):
+        w = left
+    if w not in KEPT:
+        left, s = parted(2)
+        if s in ("eed", "eedly"):
+            w = left + "ee" if len(left) >= one else w
+        elif s and _VOWEL.search(left):
+            w = left
+            if re.search("(?:at|bl|iz)$", w):
+                w += "e"
+            elif re.search("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+                w = w[:-1]
+            elif _SHORT.search(w) and one >= len(w):
+                w += "e"
+        w = re.sub("(.[^aeiouy])[yY]$", r"\1i", w)
+        left, s = parted(3)
+        if s and len(left) >= one and (s != "ogi" or left.endswith("l")) and (s != "li" or re.search("[cdeghkmnrt]$", left)):
+            w = left + SECOND[s]
+        left, s = parted(4)
+        if s and len(left) >= one and (s != "ative" or len(left) >= two):
+            w = left + THIRD[s]
+        left, s = parted(5)
+        if s and len(left) >= two and (s != "ion" or re.search("[st]$", left)):
+            w = left
+        left, s = parted(6)
+        if (s == "e" and (len(left) >= two or (len(left) >= one and not _SHORT.search(left)))) or (s == "l" and len(left) >= two and left.endswith("l")):
+            w = left
+    return w.replace("Y", "y")
