@@ -20,8 +20,8 @@ from .search import cosine
 
 #: Rows that a model is fitted on at most; the only thing here that is not made of all rows.
 SAMPLE = 8192
-#: Rows of a cell's part, and questions, that meet in one product; folders of vectors.
-ROWS, ASKED, SLOTS = 1 << 16, 4096, 64
+#: Rows of a cell's part, and questions, that meet in one tile; folders of vectors; scores of a product.
+ROWS, ASKED, SLOTS, SCORES = 1 << 16, 1 << 15, 64, 1 << 22
 #: Width of a uniform quantiser's steps in standard deviations, by bits, that leaves the least squared error of normal values.
 STEPS = {1: 1.596, 2: 0.9957, 4: 0.3352, 8: 0.0308}
 
@@ -184,35 +184,37 @@ def _tiles(model: Model, k: int, keep: int, exact: bool, facets: tuple[str, ...]
     among the k best as far as their codes' errors tell, else the ``keep`` best by their codes.
     """
 
-    def tile(rows: pa.Table) -> pa.RecordBatch:
+    def tile(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         mark = rows.column("mark").to_numpy()
         asked, own = rows.slice(0, int((mark == 0).sum())), rows.slice(int((mark == 0).sum()))
         if not asked.num_rows or not own.num_rows:
-            return None
+            return
         own = own.take(pa.array(_copies(own, k)))
         ids, error = own.column("id").combine_chunks(), own.column("error").to_numpy()
         width = -(-len(model.low) * model.bits // 8)
         codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(-1, width)
         unit = asked.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asked.num_rows, -1)
-        score = np.empty((asked.num_rows, len(codes)))
+        values = np.empty((len(codes), len(model.low)))
         for low in range(0, len(codes), 4096):
-            score[:, low : low + 4096] = unit @ model.decoded(codes[low : low + 4096]).T
-        allowed = _allowed(asked, own, facets)
-        score = np.where(allowed, score, -np.inf)
+            values[low : low + 4096] = model.decoded(codes[low : low + 4096])
         some = min(k if exact else keep, len(codes)) - 1
-        floor = score - error if exact else score
-        least = -np.partition(-floor, some, axis=1)[:, some : some + 1]
-        question, row = np.nonzero(allowed & (score + error >= least - 1e-9 if exact else score >= least))
-        found = score[question, row]
-        return pa.RecordBatch.from_arrays(
-            [asked.column("query_id").combine_chunks().take(pa.array(question)), ids.take(pa.array(row)), pa.array(found), pa.array(error[row])], names=["query_id", "id", "guess", "error"]
-        )
+        step = max(1, SCORES // len(codes))
+        for low in range(0, len(unit), step):
+            score = unit[low : low + step] @ values.T
+            allowed = _allowed(asked.slice(low, step), own, facets)
+            score = np.where(allowed, score, -np.inf)
+            floor = score - error if exact else score
+            least = -np.partition(-floor, some, axis=1)[:, some : some + 1]
+            question, row = np.nonzero(allowed & (score + error >= least - 1e-9 if exact else score >= least))
+            found = score[question, row]
+            yield pa.RecordBatch.from_arrays(
+                [asked.column("query_id").combine_chunks().take(pa.array(question + low)), ids.take(pa.array(row)), pa.array(found), pa.array(error[row])], names=["query_id", "id", "guess", "error"]
+            )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_runs(batches, "cell", "part", "team"):
             for a, b in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
-                if (found := tile(rows.slice(int(a), int(b - a)))) is not None:
-                    yield found
+                yield from tile(rows.slice(int(a), int(b - a)))
 
     return scan
 
@@ -234,21 +236,25 @@ def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, r
     are scored by their vectors, to 12 digits. With ``exact`` and all cells, the rows whose codes leave a chance are
     scored instead, and the answer is that of a full scan; that takes codes of 8 bits to be few.
 
-    Cells and questions are cut into parts that meet in tiles, as a matrix product each; a large cell or many questions
-    make more tiles, not larger ones. Candidates meet their vectors by (slot, id); for few questions Spark reads only
+    Questions with one vector and the same limits are answered once. Cells and questions are cut into parts that meet in
+    tiles, by matrix products; a large cell or many questions make more tiles, not larger ones. Where all cells are to be
+    met, rows are cut by their ids instead, so that a question is copied for each ``ROWS`` of them, not for each cell. Candidates meet their vectors by (slot, id); for few questions Spark reads only
     these slots' folders.
     """
     kind = questions.schema["query_id"].dataType.simpleString()
     id_kind = index.codes.schema["id"].dataType.simpleString()
-    given = questions.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     wanted = [f"wanted {f}" for f in index.facets]
-    limits = [(F.col(f) if f in questions.columns else F.lit(None)).cast("array<string>").alias(w) for f, w in zip(index.facets, wanted, strict=True)]
+    limits = [(F.array_sort(F.col(f)) if f in questions.columns else F.lit(None)).cast("array<string>").alias(w) for f, w in zip(index.facets, wanted, strict=True)]
+    given = questions.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *limits)
+    given = given.groupBy("vector", *wanted).agg(F.collect_list("query_id").alias("asking")).withColumn("query_id", F.array_min("asking"))
     schema = f"query_id {kind}, unit array<double>, cells array<int>" + "".join(f", `{w}` array<string>" for w in wanted)
-    asked = questions.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *limits).mapInArrow(_cells(index.model, probes), schema)
-    asked = asked.select("query_id", "unit", F.explode("cells").alias("cell"), *wanted)
+    every_cell = probes >= len(index.model.centres)
+    asked = given.select("query_id", "vector", *wanted).mapInArrow(_cells(index.model, 1 if every_cell else probes), schema)
+    asked = asked.select("query_id", "unit", (F.lit(0) if every_cell else F.explode("cells")).alias("cell"), *wanted)
+    codes = index.codes.withColumn("cell", F.lit(0)) if every_cell else index.codes
     # one row for each cell, of which the model has a bounded number
     teams = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("teams"))
-    parts = index.codes.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))
+    parts = codes.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))
     shape = F.broadcast(teams.join(parts, "cell"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(shape, "cell").select(
@@ -256,7 +262,7 @@ def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, r
         F.lit(None).cast(id_kind).alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"), F.lit(None).cast("bigint").alias("same"),
         *wanted, *(F.lit(None).cast("string").alias(_facet(f)) for f in index.facets),
     )
-    right = index.codes.join(shape, "cell").select(
+    right = codes.join(shape, "cell").select(
         "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), every("teams").alias("team"), F.lit(1).alias("mark"), F.lit(None).cast(kind).alias("query_id"),
         F.lit(None).cast("array<double>").alias("unit"), "id", "code", "error", "same",
         *(F.lit(None).cast("array<string>").alias(w) for w in wanted), *(_facet(f) for f in index.facets),
@@ -267,15 +273,16 @@ def nearest(index: Index, questions: DataFrame, k: int, probes: int = 1 << 30, r
     found = both.mapInArrow(_tiles(index.model, k, refine * k, exact, index.facets), f"query_id {kind}, id {id_kind}, guess double, error double")
     own = Window.partitionBy("query_id")
     if exact:
-        floor = found.withColumn("floor", F.col("guess") - F.col("error")).withColumn("at", F.row_number().over(own.orderBy(F.desc("floor")))).where(F.col("at") <= k)
-        floor = floor.groupBy("query_id").agg(F.min("floor").alias("floor"))
-        few = found.join(floor, "query_id").where(F.col("guess") + F.col("error") >= F.col("floor") - 1e-9)
+        floor = F.col("guess") - F.col("error")
+        few = found.withColumn("at", F.row_number().over(own.orderBy(F.desc(floor)))).withColumn("floor", F.min(F.when(F.col("at") <= k, floor)).over(own))
+        few = few.where(F.col("guess") + F.col("error") >= F.col("floor") - 1e-9)
     else:
         few = found.withColumn("at", F.row_number().over(own.orderBy(F.desc("guess"), "id"))).where(F.col("at") <= refine * k)
     few = few.select("query_id", "id", _slot(F.col("id"), index.slots).alias("slot"))
-    scored = few.join(index.vectors.select("slot", "id", "embedding"), ["slot", "id"]).join(given, "query_id")
+    scored = few.join(index.vectors.select("slot", "id", "embedding"), ["slot", "id"]).join(given.select("query_id", "vector"), "query_id")
     scored = scored.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 12).alias("score"))
-    return scored.withColumn("at", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where(F.col("at") <= k).drop("at")
+    best = scored.withColumn("at", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where(F.col("at") <= k).drop("at")
+    return best.withColumnRenamed("query_id", "first").join(given.select(F.col("query_id").alias("first"), F.explode("asking").alias("query_id")), "first").select("query_id", "id", "score")
 
 
 def completed(index: Index, questions: DataFrame, found: DataFrame, k: int) -> DataFrame:
