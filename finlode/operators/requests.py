@@ -64,12 +64,19 @@ def understood(requests: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def by_tree(library: Library, rows: DataFrame, k: int) -> DataFrame:
-    """Nodes of completed documents that fit, at score 1, by id; requests meet documents by company and year."""
-    docs = library.documents.where("ingestion_status = 'completed'").select("doc_id", "company_id", F.col("fiscal_year").cast("string").alias("fiscal_year"))
+    """Nodes of completed documents that fit, at score 1, by id.
+
+    Requests meet only the k first nodes of each company, year and section type: the first of several of these are among
+    the first of each. So no request meets all that fit it.
+    """
+    docs = library.documents.where("ingestion_status = 'completed'").select("doc_id", "company_id", F.col("fiscal_year").cast("string").alias("fiscal_year")).distinct()
+    group = ["company_id", "fiscal_year", "section_type"]
+    nodes = library.nodes.select("id", "doc_id", "section_type").join(docs, "doc_id")
+    nodes = nodes.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("id"))).where(F.col("place") <= k).drop("place", "doc_id")
     wanted = rows.select("query_id", F.explode("company_id").alias("company_id"), "fiscal_year", "section_type")
-    wanted = wanted.select("query_id", "company_id", F.explode("fiscal_year").alias("fiscal_year"), "section_type").distinct().join(docs, ["company_id", "fiscal_year"])
-    kinds = wanted.select("query_id", "doc_id", F.explode(F.array_distinct("section_type")).alias("section_type")).distinct()
-    found = kinds.join(library.nodes.select("id", "doc_id", "section_type"), ["doc_id", "section_type"])
+    wanted = wanted.select("query_id", "company_id", F.explode("fiscal_year").alias("fiscal_year"), "section_type")
+    wanted = wanted.select("query_id", "company_id", "fiscal_year", F.explode("section_type").alias("section_type")).distinct()
+    found = wanted.join(nodes, group).select("query_id", "id").distinct()
     first = Window.partitionBy("query_id").orderBy("id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.lit(1.0).alias("score"), F.lit("tree").alias("score_source"))
 
