@@ -148,7 +148,7 @@ class Shelf:
             self.most[own] = np.maximum.reduceat(self.part, self.start[own])
         self.dense_of = np.full(len(asked.vocabulary), -1, np.int64)
         common = np.flatnonzero(self.size * COMMON >= max(self.docs, COMMON))
-        common = common[np.argsort(-self.size[common], kind="stable")][: max(1, DENSE // (8 * max(self.docs, 1)))]
+        common = common[np.argsort(-self.size[common], kind="stable")][: min(1 << 14, max(1, DENSE // (8 * max(self.docs, 1))))]
         self.dense_of[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.docs))
         take = expanded(self.start[common], self.size[common])
@@ -259,8 +259,7 @@ def any_terms(shelf: Shelf, asked: Questions, best: Best) -> None:
     common = np.flatnonzero(shelf.dense_of[asked.terms] >= 0)
     owner = np.repeat(np.arange(len(asked)), np.diff(asked.at))[common]
     most_terms, reach = np.bincount(owner).max(initial=1), np.bincount(owner, shelf.most[asked.terms[common]]).max(initial=1.0)
-    if most_terms > 1 << 15:
-        raise ValueError("a question has too many terms")
+    # a shelf has 2^14 common terms at most, so steps are never coarser than that
     scale = max(reach / (65535 - most_terms), 1e-9)
     steps = np.ceil(shelf.dense / scale).astype(np.uint16)
     for low, high in _chunks(asked, docs):
